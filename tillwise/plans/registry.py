@@ -18,11 +18,26 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+_SMALL_INTS = ("int", "smallint", "tinyint")
+
+
+def normalise_types(df: DataFrame) -> DataFrame:
+    """Integer columns as BIGINT (DuckDB's count / row_number type)."""
+    casts = {c: df[c].cast("bigint") for c, t in df.dtypes if t in _SMALL_INTS}
+    return df.withColumns(casts) if casts else df
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return normalise_types(fn(spark, sf_dir))
+
+        run.__doc__ = fn.__doc__
+        run.__name__ = fn.__name__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -31,4 +46,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that it registers itself."""
-    from . import q_prepare, q_stats  # noqa: F401
+    from . import q_geo, q_prepare, q_stats  # noqa: F401

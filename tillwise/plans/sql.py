@@ -36,3 +36,9 @@ def with_events(body: str) -> str:
     if body.startswith(","):
         return "WITH " + CLEAN_EVENTS + body
     return "WITH " + CLEAN_EVENTS + "\n" + body
+
+
+def title_sql(expr: str) -> str:
+    """Python-style title case in DuckDB (upper after every non-letter)."""
+    return (f"array_to_string(list_transform(regexp_extract_all(lower({expr}), '(\\p{{L}}+|\\P{{L}}+)'), "
+            f"lambda w: upper(w[1]) || lower(w[2:])), '')")
