@@ -124,7 +124,8 @@ def build_rfm(sales: DataFrame, kind: str = "transactional") -> DataFrame:
 
 # ── D7–D8 ───────────────────────────────────────────────────────────────────
 
-def build_baskets(sales: DataFrame, kind: str = "transactional", keep_singles: bool = False) -> DataFrame:
+def build_baskets(sales: DataFrame, kind: str = "transactional", keep_singles: bool = False,
+                  label: str | None = None) -> DataFrame:
     """Items per basket; baskets of one line dropped unless asked.
 
     Transactional: product names (else ids) per (customer, transaction or date).
@@ -137,10 +138,10 @@ def build_baskets(sales: DataFrame, kind: str = "transactional", keep_singles: b
     """
     has_ord = "_ord" in sales.columns
     if kind == "transactional":
-        label = "product_name" if "product_name" in sales.columns else "product_id"
+        label = label or ("product_name" if "product_name" in sales.columns else "product_id")
         key = F.col("transaction_id" if "transaction_id" in sales.columns else "date").cast("string")
     else:
-        label = "category"
+        label = label or "category"
         key = F.col("customer_id")
     pair_aggs = [F.count(F.lit(1)).alias("_n")] + ([F.min("_ord").alias("_ord")] if has_ord else [])
     pairs = (sales.filter(F.col(label).isNotNull())

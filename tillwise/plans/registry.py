@@ -46,4 +46,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that it registers itself."""
-    from . import q_geo, q_prepare, q_stats  # noqa: F401
+    from . import q_geo, q_prepare, q_rules, q_stats  # noqa: F401
