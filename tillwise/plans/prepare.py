@@ -64,3 +64,29 @@ def release() -> None:
     for df in _CACHE.values():
         df.unpersist()
     _CACHE.clear()
+
+
+def review_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.review import review_raw_from_tables
+    return review_raw_from_tables(spark, sf_dir)
+
+
+def review_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 → A5 → C1 → B1–B8: canonical, unpacked, typed review rows (before row filters)."""
+    from ..operators import schema as A
+    df = A.canonicalise(review_raw(spark, sf_dir))
+    kind = A.detect_dataset_type(df.columns)
+    if kind == "review":
+        df = C.unpack_packed_rows(df)
+    return C.coerce_types(C.clean_string_formats(df))
+
+
+def review_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean review-kind sales with D1/D3 features (persisted once per session)."""
+    key = _key(spark, sf_dir, "review_sales")
+    if key in _CACHE:
+        return _CACHE[key]
+    out = D.engineer_features(C.clean_rows(review_typed(spark, sf_dir), "review"), "review")
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    _CACHE[key] = out
+    return out

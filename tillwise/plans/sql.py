@@ -42,3 +42,48 @@ def title_sql(expr: str) -> str:
     """Python-style title case in DuckDB (upper after every non-letter)."""
     return (f"array_to_string(list_transform(regexp_extract_all(lower({expr}), '(\\p{{L}}+|\\P{{L}}+)'), "
             f"lambda w: upper(w[1]) || lower(w[2:])), '')")
+
+
+def _num(x: str) -> str:
+    pat = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+    return f"CASE WHEN regexp_full_match({x}, '{pat}') THEN TRY_CAST(trim({x}) AS DOUBLE) END"
+
+
+def _arr(c: str) -> str:
+    return (f"CASE WHEN {c} IS NOT NULL AND trim({c}) NOT IN ('', 'nan', 'None') "
+            f"THEN list_transform(string_split({c}, ','), lambda x: trim(x)) END")
+
+
+# Review-kind cleaning of the review-shaped raw rows, in DuckDB.
+REVIEW_CTES = f"""
+rv_raw AS ({{raw}}),
+rv_a AS (SELECT *, {_arr('user_id')} AS a_c, {_arr('review_id')} AS a_t, {_arr('user_name')} AS a_n,
+                {_arr('review_title')} AS a_r FROM rv_raw),
+rv_b AS (SELECT *, coalesce(a_c, a_t, a_n, a_r) AS anchor FROM rv_a WHERE coalesce(a_c, a_t, a_n, a_r) IS NOT NULL),
+rv_u AS (SELECT rv_b.*, unnest(generate_series(0, len(anchor) - 1)) AS pos FROM rv_b),
+rv_t AS (
+  SELECT trim(a_c[pos + 1]) AS customer_id, trim(a_t[pos + 1]) AS transaction_id, trim(a_n[pos + 1]) AS user_name,
+         trim(a_r[pos + 1]) AS review_title, trim(product_id) AS product_id,
+         trim(split_part(category, '|', 1)) AS category,
+         {_num("trim(regexp_replace(discounted_price, '[₹$€£,\\s]', '', 'g'))")} AS price,
+         {_num("trim(regexp_replace(actual_price, '[₹$€£,\\s]', '', 'g'))")} AS actual_price,
+         {_num("trim(replace(discount_percentage, '%', ''))")} AS discount_pct,
+         {_num("NULLIF(regexp_extract(rating, '(\\d+\\.?\\d*)', 1), '')")} AS rating,
+         {_num("trim(replace(rating_count, ',', ''))")} AS quantity,
+         o_k, pos
+  FROM rv_u),
+rv_f AS (SELECT * FROM rv_t WHERE customer_id IS NOT NULL AND product_id IS NOT NULL
+           AND customer_id NOT IN ('None', 'nan', '') AND product_id NOT IN ('None', 'nan', '')),
+rv_d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, product_id ORDER BY o_k, pos) AS rn
+                        FROM rv_f) WHERE rn = 1),
+rsales AS (SELECT * EXCLUDE (rn), price * coalesce(quantity, 1.0) AS revenue,
+                  CASE WHEN actual_price - price < 0 THEN 0.0 ELSE actual_price - price END AS discount_amount
+           FROM rv_d WHERE rating BETWEEN 1 AND 5 OR rating IS NULL)
+"""
+
+
+def with_reviews(body: str) -> str:
+    from ..sources.review import REVIEW_RAW_SQL
+    body = body.strip()
+    head = "WITH " + REVIEW_CTES.replace("{raw}", REVIEW_RAW_SQL)
+    return head + (body if body.startswith(",") else "\n" + body)
