@@ -350,9 +350,12 @@ def model_forecast(daily: DataFrame, profile: DataFrame, horizon: int = HORIZON_
     fitted = fitted.persist()
     ok = fitted.filter(F.col("step") > 0)
     failed = fitted.filter(F.col("step") == 0).select("series_key", "note")
-    lin = linear_forecast(daily.join(failed, "series_key", "left_semi"), horizon) \
-        .join(failed, "series_key").withColumn("step", F.col("step").cast("int"))
-    out = ok.unionByName(lin.select(*ok.columns))
+    if failed.limit(1).count() == 0:  # one small read of the persisted fits
+        out = ok
+    else:
+        lin = linear_forecast(daily.join(failed, "series_key", "left_semi"), horizon) \
+            .join(failed, "series_key").withColumn("step", F.col("step").cast("int"))
+        out = ok.unionByName(lin.select(*ok.columns))
     warn = profile.select("series_key", F.when(F.col("short_history"), F.format_string(
         "Forecast is based on only %d days of history — treat the confidence band loosely and prefer "
         "shorter horizons.", F.col("n_days"))).alias("_short"))

@@ -61,8 +61,9 @@ def events_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def release() -> None:
     """Unpersist everything this module cached."""
-    for df in _CACHE.values():
-        df.unpersist()
+    for v in _CACHE.values():
+        for df in (v if isinstance(v, tuple) else (v,)):
+            df.unpersist()
     _CACHE.clear()
 
 
@@ -90,3 +91,26 @@ def review_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.persist(StorageLevel.MEMORY_AND_DISK)
     _CACHE[key] = out
     return out
+
+
+def customer_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4 + D6 customer table of the clean sales, persisted once per session."""
+    key = _key(spark, sf_dir, "customer_rfm")
+    if key in _CACHE:
+        return _CACHE[key]
+    out = D.build_rfm(clean_sales(spark, sf_dir), "transactional").persist(StorageLevel.MEMORY_AND_DISK)
+    _CACHE[key] = out
+    return out
+
+
+def quantile_segments(spark: SparkSession, sf_dir: str, k: int = 4) -> tuple[DataFrame, DataFrame]:
+    """F12 → F3 → F6/F7 over ``customer_rfm``: (labelled customers, profiles), persisted."""
+    from ..operators import segment as S
+    key = _key(spark, sf_dir, f"quantile_segments_{k}")
+    if key in _CACHE:
+        return _CACHE[key]
+    lab, prof = S.segment_by_quantiles(customer_rfm(spark, sf_dir), k)
+    lab = lab.persist(StorageLevel.MEMORY_AND_DISK)
+    prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
+    _CACHE[key] = (lab, prof)
+    return lab, prof

@@ -7,10 +7,8 @@ are property checks.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from ..operators import features as D
 from ..operators import forecast as I
 from ..operators import geo as H
 from ..operators import scenario as J
@@ -66,11 +64,11 @@ seg AS (SELECT lab.customer_id, lab.cluster, prof.label FROM lab JOIN prof ON pr
 
 
 def _rfm(spark, sf_dir):
-    return D.build_rfm(prepare.clean_sales(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return prepare.customer_rfm(spark, sf_dir)
 
 
 def _quantile_segments(spark, sf_dir):
-    return S.segment_by_quantiles(_rfm(spark, sf_dir), 4)
+    return prepare.quantile_segments(spark, sf_dir, 4)
 
 
 @register("segments_quantile", with_sales(SEG_CTE + "SELECT customer_id, cluster, label FROM seg"))
