@@ -158,14 +158,40 @@ def bic(log_likelihood: float, k: int, cov: str, n: int) -> float:
     return -2.0 * log_likelihood + n_parameters(k, cov) * math.log(n)
 
 
+SEED_CANDIDATES_PER_K = 64
+
+
+def _kmeans_seed(cand: np.ndarray, k: int, rng: np.random.Generator, iters: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """k-means++ then Lloyd iterations on the candidate points → (means, weights)."""
+    centres = [cand[rng.integers(len(cand))]]
+    for _ in range(1, k):
+        d2 = np.min(((cand[:, None, :] - np.array(centres)[None]) ** 2).sum(-1), axis=1)
+        total = d2.sum()
+        idx = rng.integers(len(cand)) if total <= 0 else rng.choice(len(cand), p=d2 / total)
+        centres.append(cand[idx])
+    c = np.array(centres, dtype=float)
+    lab = np.zeros(len(cand), dtype=int)
+    for _ in range(iters):
+        lab = ((cand[:, None, :] - c[None]) ** 2).sum(-1).argmin(axis=1)
+        new = np.array([cand[lab == j].mean(axis=0) if np.any(lab == j) else c[j] for j in range(k)])
+        if np.allclose(new, c):
+            break
+        c = new
+    w = np.bincount(lab, minlength=k).astype(float) + 1.0
+    return c, w / w.sum()
+
+
 def _starts(feats: DataFrame, n_init: int, kmax: int) -> list[np.ndarray]:
-    """Seed means: for each start, the kmax customers with the smallest seeded hash."""
-    out = []
-    for s in range(n_init):
-        h = F.xxhash64(F.col("customer_id"), F.lit(42 + s))
-        rows = feats.orderBy(h).limit(kmax).select(*FEATURES).collect()
-        out.append(np.array([[r[c] for c in FEATURES] for r in rows], dtype=float))
-    return out
+    """Seed candidates: a fixed-size set of customers with the smallest hash.
+
+    Only these ``64·kmax`` points reach the driver; the seeded k-means on them
+    stands in for the k-means start of the reference's library. EM itself then
+    runs over every customer.
+    """
+    m = SEED_CANDIDATES_PER_K * kmax
+    rows = feats.orderBy(F.xxhash64(F.col("customer_id"), F.lit(42)), "customer_id").limit(m) \
+                .select(*FEATURES).collect()
+    return np.array([[r[c] for c in FEATURES] for r in rows], dtype=float)
 
 
 @dataclass
@@ -193,13 +219,14 @@ def gmm_sweep(rfm: DataFrame, ks: list[int] | None = None, cov_types=tuple(COV_T
     cov0 = np.array([[head[f"c{i}{j}"] for j in range(3)] for i in range(3)]) - np.outer(mu, mu)
     cov0 = cov0 + REG_COVAR * np.eye(3) + 1e-3 * np.eye(3) * max(np.trace(cov0) / 3, 1e-6)
     ks = ks or list(range(2, max_components(n) + 1))
-    seeds = _starts(feats, n_init, max(ks))
+    cand = _starts(feats, n_init, max(ks))
     models: list[Gmm] = []
     for k in ks:
-        for cov in cov_types:
-            for s in range(n_init):
+        for s in range(n_init):
+            means, weights = _kmeans_seed(cand, k, np.random.default_rng(42 + 1000 * k + s))
+            for cov in cov_types:
                 c0 = cov0 if cov != "diag" else np.diag(np.diag(cov0))
-                models.append(Gmm(len(models), k, cov, s, np.full(k, 1.0 / k), seeds[s][:k].copy(),
+                models.append(Gmm(len(models), k, cov, s, weights.copy(), means.copy(),
                                   np.repeat(c0[None], k, axis=0)))
     live = list(models)
     for it in range(max_iter):
