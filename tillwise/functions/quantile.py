@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# passes made by the last call (for tests and tuning)
+LAST_PASSES = {"n": 0}
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = 2048,
                     max_passes: int = 64) -> list[float | None]:
     """Exact linear-interpolated quantiles of ``col`` (nulls and NaN ignored)."""
@@ -40,6 +44,7 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
         v = F.when(ok[i], F.col(f"v{i}"))
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     head = vals.agg(*aggs).first()
+    LAST_PASSES["n"] = 1
 
     # state: (col index, rank) -> [lo, hi, below]; found: (col index, rank) -> value
     state: dict[tuple[int, int], list] = {}
@@ -83,6 +88,7 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
         hist = (exploded.groupBy(F.col("e.s").alias("s"), F.col("e.b").alias("b"))
                 .agg(F.count(F.lit(1)).alias("c"), F.min("e.v").alias("mn"), F.max("e.v").alias("mx"))
                 .collect())
+        LAST_PASSES["n"] += 1
         by_slot: dict[int, list] = {}
         for row in hist:
             by_slot.setdefault(row["s"], []).append(row)

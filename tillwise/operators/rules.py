@@ -49,8 +49,12 @@ def frequent_itemsets(tx: DataFrame, min_support: float, num_partitions: int | N
     # FP-growth keeps freq >= ceil(minSupport·n); a hair lower bound plus the exact
     # support >= min_support filter keeps itemsets sitting exactly on the threshold.
     fp = FPGrowth(itemsCol="items", minSupport=max(min_support - 1e-9, 1e-12), minConfidence=1.0)
-    if num_partitions:
-        fp = fp.setNumPartitions(num_partitions)
+    # item groups of the parallel FP-growth: at least one per core, else the
+    # conditional trees are mined by however few tasks the baskets arrived in
+    spark = tx.sparkSession
+    parts = num_partitions or max(spark.sparkContext.defaultParallelism,
+                                  int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    fp = fp.setNumPartitions(parts)
     model = fp.fit(tx.select("items"))
     n = tx.select(F.count(F.lit(1))).scalar()
     out = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").cast("bigint"),
@@ -122,7 +126,7 @@ def support_level(tx: DataFrame, min_support: float) -> float | None:
 def mine_rules(tx: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
                top_n: int = TOP_N, mode: str = "product") -> MiningResult:
     """G2–G5 on normalised baskets: relaxed support, one FP-growth run, relaxed confidence."""
-    tx = normalise_baskets(tx)
+    tx = normalise_baskets(tx).persist()
     empty = tx.sparkSession.createDataFrame(
         [], "antecedents array<string>, consequents array<string>, support double, confidence double, "
             "lift double, rank int, mode string")

@@ -3,12 +3,15 @@
 The clean table feeds almost every operator (summary, trends, RFM, baskets,
 forecast, geography), so it is persisted (memory, spilling to disk) once and
 reused; a lost executor only costs a recompute of its blocks from lineage.
-The positive-filtered lines are persisted before the quartile passes so the
-five-way join runs once.
+The positive-filtered lines are materialised (spread evenly, then persisted or
+written as a table) before the quartile passes, so the five-way join runs once;
+the fence and the feature columns are applied lazily on top.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,33 @@ from ..sources import tables
 
 _CACHE: dict[tuple, DataFrame] = {}
 
+# "persist" (default): cache in memory, spilling to disk; "table": write Parquet
+# under the shared ``spark.checkpoint.dir`` and read it back, which also cuts the
+# lineage (a lost executor then re-reads files instead of replaying the joins).
+MATERIALIZE_CONF = "tillwise.materialize"
+
+
+def target_partitions(spark: SparkSession) -> int:
+    """Partitions for a materialised table: the session's shuffle width, at least 2× cores."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)
+
+
+def materialize(df: DataFrame, name: str, key: tuple | None = None) -> DataFrame:
+    """Spread rows evenly (round robin, so a hot customer cannot fill one partition)
+    and keep the table for reuse by every later operator."""
+    spark = df.sparkSession
+    spread = df.repartition(target_partitions(spark))
+    if spark.conf.get(MATERIALIZE_CONF, "persist") == "table":
+        from ..session import ensure_checkpoint_dir
+        tag = hashlib.sha1(repr(key or (name,)).encode()).hexdigest()[:12]
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillwise/tables/{name}-{tag}"
+        spread.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    out = spread.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
 
 def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
@@ -34,15 +64,13 @@ def clean_sales(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataF
         return _CACHE[key]
     raw = raw_sales(spark, sf_dir)
     pos = C.positive_filter(C.drop_missing(raw, "transactional"), "transactional")
-    if persist:
-        pos = pos.persist(StorageLevel.MEMORY_AND_DISK)
-    fenced = C.iqr_filter(pos, "price", 3.0)
-    out = D.engineer_features(fenced, "transactional")
-    if persist:
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)
-        out.count()
-        pos.unpersist()
-        _CACHE[key] = out
+    if not persist:
+        return D.engineer_features(C.iqr_filter(pos, "price", 3.0), "transactional")
+    # the positive lines are kept (the fence needs several passes over them); the
+    # clean table is a predicate and a projection on top, evaluated lazily
+    pos = materialize(pos, "positive_sales", key)
+    out = D.engineer_features(C.iqr_filter(pos, "price", 3.0), "transactional")
+    _CACHE[key] = out
     return out
 
 
@@ -53,8 +81,7 @@ def events_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _CACHE[key]
     raw = tables.events_as_sales(spark, sf_dir)
     pos = C.positive_filter(C.drop_missing(raw, "transactional"), "transactional")
-    out = D.engineer_features(C.iqr_filter(pos, "price", 3.0), "transactional")
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out = materialize(D.engineer_features(C.iqr_filter(pos, "price", 3.0), "transactional"), "events_sales", key)
     _CACHE[key] = out
     return out
 
@@ -88,7 +115,7 @@ def review_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key in _CACHE:
         return _CACHE[key]
     out = D.engineer_features(C.clean_rows(review_typed(spark, sf_dir), "review"), "review")
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out = materialize(out, "review_sales", key)
     _CACHE[key] = out
     return out
 
@@ -98,7 +125,7 @@ def customer_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = _key(spark, sf_dir, "customer_rfm")
     if key in _CACHE:
         return _CACHE[key]
-    out = D.build_rfm(clean_sales(spark, sf_dir), "transactional").persist(StorageLevel.MEMORY_AND_DISK)
+    out = materialize(D.build_rfm(clean_sales(spark, sf_dir), "transactional"), "customer_rfm", key)
     _CACHE[key] = out
     return out
 
@@ -110,7 +137,7 @@ def quantile_segments(spark: SparkSession, sf_dir: str, k: int = 4) -> tuple[Dat
     if key in _CACHE:
         return _CACHE[key]
     lab, prof = S.segment_by_quantiles(customer_rfm(spark, sf_dir), k)
-    lab = lab.persist(StorageLevel.MEMORY_AND_DISK)
+    lab = materialize(lab, f"quantile_segments_{k}", key)
     prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
     _CACHE[key] = (lab, prof)
     return lab, prof
