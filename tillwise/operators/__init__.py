@@ -1,0 +1 @@
+"""tillwise.operators"""

@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The reference's only input path is a one-shot whole-file upload: there is no
+stream, watermark, window or state to reproduce, so this package holds no
+operator (see README, "Not built"). Uploaded files are read as batches by
+``tillwise.sources.csv``.
+"""
