@@ -67,3 +67,12 @@ def test_exact_quantiles_ignore_nulls_and_share_passes(spark):
     assert q["a"] == [2.0] and q["b"] == [6.0]
     empty = spark.createDataFrame([], "a double")
     assert exact_quantiles(empty, "a", [0.5]) == [None]
+
+
+def test_exact_quantiles_heavy_ties_and_wide_range(spark):
+    values = [5.0] * 3000 + [1.0, 2.0, 1e9, -1e9] + [float(i) for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    probs = [0.01, 0.25, 0.5, 0.9, 0.999]
+    got = exact_quantiles(df, "x", probs)
+    want = [float(np.quantile(np.array(values), p)) for p in probs]
+    assert all(math.isclose(g, w, rel_tol=1e-12, abs_tol=1e-9) for g, w in zip(got, want))

@@ -4,11 +4,15 @@ Spark's exact ``percentile`` merges every distinct value of the column in one
 final task, which does not survive a 100 TB column of continuous values. Here
 the order statistics are found by histogram refinement instead:
 
-* pass 0: one aggregate gives ``count``, ``min`` and ``max``;
+* pass 0: one aggregate gives ``count``, ``min``, ``max`` and approximate
+  brackets ``percentile_approx(p ± 3/accuracy)`` around each wanted rank;
 * each further pass: one aggregate (partial on the map side) counts rows per
-  bucket (count, min, max) of the interval still holding each wanted rank; the
-  driver walks at most ``buckets`` rows per open interval and narrows it to the
-  one bucket that holds the rank. A bucket with ``min == max`` is the answer.
+  bucket (count, min, max) of the interval still holding each wanted rank,
+  plus the rows below a fresh bracket; the driver walks at most ``buckets``
+  rows per open interval and narrows it to the one bucket that holds the rank.
+  A bucket with ``min == max`` is the answer. A bracket that turns out not to
+  hold its rank (the sketch is approximate) falls back to [min, max], so the
+  result is always exact; usually the first histogram already settles it.
 
 Each pass shrinks an interval by about ``buckets``×, so doubles settle in a few
 passes; the driver only ever holds ``buckets`` × (open ranks) small rows.
@@ -28,6 +32,9 @@ from pyspark.sql import functions as F
 LAST_PASSES = {"n": 0}
 
 
+APPROX_ACCURACY = 10000
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = 2048,
                     max_passes: int = 64) -> list[float | None]:
     """Exact linear-interpolated quantiles of ``col`` (nulls and NaN ignored)."""
@@ -39,10 +46,15 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
     """Same as ``exact_quantiles`` for several columns, sharing every pass."""
     vals = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
     ok = {i: F.col(f"v{i}").isNotNull() & ~F.isnan(F.col(f"v{i}")) for i in range(len(cols))}
+    delta = 3.0 / APPROX_ACCURACY
+    bracket_probs = []
+    for p in probs:
+        bracket_probs += [max(0.0, p - delta), min(1.0, p + delta)]
     aggs = []
     for i in range(len(cols)):
         v = F.when(ok[i], F.col(f"v{i}"))
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                 F.percentile_approx(v, bracket_probs, APPROX_ACCURACY).alias(f"br{i}")]
     head = vals.agg(*aggs).first()
     LAST_PASSES["n"] = 1
 
@@ -55,7 +67,8 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
         wanted[i] = []
         if not n:
             continue
-        for p in probs:
+        br = head[f"br{i}"]
+        for j, p in enumerate(probs):
             pos = p * (n - 1)
             k = int(math.floor(pos))
             frac = pos - k
@@ -64,8 +77,12 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
             for r in (k, k2):
                 if head[f"lo{i}"] == head[f"hi{i}"]:
                     found[(i, r)] = head[f"lo{i}"]
+                elif br is not None and br[2 * j] is not None:
+                    # approximate bracket; rows below it are counted in the next pass
+                    state.setdefault((i, r), [br[2 * j], br[2 * j + 1], None])
                 else:
                     state.setdefault((i, r), [head[f"lo{i}"], head[f"hi{i}"], 0])
+    full = {i: (head[f"lo{i}"], head[f"hi{i}"]) for i in range(len(cols))}
 
     for _ in range(max_passes):
         open_keys = [k for k in state if k not in found]
@@ -78,12 +95,18 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
             lo, hi, below = state[key]
             slots.setdefault((i, lo, hi, below), len(slots))
         entries = []
-        for (i, lo, hi, _below), sid in slots.items():
+        for (i, lo, hi, below), sid in slots.items():
             v = F.col(f"v{i}")
-            width = F.lit(hi - lo)
-            b = F.least(F.floor((v - F.lit(lo)) / width * F.lit(buckets)).cast("int"), F.lit(buckets - 1))
+            if hi > lo:
+                b = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)).cast("int"),
+                            F.lit(buckets - 1))
+            else:
+                b = F.lit(0)
             entries.append(F.when(ok[i] & (v >= F.lit(lo)) & (v <= F.lit(hi)),
                                   F.struct(F.lit(sid).alias("s"), b.alias("b"), v.alias("v"))))
+            if below is None:  # count the rows under a fresh bracket in the same pass
+                entries.append(F.when(ok[i] & (v < F.lit(lo)),
+                                      F.struct(F.lit(sid).alias("s"), F.lit(-1).alias("b"), v.alias("v"))))
         exploded = vals.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("e"))
         hist = (exploded.groupBy(F.col("e.s").alias("s"), F.col("e.b").alias("b"))
                 .agg(F.count(F.lit(1)).alias("c"), F.min("e.v").alias("mn"), F.max("e.v").alias("mx"))
@@ -98,8 +121,13 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
             i, r = key
             lo, hi, below = state[key]
             sid = slots[(i, lo, hi, below)]
+            rows = by_slot.get(sid, [])
+            if below is None:
+                below = sum(row["c"] for row in rows if row["b"] == -1)
             cum = below
-            for row in by_slot.get(sid, []):
+            for row in rows:
+                if row["b"] < 0:
+                    continue
                 if cum <= r < cum + row["c"]:
                     if row["mn"] == row["mx"]:
                         found[key] = row["mn"]
@@ -107,8 +135,11 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
                         state[key] = [row["mn"], row["mx"], cum]
                     break
                 cum += row["c"]
-            else:  # pragma: no cover - only on inconsistent input between passes
-                raise RuntimeError(f"rank {r} not found while refining quantiles of {cols[i]}")
+            else:
+                if state[key][2] is None:   # the approximate bracket missed: search everything
+                    state[key] = [full[i][0], full[i][1], 0]
+                else:  # pragma: no cover - only on inconsistent input between passes
+                    raise RuntimeError(f"rank {r} not found while refining quantiles of {cols[i]}")
 
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):

@@ -130,11 +130,11 @@ def build_baskets(sales: DataFrame, kind: str = "transactional", keep_singles: b
 
     Transactional: product names (else ids) per (customer, transaction or date).
     Review/catalog: distinct categories per customer.
-    Lines are first reduced to distinct (basket, item) pairs with a line count,
-    so a basket row holds at most one entry per catalog item however many rows
-    its key has. Output: customer_id, basket_key, items (distinct, sorted),
-    n_lines (lines in the basket, the reference's list length), and ``_ord``
-    (first line of the basket) when the input has it.
+    One grouped aggregate: ``collect_set`` combines map-side, so a basket row
+    holds at most one entry per catalogue item however many lines its key has
+    (a hot basket cannot grow with the row count). Output: customer_id,
+    basket_key, items (distinct, sorted), n_lines (lines in the basket, the
+    reference's list length) and ``_ord`` (first line) when the input has it.
     """
     has_ord = "_ord" in sales.columns
     if kind == "transactional":
@@ -143,15 +143,13 @@ def build_baskets(sales: DataFrame, kind: str = "transactional", keep_singles: b
     else:
         label = label or "category"
         key = F.col("customer_id")
-    pair_aggs = [F.count(F.lit(1)).alias("_n")] + ([F.min("_ord").alias("_ord")] if has_ord else [])
-    pairs = (sales.filter(F.col(label).isNotNull())
-                  .groupBy("customer_id", key.alias("basket_key"), F.col(label).alias("_item"))
-                  .agg(*pair_aggs))
-    n_lines = F.sum("_n") if kind == "transactional" else F.count(F.lit(1))
-    aggs = [F.array_sort(F.collect_list("_item")).alias("items"), n_lines.cast("bigint").alias("n_lines")]
+    items = F.array_sort(F.collect_set(label))
+    n_lines = F.count(F.lit(1)) if kind == "transactional" else F.size(items)
+    aggs = [items.alias("items"), n_lines.cast("bigint").alias("n_lines")]
     if has_ord:
         aggs.append(F.min("_ord").alias("_ord"))
-    out = pairs.groupBy("customer_id", "basket_key").agg(*aggs)
+    out = (sales.filter(F.col(label).isNotNull())
+                .groupBy("customer_id", key.alias("basket_key")).agg(*aggs))
     if not keep_singles:
         out = out.filter(F.col("n_lines") > 1)
     return out

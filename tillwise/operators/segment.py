@@ -46,6 +46,7 @@ MAP_SAMPLE = 10_000
 # ─────────────────────────────────────────────────────────────────────────────
 
 FEATURES = ["recency_scaled", "frequency_scaled", "monetary_scaled"]
+EM_ROWS_PER_TASK = 200_000
 _LOG2PI = math.log(2 * math.pi)
 
 
@@ -71,17 +72,15 @@ class Gmm:
 
 
 def _log_gauss(X: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    """log N(x | μ_j, Σ_j) for every row and component → (n, k)."""
-    n, d = X.shape
-    out = np.empty((n, len(means)))
-    for j in range(len(means)):
-        L = np.linalg.cholesky(covs[j])
-        diff = (X - means[j]).T
-        sol = np.linalg.solve(L, diff)
-        maha = np.sum(sol * sol, axis=0)
-        logdet = 2.0 * np.sum(np.log(np.diag(L)))
-        out[:, j] = -0.5 * (d * _LOG2PI + logdet + maha)
-    return out
+    """log N(x | μ_j, Σ_j) for every row and component → (n, k), all components at once."""
+    d = X.shape[1]
+    L = np.linalg.cholesky(covs)                       # (k, d, d)
+    Linv = np.linalg.inv(L)
+    diff = X[:, None, :] - means[None, :, :]           # (n, k, d)
+    y = np.einsum("kij,nkj->nki", Linv, diff)
+    maha = np.einsum("nki,nki->nk", y, y)
+    logdet = 2.0 * np.log(np.diagonal(L, axis1=1, axis2=2)).sum(axis=1)
+    return -0.5 * (d * _LOG2PI + logdet[None, :] + maha)
 
 
 def _estep_stats(X: np.ndarray, models: list[tuple]) -> list[tuple]:
@@ -94,10 +93,10 @@ def _estep_stats(X: np.ndarray, models: list[tuple]) -> list[tuple]:
         r = np.exp(lp - ll[:, None])
         sw = r.sum(axis=0)
         sx = r.T @ X
+        xx = np.einsum("nk,ni,nj->kij", r, X, X).reshape(len(weights), -1)
+        tot = float(ll.sum())
         for j in range(len(weights)):
-            xx = (X * r[:, j:j + 1]).T @ X
-            rows.append((mid, j, float(sw[j]), *map(float, sx[j]), *map(float, xx.ravel()),
-                         float(ll.sum()) if j == 0 else 0.0))
+            rows.append((mid, j, float(sw[j]), *sx[j].tolist(), *xx[j].tolist(), tot if j == 0 else 0.0))
     return rows
 
 
@@ -215,6 +214,11 @@ def gmm_sweep(rfm: DataFrame, ks: list[int] | None = None, cov_types=tuple(COV_T
     n = head["n"]
     if n < MIN_CUSTOMERS:
         raise ValueError(f"Only {n} customers after preprocessing. Need at least {MIN_CUSTOMERS} to segment.")
+    # one EM task per ~200k customers (at least one per core); fewer, fuller tasks
+    # keep the per-pass cost near the numpy work itself. coalesce: no shuffle.
+    want = max(feats.sparkSession.sparkContext.defaultParallelism, math.ceil(n / EM_ROWS_PER_TASK))
+    if feats.rdd.getNumPartitions() > want:
+        feats = feats.coalesce(want)
     mu = np.array([head[f"m{i}"] for i in range(3)])
     cov0 = np.array([[head[f"c{i}{j}"] for j in range(3)] for i in range(3)]) - np.outer(mu, mu)
     cov0 = cov0 + REG_COVAR * np.eye(3) + 1e-3 * np.eye(3) * max(np.trace(cov0) / 3, 1e-6)
