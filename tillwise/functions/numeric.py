@@ -24,7 +24,6 @@ DATE_FORMATS = [
     "yyyyMMdd",
 ]
 
-MICROS_PER_DAY = 86_400_000_000
 
 
 def _c(c) -> Column:
@@ -82,9 +81,16 @@ def detect_date_format(df: DataFrame, col: str, order_col: str | None = "_ord",
 
 
 def elapsed_days(later, earlier) -> Column:
-    """Whole days elapsed between two timestamps (floor of elapsed time, D4)."""
-    return F.floor((F.unix_micros(_c(later).cast("timestamp"))
-                    - F.unix_micros(_c(earlier).cast("timestamp"))) / F.lit(MICROS_PER_DAY)).cast("bigint")
+    """Whole days elapsed between two timestamps (floor of elapsed wall-clock time, D4).
+
+    Calendar-day difference, minus one when the later time of day is earlier;
+    this equals floor(elapsed / 1 day) and does not depend on the session time
+    zone's daylight-saving shifts.
+    """
+    a, b = _c(later), _c(earlier)
+    tod = "HH:mm:ss.SSSSSS"
+    days = F.datediff(F.to_date(a), F.to_date(b))
+    return (days - F.when(F.date_format(a, tod) < F.date_format(b, tod), 1).otherwise(0)).cast("bigint")
 
 
 def month_str(c) -> Column:
