@@ -44,3 +44,16 @@ def test_scan_is_pruned_and_filtered(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in p
     sales_plan = _plan(D.rfm_transactional(prepare.clean_sales(spark, SF, persist=False)))
     assert "l_comment" not in sales_plan and "l_tax" not in sales_plan
+
+
+def test_table_materialisation_cuts_lineage(spark):
+    spark.conf.set(prepare.MATERIALIZE_CONF, "table")
+    try:
+        df = spark.range(100).withColumn("g", F.col("id") % 7)
+        out = prepare.materialize(df, "unit_test_table", ("unit",))
+        assert sorted(r["id"] for r in out.collect()) == list(range(100))
+        plan = _plan(out)
+        assert "FileScan parquet" in plan or "Scan parquet" in plan
+        assert spark.conf.get("spark.checkpoint.dir") in plan.replace("file:", "")
+    finally:
+        spark.conf.unset(prepare.MATERIALIZE_CONF)

@@ -197,3 +197,13 @@ def forecast_status_events(spark, sf_dir):
     """I5 on events: the 'not enough data' status row."""
     status, _, _ = I.forecast(I.resolve_input(prepare.events_sales(spark, sf_dir)))
     return status
+
+
+REGION_INP = ", inp AS (SELECT region AS series_key, date AS ts, revenue AS value FROM sales)"
+
+
+@register("forecast_linear_region", with_sales(REGION_INP + LINEAR_SQL + "SELECT * FROM lin"))
+def forecast_linear_region(spark, sf_dir):
+    """I1 + I3 + I6 + I7 for one series per region (25 series forecast in one plan)."""
+    inp = I.resolve_input(prepare.clean_sales(spark, sf_dir), "region")
+    return I.linear_forecast(I.daily_series(inp))

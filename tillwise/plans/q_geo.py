@@ -149,3 +149,12 @@ FROM stats, al
 def geo_map_regions(spark, sf_dir):
     """H13."""
     return H.map_regions(H.region_stats(_geo(spark, sf_dir)))
+
+
+@register("geo_column_pick")
+def geo_column_pick(spark, sf_dir):
+    """H1: the geography column chosen for the clean sales and for the review data."""
+    from ..plans import prepare as P
+    rows = [("sales", H.find_geo_column(P.clean_sales(spark, sf_dir))),
+            ("review", H.find_geo_column(P.review_sales(spark, sf_dir)))]
+    return spark.createDataFrame(rows, "dataset string, geo_column string")
