@@ -68,8 +68,8 @@ fc AS (SELECT fut2.series_key, 'linear_trend' AS model_used, CAST(step AS BIGINT
               greatest(slope * (n - 1 + step) + intercept + coalesce(o.off, 0.0), 0.0) AS val,
               width, mae
        FROM fut2 LEFT JOIN offs o ON o.series_key = fut2.series_key AND o.dow = isodow(fut2.fday) - 1),
-lin AS (SELECT series_key, model_used, step, date, round(val, 2) AS predicted,
-               round(val * (1 - width), 2) AS lower, round(val * (1 + width), 2) AS upper,
+lin AS (SELECT series_key, model_used, step, date, round(val, 2) + 0.0 AS predicted,
+               round(val * (1 - width), 2) + 0.0 AS lower, round(val * (1 + width), 2) + 0.0 AS upper,
                round(mae, 2) AS mae FROM fc)
 """
 
@@ -161,7 +161,7 @@ k AS (SELECT lin.series_key, h.horizon, round(sum(predicted), 2) AS total_foreca
              arg_min(predicted, step) AS forecast_start, arg_max(predicted, step) AS forecast_end
       FROM lin, h WHERE lin.step <= h.horizon GROUP BY 1, 2)
 SELECT k.series_key, CAST(horizon AS BIGINT) AS horizon, total_forecast, forecast_start, forecast_end,
-       CASE WHEN forecast_start > 0 THEN round((forecast_end - forecast_start) / forecast_start * 100, 1)
+       CASE WHEN forecast_start > 0 THEN round((forecast_end - forecast_start) / forecast_start * 100, 1) + 0.0
             ELSE 0.0 END AS growth_pct,
        coalesce(la.last_actual, 0.0) AS last_actual
 FROM k LEFT JOIN la USING (series_key)

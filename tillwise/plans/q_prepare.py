@@ -85,9 +85,9 @@ q AS (SELECT quantile_cont(xr, 0.5) AS mr, quantile_cont(xr, 0.75) - quantile_co
              quantile_cont(xf, 0.5) AS mf, quantile_cont(xf, 0.75) - quantile_cont(xf, 0.25) AS i_f,
              quantile_cont(xm, 0.5) AS mm, quantile_cont(xm, 0.75) - quantile_cont(xm, 0.25) AS im FROM f)
 SELECT customer_id,
-       round((xr - mr) / CASE WHEN ir = 0 THEN 1 ELSE ir END, 4) AS recency_scaled,
-       round((xf - mf) / CASE WHEN i_f = 0 THEN 1 ELSE i_f END, 4) AS frequency_scaled,
-       round((xm - mm) / CASE WHEN im = 0 THEN 1 ELSE im END, 4) AS monetary_scaled
+       round((xr - mr) / CASE WHEN ir = 0 THEN 1 ELSE ir END, 4) + 0.0 AS recency_scaled,
+       round((xf - mf) / CASE WHEN i_f = 0 THEN 1 ELSE i_f END, 4) + 0.0 AS frequency_scaled,
+       round((xm - mm) / CASE WHEN im = 0 THEN 1 ELSE im END, 4) + 0.0 AS monetary_scaled
 FROM f, q
 """))
 def rfm_scaled(spark, sf_dir):

@@ -50,7 +50,7 @@ _MONTHLY = """
         FROM sales GROUP BY 1),
 ml AS (SELECT month, total_revenue, lag(total_revenue) OVER (ORDER BY month) AS prev,
               count(*) OVER () AS n FROM m),
-mom AS (SELECT CASE WHEN n >= 2 AND prev > 0 THEN round((total_revenue - prev) / prev * 100, 1)
+mom AS (SELECT CASE WHEN n >= 2 AND prev > 0 THEN round((total_revenue - prev) / prev * 100, 1) + 0.0
                     ELSE 0.0 END AS mom_growth_pct
         FROM ml ORDER BY month DESC LIMIT 1)
 """
