@@ -34,8 +34,15 @@ def target_partitions(spark: SparkSession) -> int:
 
 
 def materialize(df: DataFrame, name: str, key: tuple | None = None) -> DataFrame:
-    """Spread rows evenly (round robin, so a hot customer cannot fill one partition)
-    and keep the table for reuse by every later operator."""
+    """Spread rows evenly and keep the table for reuse by every later operator.
+
+    The round-robin spread is one shuffle of the table, paid once and amortised
+    over every operator that reads it: partitions come out even whatever the
+    producing plan's key skew (a hot customer cannot fill one partition), the
+    width follows the session's shuffle width, and a written table gets
+    even file sizes. Measured locally it is faster than keeping the join's own
+    (coalesced) partitions.
+    """
     spark = df.sparkSession
     spread = df.repartition(target_partitions(spark))
     if spark.conf.get(MATERIALIZE_CONF, "persist") == "table":
