@@ -148,3 +148,21 @@ def quantile_segments(spark: SparkSession, sf_dir: str, k: int = 4) -> tuple[Dat
     prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
     _CACHE[key] = (lab, prof)
     return lab, prof
+
+
+def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.catalog_raw_from_tables(spark, sf_dir)
+
+
+def catalog_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 → A5 (catalog) → B → C2/C3 → D1 over the catalog-shaped raw rows."""
+    from ..operators import schema as A
+    key = _key(spark, sf_dir, "catalog_sales")
+    if key in _CACHE:
+        return _CACHE[key]
+    df = A.canonicalise(catalog_raw(spark, sf_dir))
+    kind = A.detect_dataset_type(df.columns)
+    typed = C.coerce_types(C.clean_string_formats(df))
+    out = materialize(D.engineer_features(C.clean_rows(typed, kind), kind), "catalog_sales", key)
+    _CACHE[key] = out
+    return out

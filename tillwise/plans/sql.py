@@ -87,3 +87,21 @@ def with_reviews(body: str) -> str:
     body = body.strip()
     head = "WITH " + REVIEW_CTES.replace("{raw}", REVIEW_RAW_SQL)
     return head + (body if body.startswith(",") else "\n" + body)
+
+
+CATALOG_CTES = f"""
+cat_raw AS ({{raw}}),
+csales AS (
+  SELECT trim(buyer_id) AS customer_id, trim(sku) AS product_id,
+         trim(split_part(product_category, '|', 1)) AS category,
+         {_num("trim(regexp_replace(unit_price, '[₹$€£,\\s]', '', 'g'))")} AS price
+  FROM cat_raw),
+cclean AS (SELECT *, price AS revenue FROM csales WHERE product_id IS NOT NULL AND price IS NOT NULL AND price > 0)
+"""
+
+
+def with_catalog(body: str) -> str:
+    from ..sources.tables import CATALOG_RAW_SQL
+    body = body.strip()
+    head = "WITH " + CATALOG_CTES.replace("{raw}", CATALOG_RAW_SQL)
+    return head + (body if body.startswith(",") else "\n" + body)

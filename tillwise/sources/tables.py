@@ -110,3 +110,38 @@ SELECT CAST(user_id AS VARCHAR) AS customer_id,
        event_id AS o_k
 FROM events
 """
+
+
+def catalog_raw_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog-shaped raw table (FIXTURES §5 shape) from lineitem ⋈ part.
+
+    Raw column names ``buyer_id`` (the supplier), ``sku``, ``unit_price`` (text
+    with a currency sign), ``product_category``; no date, quantity, rating or
+    transaction id, so the dataset kind is catalog. Every 50th line has an
+    unreadable price and every 61st a zero price, for the row filters.
+    """
+    li = read_table(spark, sf_dir, "lineitem")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    price = (F.when(k % 50 == 0, F.lit("n/a"))
+              .when(k % 61 == 0, F.lit("$0"))
+              .otherwise(F.concat(F.lit("$"), F.col("l_extendedprice").cast("string"))))
+    return j.select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("buyer_id"),
+        F.col("l_partkey").cast("string").alias("sku"),
+        price.alias("unit_price"),
+        F.col("p_type").alias("product_category"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+                 "l_extendedprice").alias("_ord"),
+    )
+
+
+CATALOG_RAW_SQL = """
+SELECT 'S' || CAST(l.l_suppkey AS VARCHAR) AS buyer_id, CAST(l.l_partkey AS VARCHAR) AS sku,
+       CASE WHEN (l.l_orderkey * 10 + l.l_linenumber) % 50 = 0 THEN 'n/a'
+            WHEN (l.l_orderkey * 10 + l.l_linenumber) % 61 = 0 THEN '$0'
+            ELSE '$' || CAST(l.l_extendedprice AS VARCHAR) END AS unit_price,
+       p.p_type AS product_category
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+"""
