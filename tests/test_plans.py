@@ -57,3 +57,27 @@ def test_table_materialisation_cuts_lineage(spark):
         assert spark.conf.get("spark.checkpoint.dir") in plan.replace("file:", "")
     finally:
         spark.conf.unset(prepare.MATERIALIZE_CONF)
+
+
+def test_analyse_whole_upload_from_csv(spark):
+    """The full upload run over a CSV written from the sf0.001 tables."""
+    import hashlib
+
+    from tillwise.plans.analysis import analyse, write_analysis
+    from tillwise.session import ensure_checkpoint_dir
+    from tillwise.sources import csv as csv_src
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/tillwise/test-analysis-" + \
+        hashlib.sha1(b"analysis").hexdigest()[:6]
+    csv_src.write_sales_export(prepare.raw_sales(spark, SF), base + "/csv")
+    raw = csv_src.read_sales_csv(spark, base + "/csv")
+    res = analyse(raw, focus="retention", segmentation="quantile", job_id="t1")
+    assert res.dataset_type == "transactional"
+    t = res.tables
+    assert t["summary"].first()["total_customers"] == 150
+    assert t["segments"].count() == 4
+    assert t["forecast_status"].first()["model_used"] == "lag_ar"
+    assert t["geo_region_stats"].count() == 25
+    rep = t["report"].first()["report"]
+    assert "## Dataset Overview" in rep and "Focus specifically on reducing churn" in rep
+    paths = write_analysis(res, base + "/out", "t1")
+    assert spark.read.parquet(paths["segments"]).filter("job_id = 't1'").count() == 4
