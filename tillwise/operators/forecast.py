@@ -96,14 +96,21 @@ def daily_series(inp: DataFrame) -> DataFrame:
     """Calendar-complete daily totals per series (missing days 0, negatives kept).
 
     Output: series_key, day (date), t (0-based day index), revenue.
+    Gaps are filled without a calendar join: each day with sales explodes into
+    itself plus the empty days up to the series' next day with sales (``lead``
+    over the series, whose size is its number of days).
     """
     sums = inp.groupBy("series_key", F.to_date("ts").alias("day")).agg(F.sum("value").alias("revenue"))
-    bounds = sums.groupBy("series_key").agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
-    spine = bounds.select("series_key", "d0",
-                          F.explode(F.sequence("d0", "d1", F.expr("INTERVAL 1 DAY"))).alias("day"))
-    full = spine.join(sums, ["series_key", "day"], "left")
-    return full.select("series_key", "day", F.datediff("day", "d0").alias("t"),
-                       F.coalesce("revenue", F.lit(0.0)).alias("revenue"))
+    by_day = Window.partitionBy("series_key").orderBy("day")
+    whole = Window.partitionBy("series_key")
+    g = sums.select("series_key", "day", "revenue",
+                    F.min("day").over(whole).alias("d0"),
+                    F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), F.col("day")).alias("until"))
+    filled = g.select("series_key", "d0", "day", "revenue",
+                      F.explode(F.sequence("day", "until", F.expr("INTERVAL 1 DAY"))).alias("d"))
+    return filled.select("series_key", F.col("d").alias("day"), F.datediff("d", "d0").alias("t"),
+                         F.when(F.col("d") == F.col("day"), F.col("revenue")).otherwise(F.lit(0.0))
+                          .alias("revenue"))
 
 
 def select_tier(n_days: Column) -> Column:
@@ -130,43 +137,63 @@ def series_profile(inp: DataFrame) -> DataFrame:
 
 # ── I6 / I7 / I13: linear tier in Spark ─────────────────────────────────────
 
+def _linear_parts(daily: DataFrame) -> DataFrame:
+    """One pass over the daily table: per (series, weekday) residual mean and
+    absolute-residual sums, carrying the series' line (window aggregates over a
+    series, whose size is its number of days)."""
+    w = Window.partitionBy("series_key")
+    d = daily.select(
+        "series_key", "day", "t", "revenue",
+        F.coalesce(F.regr_slope("revenue", "t").over(w), F.lit(0.0)).alias("slope"),
+        F.coalesce(F.regr_intercept("revenue", "t").over(w), F.lit(0.0)).alias("intercept"),
+        F.count(F.lit(1)).over(w).alias("n"), F.max("day").over(w).alias("last_day"),
+        F.avg(F.abs("revenue")).over(w).alias("mean_abs"))
+    d = d.withColumn("resid", F.col("revenue") - (F.col("slope") * F.col("t") + F.col("intercept")))
+    return d.groupBy("series_key", F.weekday("day").alias("dow")).agg(
+        F.avg("resid").alias("offset"), F.sum(F.abs("resid")).alias("_abs"), F.count(F.lit(1)).alias("_c"),
+        F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.first("n").alias("n"),
+        F.first("last_day").alias("last_day"), F.first("mean_abs").alias("mean_abs"))
+
+
+def _fit_from_parts(parts: DataFrame) -> DataFrame:
+    fit = parts.groupBy("series_key").agg(
+        F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.first("n").alias("n"),
+        F.first("last_day").alias("last_day"), F.first("mean_abs").alias("mean_abs"),
+        (F.sum("_abs") / F.sum("_c")).alias("mae"))
+    width = F.greatest(F.lit(MIN_CI_WIDTH), F.col("mae") / (F.col("mean_abs") + F.lit(1e-9)))
+    return fit.withColumn("width", width)
+
+
 def linear_fit(daily: DataFrame) -> DataFrame:
     """Per series: slope, intercept, n, last day, MAE of the line, mean |y|, width."""
-    fit = daily.groupBy("series_key").agg(
-        F.regr_slope("revenue", "t").alias("slope"), F.regr_intercept("revenue", "t").alias("intercept"),
-        F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"),
-        F.avg(F.abs("revenue")).alias("mean_abs"))
-    fit = fit.withColumns({"slope": F.coalesce("slope", F.lit(0.0)),
-                           "intercept": F.coalesce("intercept", F.lit(0.0))})
-    resid = daily.join(fit.select("series_key", "slope", "intercept"), "series_key") \
-                 .withColumn("resid", F.col("revenue") - (F.col("slope") * F.col("t") + F.col("intercept")))
-    mae = resid.groupBy("series_key").agg(F.avg(F.abs("resid")).alias("mae"))
-    out = fit.join(mae, "series_key")
-    width = F.greatest(F.lit(MIN_CI_WIDTH), F.col("mae") / (F.col("mean_abs") + F.lit(1e-9)))
-    return out.withColumn("width", width)
+    return _fit_from_parts(_linear_parts(daily))
 
 
-def weekday_offsets(daily: DataFrame, fit: DataFrame) -> DataFrame:
+def weekday_offsets(daily: DataFrame) -> DataFrame:
     """Mean residual of the line per weekday (Mon=0)."""
-    r = daily.join(fit.select("series_key", "slope", "intercept"), "series_key")
-    r = r.withColumn("resid", F.col("revenue") - (F.col("slope") * F.col("t") + F.col("intercept")))
-    return r.groupBy("series_key", F.weekday("day").alias("dow")).agg(F.avg("resid").alias("offset"))
+    return _linear_parts(daily).select("series_key", "dow", "offset")
 
 
 def linear_forecast(daily: DataFrame, horizon: int = HORIZON_DAYS) -> DataFrame:
     """I6 + I7: line + weekday offsets, clipped at 0, multiplicative band.
 
     Output: series_key, model_used, step, date, predicted, lower, upper, mae.
+    The daily table is read once: one per-(series, weekday) aggregate, then one
+    per-series row carrying the line, the MAE and the weekday offsets as a map,
+    exploded into the future days.
     """
-    fit = linear_fit(daily)
-    offs = weekday_offsets(daily, fit)
-    fut = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    fut = fut.withColumn("day", F.date_add("last_day", F.col("step"))) \
-             .withColumn("dow", F.weekday("day"))
-    fut = fut.join(offs, ["series_key", "dow"], "left")
+    parts = _linear_parts(daily)
+    fit = parts.groupBy("series_key").agg(
+        F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.first("n").alias("n"),
+        F.first("last_day").alias("last_day"), F.first("mean_abs").alias("mean_abs"),
+        (F.sum("_abs") / F.sum("_c")).alias("mae"),
+        F.map_from_entries(F.collect_list(F.struct("dow", "offset"))).alias("offsets"))
+    width = F.greatest(F.lit(MIN_CI_WIDTH), F.col("mae") / (F.col("mean_abs") + F.lit(1e-9)))
+    fut = fit.select("*", width.alias("width"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    fut = fut.withColumn("day", F.date_add("last_day", F.col("step")))
+    off = F.coalesce(F.element_at("offsets", F.weekday("day")), F.lit(0.0))
     x = F.col("n") - 1 + F.col("step")
-    raw = F.col("slope") * x + F.col("intercept") + F.coalesce("offset", F.lit(0.0))
-    val = F.greatest(raw, F.lit(0.0))
+    val = F.greatest(F.col("slope") * x + F.col("intercept") + off, F.lit(0.0))
     return fut.select("series_key", F.lit("linear_trend").alias("model_used"), "step",
                       N.day_str("day").alias("date"), F.round(val, 2).alias("predicted"),
                       F.round(val * (1 - F.col("width")), 2).alias("lower"),
