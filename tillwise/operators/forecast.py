@@ -121,12 +121,12 @@ def select_tier(n_days: Column) -> Column:
 
 
 def series_profile(inp: DataFrame) -> DataFrame:
-    """I2–I4 per series: months, days, eligibility, tier and short-history flag."""
-    months = monthly_history(inp).groupBy("series_key").agg(F.count(F.lit(1)).alias("n_months"))
-    days = inp.groupBy("series_key").agg(
-        (F.datediff(F.max(F.to_date("ts")), F.min(F.to_date("ts"))) + 1).alias("n_days"),
-        F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day"))
-    p = days.join(months, "series_key", "left").fillna(0, ["n_months"])
+    """I2–I4 per series: months, days, eligibility, tier and short-history flag (one aggregate)."""
+    day = F.to_date("ts")
+    p = inp.groupBy("series_key").agg(
+        F.count_distinct(F.when(F.col("value") > 0, N.month_str("ts"))).alias("n_months"),
+        (F.datediff(F.max(day), F.min(day)) + 1).alias("n_days"),
+        F.min(day).alias("first_day"), F.max(day).alias("last_day"))
     eligible = (F.col("n_months") >= MIN_MONTHS) & (F.col("n_days") >= MIN_DAYS)
     return p.select("series_key", F.col("n_months").cast("bigint"), F.col("n_days").cast("bigint"),
                     N.day_str("first_day").alias("first_day"), N.day_str("last_day").alias("last_day"),
@@ -396,8 +396,10 @@ def forecast(inp: DataFrame, horizon: int = HORIZON_DAYS) -> tuple[DataFrame, Da
     Status row per series: model_used ('none' when not eligible), tier, days,
     months, has_date_data, warning, mae.
     """
-    prof = series_profile(inp)
-    daily = daily_series(inp)
+    # both are one row per series / per series-day, bounded by the calendar, and
+    # each is read several times below
+    prof = series_profile(inp).persist()
+    daily = daily_series(inp).persist()
     fc = model_forecast(daily, prof, horizon)
     status_fc = fc.groupBy("series_key").agg(F.first("model_used").alias("model_used"),
                                              F.first("mae").alias("mae"), F.first("warning").alias("warning"))
