@@ -132,7 +132,10 @@ def customer_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = _key(spark, sf_dir, "customer_rfm")
     if key in _CACHE:
         return _CACHE[key]
-    out = materialize(D.build_rfm(clean_sales(spark, sf_dir), "transactional"), "customer_rfm", key)
+    # the per-customer aggregate is kept; the quartile passes and the scaling
+    # projection then read one row per customer instead of every sales line
+    raw = materialize(D.rfm_table(clean_sales(spark, sf_dir), "transactional"), "customer_rfm_raw", key)
+    out = D.robust_scale(raw)
     _CACHE[key] = out
     return out
 

@@ -92,7 +92,7 @@ FROM f, q
 """))
 def rfm_scaled(spark, sf_dir):
     """log1p + robust scaling with exact quartiles."""
-    r = D.build_rfm(prepare.clean_sales(spark, sf_dir))
+    r = prepare.customer_rfm(spark, sf_dir)
     return r.select("customer_id", *[F.round(c, 4).alias(c) for c in
                                      ("recency_scaled", "frequency_scaled", "monetary_scaled")])
 
