@@ -409,8 +409,9 @@ def forecast(inp: DataFrame, horizon: int = HORIZON_DAYS) -> tuple[DataFrame, Da
         F.col("eligible").alias("has_date_data"),
         F.when(F.col("eligible"), F.col("warning")).otherwise(F.lit(NOT_ENOUGH)).alias("warning"),
         F.coalesce("mae", F.lit(0.0)).alias("mae"))
-    hist = monthly_history(inp).join(prof.filter("eligible").select("series_key"), "series_key", "left_semi") \
-        .select("series_key", F.col("month").alias("date"), F.round("revenue", 2).alias("revenue"))
+    hist = (monthly_history(inp).join(prof.select("series_key", "eligible"), "series_key")
+            .filter("eligible").select("series_key", F.col("month").alias("date"),
+                                       F.round("revenue", 2).alias("revenue")))
     return status, fc, hist
 
 

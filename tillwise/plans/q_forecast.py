@@ -8,6 +8,7 @@ date windows of all sales chosen to land in each tier ('full' 2 405 days,
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import forecast as I
@@ -86,9 +87,9 @@ def forecast_monthly_history(spark, sf_dir):
     """I1 + I2: monthly history of the series with at least 3 months."""
     inp = window_input(prepare.clean_sales(spark, sf_dir))
     m = I.monthly_history(inp)
-    ok = m.groupBy("series_key").count().filter(F.col("count") >= I.MIN_MONTHS).select("series_key")
-    return m.join(ok, "series_key", "left_semi").select("series_key", F.col("month").alias("date"),
-                                                        F.round("revenue", 2).alias("revenue"))
+    months = F.count(F.lit(1)).over(Window.partitionBy("series_key"))  # one row per month of a series
+    return m.withColumn("_months", months).filter(F.col("_months") >= I.MIN_MONTHS) \
+            .select("series_key", F.col("month").alias("date"), F.round("revenue", 2).alias("revenue"))
 
 
 @register("forecast_daily_series", with_sales(CAT_INP + DAILY_SQL + """
