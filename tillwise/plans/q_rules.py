@@ -90,11 +90,22 @@ def rules_search(spark, sf_dir):
                     F.array_join("consequents", "|").alias("consequents"), "support", "confidence", "lift")
 
 
-@register("rules_all_brand")
+@register("rules_all_brand", with_sales(BRAND_TX + _PAIR_RULES + """
+, kept AS (SELECT * FROM pr_rules WHERE confidence >= 0.3),
+lvl AS (SELECT CASE WHEN (SELECT count(*) FROM kept) > 0 THEN 0.3 ELSE 0.15 END AS c),
+sel AS (SELECT * FROM pr_rules WHERE confidence >= (SELECT c FROM lvl)),
+rk AS (SELECT *, row_number() OVER (ORDER BY lift DESC, confidence DESC, support DESC, a, c) AS rank FROM sel)
+SELECT a AS antecedents, c AS consequents, round(support, 4) AS support, round(confidence, 4) AS confidence,
+       round(lift, 4) AS lift, rank, 'product' AS mode, (SELECT count(*) FROM sel) AS total_found
+FROM rk WHERE rank <= 20
+"""))
 def rules_all_brand(spark, sf_dir):
     """G3 (every split, multi-item consequents included) + G4 top 20 by lift on brand baskets."""
     res = G.mine_rules(_brand_tx(spark, sf_dir), 0.02, 0.3, 20, "product")
-    return res.rules.withColumn("total_found", F.lit(res.total_found))
+    r = res.rules
+    return r.select(F.array_join("antecedents", "|").alias("antecedents"),
+                    F.array_join("consequents", "|").alias("consequents"), "support", "confidence", "lift",
+                    "rank", "mode", F.lit(res.total_found).cast("bigint").alias("total_found"))
 
 
 @register("rules_ladder_products")
