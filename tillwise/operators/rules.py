@@ -52,8 +52,11 @@ def frequent_itemsets(tx: DataFrame, min_support: float, num_partitions: int | N
     # item groups of the parallel FP-growth: at least one per core, else the
     # conditional trees are mined by however few tasks the baskets arrived in
     spark = tx.sparkSession
-    parts = num_partitions or max(spark.sparkContext.defaultParallelism,
-                                  int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no local SparkContext (Spark Connect)
+        cores = 8
+    parts = num_partitions or max(cores, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     fp = fp.setNumPartitions(parts)
     model = fp.fit(tx.select("items"))
     n = tx.select(F.count(F.lit(1))).scalar()

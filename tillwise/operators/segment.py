@@ -216,9 +216,13 @@ def gmm_sweep(rfm: DataFrame, ks: list[int] | None = None, cov_types=tuple(COV_T
         raise ValueError(f"Only {n} customers after preprocessing. Need at least {MIN_CUSTOMERS} to segment.")
     # one EM task per ~200k customers (at least one per core); fewer, fuller tasks
     # keep the per-pass cost near the numpy work itself. coalesce: no shuffle.
-    want = max(feats.sparkSession.sparkContext.defaultParallelism, math.ceil(n / EM_ROWS_PER_TASK))
-    if feats.rdd.getNumPartitions() > want:
-        feats = feats.coalesce(want)
+    try:
+        cores = feats.sparkSession.sparkContext.defaultParallelism
+        want = max(cores, math.ceil(n / EM_ROWS_PER_TASK))
+        if feats.rdd.getNumPartitions() > want:
+            feats = feats.coalesce(want)
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): keep the partitions as they are
+        pass
     mu = np.array([head[f"m{i}"] for i in range(3)])
     cov0 = np.array([[head[f"c{i}{j}"] for j in range(3)] for i in range(3)]) - np.outer(mu, mu)
     cov0 = cov0 + REG_COVAR * np.eye(3) + 1e-3 * np.eye(3) * max(np.trace(cov0) / 3, 1e-6)

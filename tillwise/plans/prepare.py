@@ -30,7 +30,7 @@ MATERIALIZE_CONF = "tillwise.materialize"
 def target_partitions(spark: SparkSession) -> int:
     """Partitions for a materialised table: the session's shuffle width, at least 2× cores."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)
+    return max(shuffle, 2 * _parallelism(spark))
 
 
 def materialize(df: DataFrame, name: str, key: tuple | None = None) -> DataFrame:
@@ -56,8 +56,22 @@ def materialize(df: DataFrame, name: str, key: tuple | None = None) -> DataFrame
     return out
 
 
+def _app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext (Spark Connect)
+        return spark.conf.get("spark.app.id", str(id(spark)))
+
+
+def _parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.default.parallelism", "8"))
+
+
 def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    return (_app_id(spark), sf_dir.rstrip("/"), name)
 
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
