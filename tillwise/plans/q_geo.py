@@ -151,9 +151,14 @@ def geo_map_regions(spark, sf_dir):
     return H.map_regions(H.region_stats(_geo(spark, sf_dir)))
 
 
-@register("geo_column_pick")
+@register("geo_column_pick", with_sales("""
+SELECT 'sales' AS dataset,
+       CASE WHEN (SELECT count(DISTINCT region) FROM sales) >= 2 THEN 'region' END AS geo_column
+UNION ALL
+SELECT 'review' AS dataset, CAST(NULL AS VARCHAR) AS geo_column
+"""))
 def geo_column_pick(spark, sf_dir):
-    """H1: the geography column chosen for the clean sales and for the review data."""
+    """H1: the geography column chosen for the clean sales and for the review data (which has none)."""
     from ..plans import prepare as P
     rows = [("sales", H.find_geo_column(P.clean_sales(spark, sf_dir))),
             ("review", H.find_geo_column(P.review_sales(spark, sf_dir)))]
