@@ -51,3 +51,15 @@ def test_map_names_and_tiers(spark):
     geo = H.clean_geo(_sales(spark, rows), "region")
     got = {r["region"]: (r["map_name"], r["tier"]) for r in H.map_regions(H.region_stats(geo)).collect()}
     assert got == {"Usa": ("United States of America", 0), "Uk": ("United Kingdom", 2), "France": ("France", 4)}
+
+
+def test_full_stats_transaction_fallbacks(spark):
+    rows = [("a", datetime(2024, 1, 1), 10.0), ("a", datetime(2024, 1, 1), 5.0), ("a", datetime(2024, 2, 1), 1.0),
+            ("b", datetime(2024, 3, 1), 2.0)]
+    df = spark.createDataFrame(rows, "customer_id string, date timestamp, revenue double")
+    r = E.full_stats(df, "transactional").first()
+    # no transaction id: distinct (customer, date) pairs
+    assert r["total_transactions"] == 3 and r["months_of_data"] == 3 and r["total_revenue"] == 18.0
+    r2 = E.full_stats(df.drop("date"), "review").first()
+    assert r2["total_transactions"] == 4 and r2["date_start"] == "N/A" and r2["mom_growth_pct"] == 0.0
+    assert r2["silhouette_label"] == "weak" and r2["total_reviews"] == 4
