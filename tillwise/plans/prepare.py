@@ -194,3 +194,14 @@ def catalog_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = materialize(D.engineer_features(C.clean_rows(typed, kind), kind), "catalog_sales", key)
     _CACHE[key] = out
     return out
+
+
+def baskets(spark: SparkSession, sf_dir: str, label: str = "product_name") -> DataFrame:
+    """D7 baskets of the clean sales for one item column, materialised once per session."""
+    key = _key(spark, sf_dir, f"baskets_{label}")
+    if key in _CACHE:
+        return _CACHE[key]
+    out = materialize(D.build_baskets(clean_sales(spark, sf_dir), "transactional", label=label), f"baskets_{label}",
+                      key)
+    _CACHE[key] = out
+    return out

@@ -33,7 +33,7 @@ f2 AS (SELECT i1, i2, freq, freq / (SELECT n FROM n) AS support FROM pr WHERE fr
 
 
 def _brand_tx(spark, sf_dir):
-    return G.normalise_baskets(D.build_baskets(prepare.clean_sales(spark, sf_dir), "transactional", label="brand"))
+    return G.normalise_baskets(prepare.baskets(spark, sf_dir, "brand"))
 
 
 @register("rules_itemsets_small", with_sales(BRAND_TX + """
