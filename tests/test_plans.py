@@ -81,3 +81,19 @@ def test_analyse_whole_upload_from_csv(spark):
     assert "## Dataset Overview" in rep and "Focus specifically on reducing churn" in rep
     paths = write_analysis(res, base + "/out", "t1")
     assert spark.read.parquet(paths["segments"]).filter("job_id = 't1'").count() == 4
+
+
+def test_analyse_review_and_catalog_uploads(spark):
+    """Dateless kinds run end to end: static trends, category baskets, no forecast or geography."""
+    from tillwise.plans.analysis import analyse
+    rev = analyse(prepare.review_raw(spark, SF), segmentation="quantile", job_id="rv", fuzzy_columns=False)
+    assert rev.dataset_type == "review"
+    t = rev.tables
+    assert "forecast" not in t and "geo_region_stats" not in t
+    assert t["top_products"].count() == 10 and t["stats"].first()["dataset_type"] == "review"
+    assert "## Dataset Overview" in t["report"].first()["report"]
+    cat = analyse(prepare.catalog_raw(spark, SF), segmentation="quantile", job_id="ct", fuzzy_columns=False)
+    assert cat.dataset_type == "catalog"
+    s = cat.tables["stats"].first()
+    assert s["total_products"] > 0 and s["price_range"]
+    assert "Total revenue: $0.00" in cat.tables["report"].first()["report"]

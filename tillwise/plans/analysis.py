@@ -110,9 +110,13 @@ def _report(t: dict, profiles: DataFrame, rules: DataFrame, monthly: DataFrame |
     spark = profiles.sparkSession
     job = F.lit(job_id)
     summary = t["summary"]
-    for c, typ in (("total_transactions", "bigint"), ("date_start", "string"), ("date_end", "string")):
+    # fields a kind's summary lacks read as the report's defaults ("N/A" text, 0 money)
+    defaults = {"total_transactions": (None, "bigint"), "date_start": ("N/A", "string"),
+                "date_end": ("N/A", "string"), "total_revenue": (0.0, "double"),
+                "avg_order_value": (0.0, "double")}
+    for c, (value, typ) in defaults.items():
         if c not in summary.columns:
-            summary = summary.withColumn(c, F.lit(None if c == "total_transactions" else "N/A").cast(typ))
+            summary = summary.withColumn(c, F.lit(value).cast(typ))
     if "rank" not in rules.columns:
         rules = rules.withColumn("rank", F.lit(1))
     if "antecedents" not in rules.columns or "confidence" not in rules.columns:
