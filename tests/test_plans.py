@@ -97,3 +97,27 @@ def test_analyse_review_and_catalog_uploads(spark):
     s = cat.tables["stats"].first()
     assert s["total_products"] > 0 and s["price_range"]
     assert "Total revenue: $0.00" in cat.tables["report"].first()["report"]
+
+
+def test_insight_sink_and_lookup_newest_first(spark):
+    from tillwise.operators import report as K
+    from tillwise.session import ensure_checkpoint_dir
+    out = ensure_checkpoint_dir(spark).rstrip("/") + "/tillwise/test-insights-lookup"
+    prof = spark.createDataFrame([(0, "Champions", 3)], "cluster_id int, label string, size long")
+    summ = spark.createDataFrame([(3, 10.0)], "total_customers long, total_revenue double")
+    rules = spark.createDataFrame([], "antecedents array<string>, consequents array<string>, lift double")
+    for job, ts in (("a", "2026-01-01 00:00:00"), ("b", "2026-02-01 00:00:00")):
+        K.write_insights({"segments": prof}, out, job)
+        row = K.insight_row(spark, job, "transactional", summ, prof, rules, 1, 0.25, ts)
+        row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id") \
+           .parquet(out + "/insight")
+        spark.createDataFrame([(job, "completed")], "job_id string, status string") \
+             .withColumn("created_at", F.to_timestamp(F.lit(ts))).write.mode("overwrite") \
+             .option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(out + "/jobs")
+    got = K.lookup_insights(spark, out).collect()
+    assert [r["job_id"] for r in got] == ["b", "a"]
+    assert '"label":"Champions"' in got[0]["cluster_profiles"] and got[0]["n_clusters"] == 1
+    # re-writing one job replaces only its partition
+    K.write_insights({"segments": prof.withColumn("size", F.lit(5).cast("long"))}, out, "a")
+    sizes = {r["job_id"]: r["size"] for r in spark.read.parquet(out + "/segments").collect()}
+    assert sizes == {"a": 5, "b": 3}
