@@ -132,13 +132,22 @@ def review_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2 → A5 → C1 → B1–B8: canonical, unpacked, typed review rows (before row filters)."""
+    """A2 → A5 → C1 → B1–B8: canonical, unpacked, typed review rows (before row filters).
+
+    Materialised once per session: the row filters, the admission gate and the
+    "rows removed" counts all read it.
+    """
     from ..operators import schema as A
+    key = _key(spark, sf_dir, "review_typed")
+    if key in _CACHE:
+        return _CACHE[key]
     df = A.canonicalise(review_raw(spark, sf_dir))
     kind = A.detect_dataset_type(df.columns)
     if kind == "review":
         df = C.unpack_packed_rows(df)
-    return C.coerce_types(C.clean_string_formats(df))
+    out = materialize(C.coerce_types(C.clean_string_formats(df)), "review_typed", key)
+    _CACHE[key] = out
+    return out
 
 
 def review_sales(spark: SparkSession, sf_dir: str) -> DataFrame:

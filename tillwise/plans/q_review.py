@@ -87,8 +87,8 @@ FROM rsales
 """))
 def review_summary(spark, sf_dir):
     """E1 for review data (rows removed counted after unpacking)."""
-    raw = C.unpack_packed_rows(A.canonicalise(prepare.review_raw(spark, sf_dir)))
-    return E.dataset_summary(prepare.review_sales(spark, sf_dir), "review", raw=raw)
+    unpacked = prepare.review_typed(spark, sf_dir)  # typing keeps every unpacked row
+    return E.dataset_summary(prepare.review_sales(spark, sf_dir), "review", raw=unpacked)
 
 
 @register("review_stats", with_reviews("""
@@ -132,8 +132,8 @@ FROM n
 """))
 def review_admission(spark, sf_dir):
     """Row-count gate on the unpacked input and the cleaned rows."""
-    raw = C.unpack_packed_rows(A.canonicalise(prepare.review_raw(spark, sf_dir)))
-    return A.admission(raw, prepare.review_sales(spark, sf_dir))
+    unpacked = prepare.review_typed(spark, sf_dir)  # typing keeps every unpacked row
+    return A.admission(unpacked, prepare.review_sales(spark, sf_dir))
 
 
 def _columns_table(spark, sf_dir):
