@@ -62,3 +62,15 @@ def test_first_word_baskets_and_search(spark):
                                   "antecedents array<string>, consequents array<string>, support double, "
                                   "confidence double, lift double")
     assert [r["consequents"] for r in G.search_rules(rules, "gEaR").collect()] == [["Gear"]]
+
+
+def test_mode_ladder_falls_to_first_word_categories(spark):
+    # 250 baskets of two distinct products each: every product's support (1/250) stays
+    # under even the quartered support 0.005, so product mode finds nothing, but the
+    # first words "red"/"blue" always co-occur -> category mode rules
+    rows = [(f"c{i}", f"t{i}", [f"red item{i}", f"blue thing{i}"], 2) for i in range(250)]
+    b = spark.createDataFrame(rows, "customer_id string, basket_key string, items array<string>, n_lines long")
+    res = G.run_rules(b, None)
+    assert res.mining_mode == "category" and res.total_found == 2
+    got = {(tuple(r["antecedents"]), tuple(r["consequents"])) for r in res.rules.collect()}
+    assert got == {(("blue",), ("red",)), (("red",), ("blue",))}
