@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, pii, quality_rules, simhash, tokens, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,40 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+@register("op4_personal_data")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts per base kind, digests of the base spans, all spans."""
+    found = pii.find_spans(read_table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    return found.select("doc_id", *[pii.count_kind(spans, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+                        F.sha2(pii.listed(spans, pii.BASE_KINDS), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+@register("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, the base verdict and the verdict with its host's."""
+    out = quality_rules.verdicts(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", "host_rate", "strict")
+
+
+@register("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the word_bpe_49k vocabulary."""
+    import public_tokenizers
+    return tokens.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op8_simhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@register("op9_warc_archives", warc.ORACLE_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through the index."""
+    index = warc.write_archives(read_table(spark, sf_dir, "pages"))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
