@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality_rules, simhash, tokens, warc
+from . import decontaminate, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, tokens, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back through the index."""
     index = warc.write_archives(read_table(spark, sf_dir, "pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op6_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that fuzzy dedup removes from every document."""
+    out = line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", (F.col("n_lines") - F.col("n_removed")).alias("n_kept"),
+                      F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
+
+
+@register("op1_license_scan", licenses.ORACLE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names or quotes."""
+    out = licenses.scan(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "license", "dice")
+
+
+@register("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every document, alone and with its site's posterior."""
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
