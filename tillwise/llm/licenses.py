@@ -8,7 +8,7 @@ templates within those bounds. The templates are a literal of the plan: each uni
 compared where it is read, and nothing is shuffled but the result per document.
 
 Cases: null and empty texts match nothing; a text of one word has no bigram and matches
-nothing; templates that tie are listed by id, the best is the first; repeated rows give equal
+nothing; a unit counts for the template that it is most like, of equals the first by id; repeated rows give equal
 rows; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -78,7 +78,7 @@ def _bigrams(words: str) -> Column:
 
 def match_units(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD,
                 id_col: str = "doc_id") -> DataFrame:
-    """(id, text_hash, license, dice): every unit of every text that reaches the threshold."""
+    """(id, text_hash, license, dice): the best template of every unit that reaches the threshold with one."""
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = F.array(*[
         F.struct(F.lit(name).alias("id"), F.lit(len(b)).alias("n"),
@@ -93,11 +93,10 @@ def match_units(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
          .withColumn("n", F.size("grams")))
     fits = F.filter(known, lambda t: (t["n"] >= low * F.col("n")) & (t["n"] <= high * F.col("n")))
     scored = F.transform(fits, lambda t: F.struct(
-        t["id"].alias("license"),
-        (F.lit(2.0) * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.col("n") + t["n"])).alias("dice")))
-    hits = F.when(F.col("grams").isNotNull(), F.filter(scored, lambda s: s["dice"] >= threshold))
-    return (u.select("id", "text_hash", F.explode_outer(hits).alias("s")).where("s IS NOT NULL")
-            .select(F.col("id").alias(id_col), "text_hash", "s.license", "s.dice"))
+        (F.lit(-2.0) * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.col("n") + t["n"])).alias("d"),
+        t["id"].alias("license")))
+    return (u.select("id", "text_hash", F.array_min(scored).alias("s")).where(F.col("s.d") <= -threshold)
+            .select(F.col("id").alias(id_col), "text_hash", "s.license", (-F.col("s.d")).alias("dice")))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,14 +124,16 @@ u AS (
 ), w AS (
   SELECT doc_id, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM u
 ), g AS (
-  SELECT doc_id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  SELECT doc_id, row_number() OVER () AS u, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g
   FROM w WHERE len(w) > 1
 ), s AS (
-  SELECT doc_id, id, 2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice
+  SELECT doc_id, u, id, 2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice
   FROM g JOIN t ON len(g.g) * {THRESHOLD / (2 - THRESHOLD)!r} <= len(t.g) + 0.001
                AND len(t.g) <= len(g.g) * {(2 - THRESHOLD) / THRESHOLD!r} + 0.001
+), best AS (
+  SELECT doc_id, u, first(id ORDER BY dice DESC, id) AS id, max(dice) AS dice FROM s WHERE dice >= {THRESHOLD} GROUP BY 1, 2
 ), b AS (
-  SELECT doc_id, id, max(dice) AS dice FROM s WHERE dice >= {THRESHOLD} GROUP BY 1, 2
+  SELECT doc_id, id, max(dice) AS dice FROM best GROUP BY 1, 2
 ), f AS (
   SELECT doc_id, string_agg(id, ',' ORDER BY id) AS licenses, first(id ORDER BY dice DESC, id) AS license, max(dice) AS dice
   FROM b GROUP BY 1
