@@ -95,7 +95,8 @@ def match_units(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
     scored = F.transform(fits, lambda t: F.struct(
         (F.lit(-2.0) * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.col("n") + t["n"])).alias("d"),
         t["id"].alias("license")))
-    return (u.select("id", "text_hash", F.array_min(scored).alias("s")).where(F.col("s.d") <= -threshold)
+    best = F.when(F.col("grams").isNotNull(), F.filter(F.array(F.array_min(scored)), lambda s: s["d"] <= -threshold))
+    return (u.select("id", "text_hash", F.explode_outer(best).alias("s")).where("s IS NOT NULL")
             .select(F.col("id").alias(id_col), "text_hash", "s.license", (-F.col("s.d")).alias("dice")))
 
 
