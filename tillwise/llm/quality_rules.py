@@ -34,6 +34,8 @@ MAX_DUP_LINE_SHARE = 0.3
 MAX_CAPITALS_SHARE = 0.4
 WORD_CHARS = (3.0, 12.0)
 HOST_LIMIT = 0.5
+#: The prior is worth this many documents at least and at most, so that one bad document never makes a host strict.
+STRENGTH_RANGE = (5.0, 1e4)
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
@@ -99,7 +101,7 @@ def host_rates(rules: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     spread = (row[3] / n - mean * mean) if n else 0.0
     within = mean * (1 - mean) * hosts_n / n if n else 0.0
     between = max(spread - within, 1e-9)
-    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e4)
+    strength = min(max(mean * (1 - mean) / between - 1, STRENGTH_RANGE[0]), STRENGTH_RANGE[1])
     shrunk = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
     return hosts.withColumn("host_rate", shrunk).withColumn("strict", F.col("host_rate") > host_limit)
 
@@ -126,3 +128,48 @@ def filter_documents(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFra
             .distinct())
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_g_id")) & docs["source"].eqNullSafe(F.col("_g_source"))
                      & (F.xxhash64(docs["text"]) == F.col("_g_hash")), "left_anti")
+
+
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+  FROM documents
+), g AS (
+  SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS gram
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM d WHERE len(w) >= {WINDOW})
+), rep AS (
+  SELECT r, count(DISTINCT x) AS n FROM (
+    SELECT g.r, unnest(generate_series(i, i + {WINDOW - 1})) AS x
+    FROM g JOIN (SELECT r, gram FROM g GROUP BY 1, 2 HAVING count(*) > 1) USING (r, gram)) GROUP BY 1
+), m AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+         len(list_filter(w, lambda x: strlen(x) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_capitals
+  FROM d LEFT JOIN rep USING (r)
+), x AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed,
+         [n_symbols::DOUBLE / greatest(1, n_words) / {MAX_SYMBOLS_PER_WORD}::DOUBLE,
+          n_dup_lines::DOUBLE / greatest(1, n_lines) / {MAX_DUP_LINE_SHARE}::DOUBLE,
+          CASE WHEN n_words = 0 THEN 0 ELSE greatest({WORD_CHARS[0]}::DOUBLE / (word_chars::DOUBLE / n_words),
+                                                     word_chars::DOUBLE / n_words / {WORD_CHARS[1]}::DOUBLE) END,
+          n_capitals::DOUBLE / greatest(1, n_words) / {MAX_CAPITALS_SHARE}::DOUBLE] AS e
+  FROM m
+), y AS (
+  SELECT *, len(list_filter(e, lambda v: v > 1)) AS n_soft, len(list_filter(e, lambda v: v > 2)) AS n_wide FROM x
+), h AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed OR n_soft > 0) AS k FROM y GROUP BY 1
+), t AS (
+  SELECT sum(n)::DOUBLE AS n, sum(k)::DOUBLE / sum(n) AS mean, count(*) AS hosts, sum(k::DOUBLE * k / n) AS sq FROM h
+), s AS (
+  SELECT mean, least(greatest(mean * (1 - mean) / greatest(sq / n - mean * mean - mean * (1 - mean) * hosts / n, 1e-9) - 1, {STRENGTH_RANGE[0]}), {STRENGTH_RANGE[1]}) AS z
+  FROM t
+), v AS (
+  SELECT source, (k + mean * z) / (n + z) > {HOST_LIMIT} AS strict FROM h, s
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_soft >= 2 OR n_wide >= 1 OR (strict AND n_soft >= 1)) AS kept, strict
+FROM y JOIN v ON y.source IS NOT DISTINCT FROM v.source
+"""

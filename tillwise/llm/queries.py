@@ -46,12 +46,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.listed(spans, pii.BASE_KINDS), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
 
 
-@register("op7_quality_rules")
+@register("op7_quality_rules", quality_rules.ORACLE_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document, the base verdict and the verdict with its host's."""
     out = quality_rules.verdicts(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      "kept", "host_rate", "strict")
+                      "kept", "strict")
 
 
 @register("op10_token_counts")
