@@ -5,9 +5,12 @@ deterministic quantile segmentation.
 The mixture sweep (F1/F2) is distributed EM over the customer table:
 * every (k, covariance type, start) model that is still improving lives in a
   small parameter list shipped with the task closure (≤ 105 models × k × 3);
+* starts come from k-means over every customer (k-means|| and Lloyd passes, each
+  one distributed pass for all k and starts);
 * one ``mapInPandas`` pass per EM step computes, per customer partition, the
-  responsibilities of every live model and emits only per-(model, component)
-  sufficient statistics (Σr, Σr·x, Σr·x·xᵀ) and the log-likelihood;
+  responsibilities of every live model and emits, once per partition, only
+  per-(model, component) sufficient statistics (Σr, Σr·x, Σr·x·xᵀ) and the
+  log-likelihood;
 * a Spark aggregate sums them; the driver turns the sums into new parameters.
 Converged models drop out, so later passes get cheaper. Nothing per customer
 ever reaches the driver. Random starts cannot reproduce the reference's
@@ -42,11 +45,11 @@ TOL = 1e-3
 REG_COVAR = 1e-6
 MIN_CUSTOMERS = 10
 MAX_K = 8
-MAP_SAMPLE = 10_000
 # ─────────────────────────────────────────────────────────────────────────────
 
 FEATURES = ["recency_scaled", "frequency_scaled", "monetary_scaled"]
 EM_ROWS_PER_TASK = 200_000
+EM_BATCH = 8192
 _LOG2PI = math.log(2 * math.pi)
 
 
@@ -71,37 +74,27 @@ class Gmm:
     history: list = field(default_factory=list)
 
 
-def _log_gauss(X: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    """log N(x | μ_j, Σ_j) for every row and component → (n, k), all components at once."""
-    d = X.shape[1]
-    L = np.linalg.cholesky(covs)                       # (k, d, d)
-    Linv = np.linalg.inv(L)
-    diff = X[:, None, :] - means[None, :, :]           # (n, k, d)
-    y = np.einsum("kij,nkj->nki", Linv, diff)
-    maha = np.einsum("nki,nki->nk", y, y)
-    logdet = 2.0 * np.log(np.diagonal(L, axis1=1, axis2=2)).sum(axis=1)
-    return -0.5 * (d * _LOG2PI + logdet[None, :] + maha)
+# A row's terms 1, x, x² and x_a·x_b: a log density is linear in them, and their
+# weighted sums are the sufficient statistics.
+_SQUARES = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
+_TERMS = 1 + 3 + len(_SQUARES)
 
 
-def _estep_stats(X: np.ndarray, models: list[tuple]) -> list[tuple]:
-    """Per live model: sufficient statistics of one E-step over a batch."""
-    rows = []
-    for mid, weights, means, covs in models:
-        lp = _log_gauss(X, means, covs) + np.log(weights)
-        mx = lp.max(axis=1, keepdims=True)
-        ll = mx[:, 0] + np.log(np.exp(lp - mx).sum(axis=1))
-        r = np.exp(lp - ll[:, None])
-        sw = r.sum(axis=0)
-        sx = r.T @ X
-        xx = np.einsum("nk,ni,nj->kij", r, X, X).reshape(len(weights), -1)
-        tot = float(ll.sum())
-        for j in range(len(weights)):
-            rows.append((mid, j, float(sw[j]), *sx[j].tolist(), *xx[j].tolist(), tot if j == 0 else 0.0))
-    return rows
+def _terms(X: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(X)), X, *[X[:, a] * X[:, b] for a, b in _SQUARES]])
 
 
-_STATS_SCHEMA = ("model_id int, comp int, sw double, sx0 double, sx1 double, sx2 double, "
-                 + ", ".join(f"xx{i} double" for i in range(9)) + ", ll double")
+def _density(weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    """(terms, k): coefficients of log(w_j · N(x | μ_j, Σ_j)) on a row's terms."""
+    prec = np.linalg.inv(covs)
+    lin = np.einsum("kab,kb->ka", prec, means)
+    const = np.log(weights) - 0.5 * (3 * _LOG2PI + np.linalg.slogdet(covs)[1] + np.einsum("ka,ka->k", lin, means))
+    quad = np.array([-0.5 * prec[:, a, b] * (1 if a == b else 2) for a, b in _SQUARES])
+    return np.vstack([const, lin.T, quad])
+
+
+_STATS = [f"t{i}" for i in range(_TERMS)]
+_STATS_SCHEMA = "model_id int, comp int, " + ", ".join(f"{c} double" for c in _STATS) + ", ll double"
 
 
 def _mstep(g: Gmm, stats: dict[int, tuple], n: int) -> None:
@@ -123,27 +116,46 @@ def _mstep(g: Gmm, stats: dict[int, tuple], n: int) -> None:
 
 
 def _pass(feats: DataFrame, models: list[Gmm]) -> dict[int, dict]:
-    """One distributed E-step for every given model → summed statistics."""
-    payload = [(g.model_id, g.weights, g.means, g.covs) for g in models]
+    """One distributed E-step for every given model → summed statistics.
+
+    All components of all models are one matrix product per batch. A task sums its
+    batches and sends one row per (model, component), whatever its number of rows.
+    """
+    coef = np.hstack([_density(g.weights, g.means, g.covs) for g in models])
+    sizes = np.array([g.k for g in models])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    ids = np.repeat([g.model_id for g in models], sizes)
+    comps = np.concatenate([np.arange(k) for k in sizes])
 
     def run(batches):
+        sums, ll = np.zeros((len(ids), _TERMS)), np.zeros(len(sizes))
+        seen = False
         for pdf in batches:
             X = pdf[FEATURES].to_numpy(dtype=float)
-            if len(X) == 0:
-                continue
-            yield pd.DataFrame(_estep_stats(X, payload),
-                               columns=["model_id", "comp", "sw", "sx0", "sx1", "sx2",
-                                        *[f"xx{i}" for i in range(9)], "ll"])
+            for i in range(0, len(X), EM_BATCH):
+                terms = _terms(X[i:i + EM_BATCH])
+                lp = terms @ coef
+                top = np.maximum.reduceat(lp, begin, axis=1)
+                lp = np.exp(lp - np.repeat(top, sizes, axis=1))
+                total = np.add.reduceat(lp, begin, axis=1)
+                lp /= np.repeat(total, sizes, axis=1)
+                sums += lp.T @ terms
+                ll += (np.log(total) + top).sum(axis=0)
+                seen = True
+        if seen:
+            yield pd.DataFrame({"model_id": ids, "comp": comps, **{c: sums[:, i] for i, c in enumerate(_STATS)},
+                                "ll": np.where(comps == 0, np.repeat(ll, sizes), 0.0)})
 
     parts = feats.select(*FEATURES).mapInPandas(run, _STATS_SCHEMA)
-    summed = parts.groupBy("model_id", "comp").agg(
-        *[F.sum(c).alias(c) for c in ["sw", "sx0", "sx1", "sx2", *[f"xx{i}" for i in range(9)], "ll"]]).collect()
+    summed = parts.groupBy("model_id", "comp").agg(*[F.sum(c).alias(c) for c in [*_STATS, "ll"]]).collect()
     out: dict[int, dict] = {}
     for r in summed:
         d = out.setdefault(r["model_id"], {"ll": 0.0, "comps": {}})
         d["ll"] += r["ll"]
-        d["comps"][r["comp"]] = (r["sw"], np.array([r["sx0"], r["sx1"], r["sx2"]]),
-                                 np.array([r[f"xx{i}"] for i in range(9)]).reshape(3, 3))
+        xx = np.zeros((3, 3))
+        for i, (a, b) in enumerate(_SQUARES):
+            xx[a, b] = xx[b, a] = r[_STATS[4 + i]]
+        d["comps"][r["comp"]] = (r["t0"], np.array([r["t1"], r["t2"], r["t3"]]), xx)
     return out
 
 
@@ -157,40 +169,98 @@ def bic(log_likelihood: float, k: int, cov: str, n: int) -> float:
     return -2.0 * log_likelihood + n_parameters(k, cov) * math.log(n)
 
 
-SEED_CANDIDATES_PER_K = 64
+# ── Starts: k-means|| candidates, then Lloyd passes, all over every customer ──
 
+SEED_ROUNDS = 2
+SEED_PER_ROUND = 2 * MAX_K      # expected candidates that a round adds per start
+LLOYD_PASSES = 5
+_CENTRE_SCHEMA = "model_id int, comp int, n double, s0 double, s1 double, s2 double, cost double"
 
-def _kmeans_seed(cand: np.ndarray, k: int, rng: np.random.Generator, iters: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """k-means++ then Lloyd iterations on the candidate points → (means, weights)."""
-    centres = [cand[rng.integers(len(cand))]]
-    for _ in range(1, k):
-        d2 = np.min(((cand[:, None, :] - np.array(centres)[None]) ** 2).sum(-1), axis=1)
-        total = d2.sum()
-        idx = rng.integers(len(cand)) if total <= 0 else rng.choice(len(cand), p=d2 / total)
-        centres.append(cand[idx])
-    c = np.array(centres, dtype=float)
-    lab = np.zeros(len(cand), dtype=int)
-    for _ in range(iters):
-        lab = ((cand[:, None, :] - c[None]) ** 2).sum(-1).argmin(axis=1)
-        new = np.array([cand[lab == j].mean(axis=0) if np.any(lab == j) else c[j] for j in range(k)])
-        if np.allclose(new, c):
-            break
-        c = new
-    w = np.bincount(lab, minlength=k).astype(float) + 1.0
-    return c, w / w.sum()
+
+def _squared_distances(X: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    d = (X * X).sum(1)[:, None] - 2 * X @ centres.T + (centres * centres).sum(1)[None]
+    return np.maximum(d, 0.0)
+
+
+def _centre_pass(feats: DataFrame, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Per set of centres: customers and coordinate sums by nearest centre, and the total squared distance."""
+
+    def run(batches):
+        acc = [np.zeros((len(c), 5)) for c in centres]
+        for pdf in batches:
+            X = pdf[FEATURES].to_numpy(dtype=float)
+            for a, c in zip(acc, centres, strict=True):
+                d = _squared_distances(X, c)
+                near = d.argmin(axis=1)
+                a[:, 0] += np.bincount(near, minlength=len(c))
+                for j in range(3):
+                    a[:, 1 + j] += np.bincount(near, X[:, j], minlength=len(c))
+                a[:, 4] += np.bincount(near, d[np.arange(len(X)), near], minlength=len(c))
+        yield pd.DataFrame([(m, j, *row) for m, a in enumerate(acc) for j, row in enumerate(a.tolist())],
+                           columns=["model_id", "comp", "n", "s0", "s1", "s2", "cost"])
+
+    rows = (feats.select(*FEATURES).mapInPandas(run, _CENTRE_SCHEMA).groupBy("model_id", "comp")
+            .agg(*[F.sum(c).alias(c) for c in ("n", "s0", "s1", "s2", "cost")]).collect())
+    out = [(np.zeros(len(c)), np.zeros((len(c), 3)), 0.0) for c in centres]
+    for r in rows:
+        n, sums, cost = out[r["model_id"]]
+        n[r["comp"]], sums[r["comp"]] = r["n"], (r["s0"], r["s1"], r["s2"])
+        out[r["model_id"]] = (n, sums, cost + r["cost"])
+    return out
 
 
-def _starts(feats: DataFrame, n_init: int, kmax: int) -> list[np.ndarray]:
-    """Seed candidates: a fixed-size set of customers with the smallest hash.
+def _add_candidates(feats: DataFrame, centres: list[np.ndarray], costs: list[float], turn: int) -> list[np.ndarray]:
+    """One k-means|| round: each customer joins a start's candidates with probability ∝ its squared distance."""
+    chance = [F.xxhash64("customer_id", F.lit(turn), F.lit(s)).cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
+              for s in range(len(centres))]
 
-    Only these ``64·kmax`` points reach the driver; the seeded k-means on them
-    stands in for the k-means start of the reference's library. EM itself then
-    runs over every customer.
+    def run(batches):
+        for pdf in batches:
+            X = pdf[FEATURES].to_numpy(dtype=float)
+            for s, c in enumerate(centres):
+                if costs[s] > 0 and len(X):
+                    p = SEED_PER_ROUND * _squared_distances(X, c).min(axis=1) / costs[s]
+                    took = X[pdf[f"u{s}"].to_numpy() < p]
+                    yield pd.DataFrame({"s": np.full(len(took), s), "x": took[:, 0], "y": took[:, 1], "z": took[:, 2]})
+
+    rows = feats.select(*FEATURES, *[u.alias(f"u{s}") for s, u in enumerate(chance)]).mapInPandas(
+        run, "s int, x double, y double, z double").collect()  # about SEED_PER_ROUND per start
+    more = [sorted((r["x"], r["y"], r["z"]) for r in rows if r["s"] == s) for s in range(len(centres))]
+    return [np.vstack([c, m]) if m else c for c, m in zip(centres, more, strict=True)]
+
+
+def _weighted_seeds(cand: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ over the weighted candidates of one start."""
+    centres = [cand[rng.choice(len(cand), p=weights / weights.sum())]]
+    while len(centres) < k:
+        d = _squared_distances(cand, np.array(centres)).min(axis=1) * weights
+        total = d.sum()
+        centres.append(cand[rng.choice(len(cand), p=d / total) if total > 0 else rng.integers(len(cand))])
+    return np.array(centres, dtype=float)
+
+
+def starts(feats: DataFrame, ks: list[int], n_init: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """(k, start) → (means, weights) of a k-means fit over every customer.
+
+    Candidates are drawn from all customers in proportion to their squared distance
+    (k-means||), weighted by the customers nearest to them, reduced to k by k-means++,
+    and refined by Lloyd passes. Every pass serves all starts (and all k) at once and
+    returns sums per centre; only the candidates, some dozens per start, reach the driver.
     """
-    m = SEED_CANDIDATES_PER_K * kmax
-    rows = feats.orderBy(F.xxhash64(F.col("customer_id"), F.lit(42)), "customer_id").limit(m) \
-                .select(*FEATURES).collect()
-    return np.array([[r[c] for c in FEATURES] for r in rows], dtype=float)
+    first = feats.agg(*[F.min_by(F.struct(*FEATURES), F.struct(F.xxhash64("customer_id", F.lit(s)), "customer_id")).alias(f"s{s}")
+                        for s in range(n_init)]).first()
+    cand = [np.array([list(first[f"s{s}"])], dtype=float) for s in range(n_init)]
+    for turn in range(SEED_ROUNDS):
+        cand = _add_candidates(feats, cand, [x[2] for x in _centre_pass(feats, cand)], turn)
+    weights = [x[0] for x in _centre_pass(feats, cand)]
+    keys = [(k, s) for k in ks for s in range(n_init)]
+    centres = [_weighted_seeds(cand[s], weights[s], k, np.random.default_rng(42 + 1000 * k + s)) for k, s in keys]
+    for _ in range(LLOYD_PASSES):
+        got = _centre_pass(feats, centres)
+        sizes = [n for n, _, _ in got]
+        centres = [np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+                   for (n, sums, _), c in zip(got, centres, strict=True)]
+    return {key: (c, (n + 1) / (n + 1).sum()) for key, c, n in zip(keys, centres, sizes, strict=True)}
 
 
 @dataclass
@@ -227,11 +297,11 @@ def gmm_sweep(rfm: DataFrame, ks: list[int] | None = None, cov_types=tuple(COV_T
     cov0 = np.array([[head[f"c{i}{j}"] for j in range(3)] for i in range(3)]) - np.outer(mu, mu)
     cov0 = cov0 + REG_COVAR * np.eye(3) + 1e-3 * np.eye(3) * max(np.trace(cov0) / 3, 1e-6)
     ks = ks or list(range(2, max_components(n) + 1))
-    cand = _starts(feats, n_init, max(ks))
+    begin = starts(feats, ks, n_init)
     models: list[Gmm] = []
     for k in ks:
         for s in range(n_init):
-            means, weights = _kmeans_seed(cand, k, np.random.default_rng(42 + 1000 * k + s))
+            means, weights = begin[(k, s)]
             for cov in cov_types:
                 c0 = cov0 if cov != "diag" else np.diag(np.diag(cov0))
                 models.append(Gmm(len(models), k, cov, s, weights.copy(), means.copy(),
@@ -290,7 +360,7 @@ def gmm_sweep(rfm: DataFrame, ks: list[int] | None = None, cov_types=tuple(COV_T
 
 def assign_components(rfm: DataFrame, g: Gmm) -> DataFrame:
     """Hard component per customer under one fitted mixture (most responsible)."""
-    w, m, c = g.weights, g.means, g.covs
+    coef = _density(g.weights, g.means, g.covs)
     cols = rfm.columns
 
     def run(batches):
@@ -298,7 +368,7 @@ def assign_components(rfm: DataFrame, g: Gmm) -> DataFrame:
             X = pdf[FEATURES].to_numpy(dtype=float)
             comp = np.zeros(len(X), dtype="int32")
             if len(X):
-                comp = (_log_gauss(X, m, c) + np.log(w)).argmax(axis=1).astype("int32")
+                comp = (_terms(X) @ coef).argmax(axis=1).astype("int32")
             yield pdf.assign(component=comp)
 
     schema = T.StructType(rfm.schema.fields + [T.StructField("component", T.IntegerType())])
@@ -401,7 +471,7 @@ def silhouette_sq_euclidean(labelled: DataFrame) -> float:
     return float(ev.evaluate(va.transform(labelled.withColumn("cluster", F.col("cluster").cast("double")))))
 
 
-# ── F8 / F9 / F10 / F11 ──────────────────────────────────────────────────────
+# ── F8 / F10 / F11 ──────────────────────────────────────────────────────
 
 def customer_map(labelled: DataFrame) -> DataFrame:
     """F8: 2-D PCA coordinates per customer with its label payload."""
@@ -417,17 +487,12 @@ def customer_map(labelled: DataFrame) -> DataFrame:
         F.coalesce(F.col("frequency").cast("bigint"), F.lit(0)).alias("frequency"))
 
 
-def map_sample(points: DataFrame, cap: int = MAP_SAMPLE) -> DataFrame:
-    """a stable sample of at most ``cap`` customers for drawing."""
-    return points.orderBy(F.xxhash64("customer_id"), "customer_id").limit(cap)
-
-
 def map_scaled(points: DataFrame) -> DataFrame:
     """x, y min-max scaled to the unit box (a zero range divides by 1)."""
-    w = Window.partitionBy()
+    box = points.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
 
     def unit(c):
-        lo, hi = F.min(c).over(w), F.max(c).over(w)
+        lo, hi = box.select(f"lo_{c}").scalar(), box.select(f"hi_{c}").scalar()
         return (F.col(c) - lo) / F.when(hi - lo == 0, F.lit(1.0)).otherwise(hi - lo)
 
     return points.withColumn("sx", unit("x")).withColumn("sy", unit("y"))

@@ -71,7 +71,7 @@ def analyse(raw: DataFrame, focus: str = "general", segmentation: str = "mixture
     t["customers"] = labelled
     t["segments"] = profiles
     t["segment_comparison"] = S.segment_comparison(profiles)
-    t["customer_map"] = S.map_scaled(S.map_sample(S.customer_map(labelled)))
+    t["customer_map"] = S.map_scaled(S.customer_map(labelled))
 
     baskets = D.build_baskets(clean, kind)
     mined = G.run_rules(baskets, clean if kind == "transactional" else None)

@@ -216,10 +216,9 @@ def gmm_segment_profiles(spark, sf_dir):
 
 @register("customer_map")
 def customer_map(spark, sf_dir):
-    """F8 + F9 + F10: PCA map of the quantile segments, sampled, scaled to the unit box."""
+    """F8 + F10: PCA map of every customer of the quantile segments, scaled to the unit box."""
     lab, _ = _quantile_segments(spark, sf_dir)
-    pts = S.map_sample(S.customer_map(lab))
-    return S.map_scaled(pts)
+    return S.map_scaled(S.customer_map(lab))
 
 
 @register("customer_map_centroids")
