@@ -44,11 +44,19 @@ def test_elapsed_days_floors_time_of_day(spark):
     assert row["d"] == 1 and row["dd"] == 2
 
 
-def test_detect_date_format(spark):
-    df = spark.createDataFrame([("14-03-25", 1), ("02-04-25", 2)], "date string, _ord int")
-    assert N.detect_date_format(df, "date") == "dd-MM-yy"
-    df2 = spark.createDataFrame([("2023-01-05", 1)], "date string, _ord int")
-    assert N.detect_date_format(df2, "date") == "yyyy-MM-dd"
+def test_date_format_is_the_one_that_rejects_least(spark):
+    def choose(*values):
+        return N.choose_date_format(spark.createDataFrame([(v,) for v in values], "date string"), "date")
+
+    assert choose("14-03-25", "02-04-25") == ("dd-MM-yy", 0, 2)
+    assert choose("2023-01-05") == (None, 0, 1)  # the reader's own ISO form
+    # the first value alone reads as month/day too
+    assert choose("03/04/2025", "25/04/2025", "30/04/2025") == ("dd/MM/yyyy", 0, 3)
+    assert choose("03/04/2025", "05/06/2025") == ("MM/dd/yyyy", 0, 2)
+    assert choose("25.12.2024", "soon", "", None, "26.12.2024") == ("dd.MM.yyyy", 1, 3)
+    assert choose("soon", None) == (None, 1, 1)
+    assert choose(None, " ") == (None, 0, 0)
+    assert choose() == (None, 0, 0)
 
 
 @settings(max_examples=15, deadline=None)

@@ -68,8 +68,7 @@ def test_analyse_whole_upload_from_csv(spark):
     from tillwise.sources import csv as csv_src
     base = ensure_checkpoint_dir(spark).rstrip("/") + "/tillwise/test-analysis-" + \
         hashlib.sha1(b"analysis").hexdigest()[:6]
-    csv_src.write_sales_export(prepare.raw_sales(spark, SF), base + "/csv")
-    raw = csv_src.read_sales_csv(spark, base + "/csv")
+    raw = csv_src.read_sales_csv(spark, csv_src.write_sales_export(prepare.raw_sales(spark, SF), base + "/csv"))
     res = analyse(raw, focus="retention", segmentation="quantile", job_id="t1")
     assert res.dataset_type == "transactional"
     t = res.tables

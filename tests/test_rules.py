@@ -74,3 +74,29 @@ def test_mode_ladder_falls_to_first_word_categories(spark):
     assert res.mining_mode == "category" and res.total_found == 2
     got = {(tuple(r["antecedents"]), tuple(r["consequents"])) for r in res.rules.collect()}
     assert got == {(("blue",), ("red",)), (("red",), ("blue",))}
+
+
+def test_other_kinds_fall_back_to_popular_items_and_empty_has_every_column(spark):
+    schema = "customer_id string, basket_key string, items array<string>, n_lines long"
+    every = spark.createDataFrame([("c1", "c1", ["x"], 1), ("c2", "c2", ["x"], 1), ("c3", "c3", ["y"], 1)], schema)
+    res = G.run_rules(every.where("n_lines > 1"), baskets_all=every)
+    assert res.mining_mode == "popular_fallback" and res.total_found == 2
+    top = res.rules.orderBy("rank").first()
+    assert top["consequents"] == ["x"] and top["purchase_count"] == 2 and abs(top["support"] - 0.6667) < 1e-9
+    none = G.run_rules(every.where("false"), baskets_all=every.where("false"))
+    assert none.mining_mode == "empty"
+    assert none.rules.columns == ["antecedents", "consequents", "support", "confidence", "lift", "rank", "mode"]
+
+
+def test_masks_reach_past_thirty_items(spark):
+    its = spark.createDataFrame([([f"i{k:02d}" for k in range(31)], 1, 0.5)], "items array<string>, freq long, support double")
+    size = its.selectExpr("shiftleft(1L, size(items)) - 2L AS n").first()["n"]
+    assert size == 2 ** 31 - 2
+
+
+def test_mining_releases_what_it_keeps(spark):
+    res = G.mine_rules(_tx(spark), 0.1, 0.3, 5, "product")
+    held = list(res.kept)
+    assert len(held) == 3 and all(df.storageLevel.useMemory for df in held)
+    res.release()
+    assert not any(df.storageLevel.useMemory for df in held)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # Spark's cast also accepts '1.5d' / '1.5f'; the reference's reader does not.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
-# Date formats tried, in order, on the first non-empty date text.
+# Date formats tried, in order, over the whole column.
 DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
@@ -54,30 +54,29 @@ def parse_timestamp(c, fmt: str | None) -> Column:
     return F.try_to_timestamp(col.cast("string"), F.lit(fmt))
 
 
-def detect_date_format(df: DataFrame, col: str, order_col: str | None = "_ord",
-                       formats: list[str] | None = None) -> str | None:
-    """Pick the first format that parses the first non-empty value (by input order).
+def choose_date_format(df: DataFrame, col: str, formats: list[str] | None = None) -> tuple[str | None, int, int]:
+    """(format, rejected values, values): the format that rejects the fewest values of the whole column.
 
-    One small driver read (a ``min_by`` over the column); returns None when the
-    value already parses as an ISO timestamp or no format fits.
+    ``None`` stands for the reader's own ISO forms and comes first; of formats that
+    reject equally many, the first of the list wins (so a column that reads both as
+    month/day and as day/month is month/day). If every format rejects every value the
+    answer is ``None``. One aggregate per distinct text, then one over those.
     """
     formats = formats or DATE_FORMATS
     txt = F.trim(F.col(col).cast("string"))
-    base = df.filter(txt.isNotNull() & (txt != ""))
-    if order_col and order_col in df.columns:
-        row = base.agg(F.min_by(txt, F.col(order_col)).alias("v")).first()
-    else:
-        row = base.select(txt.alias("v")).first()
-    if row is None or row["v"] is None:
-        return None
-    sample = row["v"]
-    probes = [F.try_to_timestamp(F.lit(sample), F.lit(f)).isNotNull().alias(f"f{i}")
-              for i, f in enumerate(formats)]
-    hits = df.sparkSession.range(1).select(*probes).first()
-    for i, f in enumerate(formats):
-        if hits[f"f{i}"]:
-            return f
-    return None
+    seen = df.select(txt.alias("v")).where("v IS NOT NULL AND v <> ''").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    tried = [F.col("v").try_cast("timestamp"), *[F.try_to_timestamp("v", F.lit(f)) for f in formats]]
+    row = seen.agg(F.sum("n"), *[F.sum(F.when(t.isNull(), F.col("n")).otherwise(0)) for t in tried]).first()
+    total = row[0] or 0
+    if not total:
+        return None, 0, 0
+    best = min(range(len(tried)), key=lambda i: (row[1 + i], i))
+    return ([None, *formats][best] if row[1 + best] < total else None), row[1 + best], total
+
+
+def detect_date_format(df: DataFrame, col: str, formats: list[str] | None = None) -> str | None:
+    """The format of ``choose_date_format``."""
+    return choose_date_format(df, col, formats)[0]
 
 
 def elapsed_days(later, earlier) -> Column:

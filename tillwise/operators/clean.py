@@ -55,8 +55,8 @@ def clean_string_formats(df: DataFrame) -> DataFrame:
 def coerce_types(df: DataFrame, date_format: str | None = "auto") -> DataFrame:
     """Ids/text → trimmed string, numbers → double (bad → null), date → timestamp.
 
-    ``date_format='auto'`` reads the first non-empty date text (by ``_ord``) and
-    keeps the first format in ``DATE_FORMATS`` that parses it.
+    ``date_format='auto'`` takes the format of ``DATE_FORMATS`` that rejects the fewest
+    values of the column; ``numeric.choose_date_format`` gives the number rejected.
     """
     types = dict(df.dtypes)
     repl = {}

@@ -12,7 +12,7 @@ joining back on the sorted item arrays (downward closure guarantees a hit).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
@@ -68,15 +68,16 @@ def frequent_itemsets(tx: DataFrame, min_support: float, num_partitions: int | N
 def generate_rules(itemsets: DataFrame) -> DataFrame:
     """G3 + G4 metrics: all non-empty antecedent → consequent splits of each itemset.
 
-    Output: antecedents, consequents (sorted arrays), support, confidence, lift,
-    plus antecedent_support and consequent_support.
+    ``itemsets`` is read three times (the splits and both sides' supports), so hand
+    over a kept table. Output: antecedents, consequents (sorted arrays), support,
+    confidence, lift, plus antecedent_support and consequent_support.
     """
     big = itemsets.filter(F.size("items") >= 2)
-    masks = F.expr("sequence(1, shiftleft(1, size(items)) - 2)")
+    masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)")
     split = big.select("items", "support", F.explode(masks).alias("mask"))
 
     def pick(bit_on: bool) -> Column:
-        return F.expr(f"filter(items, (x, i) -> (shiftright(mask, i) & 1) = {1 if bit_on else 0})")
+        return F.expr(f"filter(items, (x, i) -> (shiftright(mask, i) & 1L) = {1 if bit_on else 0})")
 
     split = split.select(pick(True).alias("antecedents"), pick(False).alias("consequents"), "support")
     sup = itemsets.select("items", "support")
@@ -101,6 +102,10 @@ def round_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumns({c: F.round(c, 4) for c in ("support", "confidence", "lift")})
 
 
+RULE_SCHEMA = ("antecedents array<string>, consequents array<string>, support double, confidence double, lift double, "
+               "rank int, mode string")
+
+
 @dataclass
 class MiningResult:
     rules: DataFrame          # ranked, rounded rules (rank ≤ top_n), with ``mode``
@@ -108,6 +113,17 @@ class MiningResult:
     mining_mode: str
     min_support: float | None = None
     min_confidence: float | None = None
+    kept: list[DataFrame] = field(default_factory=list)   # persisted frames that ``rules`` reads
+
+    def release(self) -> None:
+        """Unpersist what the rules were computed from."""
+        for df in self.kept:
+            df.unpersist()
+        self.kept.clear()
+
+
+def _nothing(df: DataFrame, mode: str, min_support: float | None = None) -> MiningResult:
+    return MiningResult(df.sparkSession.createDataFrame([], RULE_SCHEMA), 0, mode, min_support)
 
 
 def support_level(tx: DataFrame, min_support: float) -> float | None:
@@ -128,27 +144,30 @@ def support_level(tx: DataFrame, min_support: float) -> float | None:
 
 def mine_rules(tx: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
                top_n: int = TOP_N, mode: str = "product") -> MiningResult:
-    """G2–G5 on normalised baskets: relaxed support, one FP-growth run, relaxed confidence."""
-    tx = normalise_baskets(tx).persist()
-    empty = tx.sparkSession.createDataFrame(
-        [], "antecedents array<string>, consequents array<string>, support double, confidence double, "
-            "lift double, rank int, mode string")
-    if tx.count() < MIN_BASKETS:
-        return MiningResult(empty, 0, mode)
-    s = support_level(tx, min_support)
-    if s is None:
-        return MiningResult(empty, 0, mode)
-    itemsets = frequent_itemsets(tx, s)
-    all_rules = generate_rules(itemsets).persist()
-    for step in CONFIDENCE_STEPS:
-        c = min_confidence * step
-        kept = all_rules.filter(F.col("confidence") >= c)
-        total = kept.count()
-        if total > 0:
-            ranked = round_rules(rank_rules(kept, top_n)).withColumn("mode", F.lit(mode))
-            out = ranked.select("antecedents", "consequents", "support", "confidence", "lift", "rank", "mode")
-            return MiningResult(out, total, mode, s, c)
-    return MiningResult(empty, 0, mode, s, None)
+    """G2–G5 on normalised baskets: relaxed support, one FP-growth run, relaxed confidence.
+
+    Baskets, itemsets and rules are each computed once and kept until the result is
+    released (or, if nothing is found, until here).
+    """
+    kept = [normalise_baskets(tx).persist()]
+    tx = kept[0]
+    result = _nothing(tx, mode)
+    s = support_level(tx, min_support) if tx.count() >= MIN_BASKETS else None
+    if s is not None:
+        kept.append(frequent_itemsets(tx, s).persist())
+        kept.append(generate_rules(kept[-1]).persist())
+        result = _nothing(tx, mode, s)
+        for step in CONFIDENCE_STEPS:
+            c = min_confidence * step
+            found = kept[-1].filter(F.col("confidence") >= c)
+            total = found.count()
+            if total > 0:
+                ranked = round_rules(rank_rules(found, top_n)).withColumn("mode", F.lit(mode))
+                out = ranked.select("antecedents", "consequents", "support", "confidence", "lift", "rank", "mode")
+                return MiningResult(out, total, mode, s, c, kept)
+    for df in kept:
+        df.unpersist()
+    return result
 
 
 def category_share(baskets: DataFrame) -> float:
@@ -164,6 +183,10 @@ def popular_items(sales: DataFrame, baskets_all: DataFrame | None = None, label:
                  sales.select(F.count_distinct("customer_id", basket_key)).scalar())
     counts = sales.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("item")) \
                   .agg(F.count(F.lit(1)).cast("bigint").alias("purchase_count"))
+    return _popular(counts, n_baskets, top_n)
+
+
+def _popular(counts: DataFrame, n_baskets: Column, top_n: int) -> DataFrame:
     w = Window.orderBy(F.col("purchase_count").desc(), F.col("item"))
     top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
     sup = F.round(F.col("purchase_count") / n_baskets, 4)
@@ -172,12 +195,21 @@ def popular_items(sales: DataFrame, baskets_all: DataFrame | None = None, label:
                       F.lit("popular_fallback").alias("mode"), "purchase_count")
 
 
+def popular_in_baskets(baskets: DataFrame, top_n: int = TOP_N) -> DataFrame:
+    """G8 without sales lines: items ranked by the baskets that hold them, support over all ``baskets``."""
+    n = baskets.select(F.count(F.lit(1))).scalar()
+    lines = baskets.select(F.explode("items").alias("item"))
+    return _popular(lines.groupBy("item").agg(F.count(F.lit(1)).cast("bigint").alias("purchase_count")), n, top_n)
+
+
 def run_rules(baskets: DataFrame, sales: DataFrame | None = None, label: str = "product_name",
               min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-              top_n: int = TOP_N) -> MiningResult:
+              top_n: int = TOP_N, baskets_all: DataFrame | None = None) -> MiningResult:
     """G6 ladder: product → category → first-word category → relaxed product → popular items.
 
-    ``baskets`` are the multi-line baskets (D7/D8 output, ``items`` + ``n_lines``).
+    ``baskets`` are the multi-line baskets (D7/D8 output, ``items`` + ``n_lines``). The
+    last rung counts lines of ``sales`` where that is given (transactional data), else
+    the items of ``baskets_all``, all baskets with the single-item ones (any other kind).
     """
     tx = baskets.filter(F.col("n_lines") > 1) if "n_lines" in baskets.columns else baskets
     stats = tx.agg(F.count(F.lit(1)).alias("n"), F.avg("n_lines" if "n_lines" in tx.columns
@@ -200,12 +232,10 @@ def run_rules(baskets: DataFrame, sales: DataFrame | None = None, label: str = "
         res = mine_rules(tx, min_support / 4, min_confidence / 2, top_n, "product")
         if res.total_found > 0:
             return res
-    if sales is None:
-        empty = baskets.sparkSession.createDataFrame([], "antecedents array<string>, consequents array<string>")
-        return MiningResult(empty, 0, "empty")
-    pop = popular_items(sales, label=label, top_n=top_n)
+    pop = (popular_items(sales, label=label, top_n=top_n) if sales is not None else
+           popular_in_baskets(baskets if baskets_all is None else baskets_all, top_n))
     k = pop.count()
-    return MiningResult(pop, k, "popular_fallback" if k else "empty")
+    return MiningResult(pop, k, "popular_fallback") if k else _nothing(baskets, "empty")
 
 
 def search_rules(rules: DataFrame, query: str, sort_by: str = "lift") -> DataFrame:

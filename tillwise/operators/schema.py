@@ -245,12 +245,19 @@ def check_kind_columns(columns: list[str], kind: str) -> None:
 
 # ── A6: admission gate ───────────────────────────────────────────────────────
 
-def admission(raw: DataFrame, clean: DataFrame, min_rows: int = 100, min_clean: int = 10) -> DataFrame:
-    """One row: input rows, rows after cleaning, removed, ok flag and message."""
+def admission(raw: DataFrame, clean: DataFrame, min_rows: int = 100, min_clean: int = 10,
+              unpacked: DataFrame | None = None) -> DataFrame:
+    """One row: input rows, rows after cleaning, removed, ok flag and message.
+
+    The gate counts the rows of the upload as it came (``raw``); the rows removed are
+    those of ``unpacked``, the rows after packed reviews are taken apart (``raw`` where
+    nothing is packed).
+    """
     r = raw.agg(F.count(F.lit(1)).alias("input_rows"))
     c = clean.agg(F.count(F.lit(1)).alias("clean_rows"))
-    j = r.select("input_rows", c.scalar().alias("clean_rows"))
-    removed = F.col("input_rows") - F.col("clean_rows")
+    u = (raw if unpacked is None else unpacked).agg(F.count(F.lit(1)).alias("unpacked_rows"))
+    j = r.select("input_rows", c.scalar().alias("clean_rows"), u.scalar().alias("unpacked_rows"))
+    removed = F.col("unpacked_rows") - F.col("clean_rows")
     return j.select(
         "input_rows", "clean_rows", removed.alias("rows_removed"),
         ((F.col("input_rows") >= min_rows) & (F.col("clean_rows") >= min_clean)).alias("admitted"),

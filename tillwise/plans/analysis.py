@@ -49,11 +49,12 @@ def analyse(raw: DataFrame, focus: str = "general", segmentation: str = "mixture
     mapping = {c: c for c in df.columns if c in A.CANONICAL_ALIASES}
     kind = A.detect_dataset_type(df.columns)
     A.check_kind_columns(df.columns, kind)
-    if kind == "review":
-        df = C.unpack_packed_rows(df)
-    typed = C.coerce_types(C.clean_string_formats(df))
+    rows = C.unpack_packed_rows(df) if kind == "review" else df
+    # typed once; the filters, the counts and the fence passes all read the kept rows
+    typed = materialize(C.coerce_types(C.clean_string_formats(rows)), f"{job_id}-typed")
     clean = materialize(D.engineer_features(C.clean_rows(typed, kind), kind), f"{job_id}-clean")
-    A.enforce_admission(A.admission(df, clean))
+    A.enforce_admission(A.admission(df, clean, unpacked=typed))
+    df = typed
 
     out = Analysis(kind, mapping)
     t = out.tables
@@ -74,7 +75,8 @@ def analyse(raw: DataFrame, focus: str = "general", segmentation: str = "mixture
     t["customer_map"] = S.map_scaled(S.customer_map(labelled))
 
     baskets = D.build_baskets(clean, kind)
-    mined = G.run_rules(baskets, clean if kind == "transactional" else None)
+    mined = G.run_rules(baskets, clean if kind == "transactional" else None,
+                        baskets_all=D.build_baskets(clean, kind, keep_singles=True))
     out.rules_found, out.mining_mode = mined.total_found, mined.mining_mode
     t["rules"] = mined.rules
 
@@ -117,11 +119,6 @@ def _report(t: dict, profiles: DataFrame, rules: DataFrame, monthly: DataFrame |
     for c, (value, typ) in defaults.items():
         if c not in summary.columns:
             summary = summary.withColumn(c, F.lit(value).cast(typ))
-    if "rank" not in rules.columns:
-        rules = rules.withColumn("rank", F.lit(1))
-    if "antecedents" not in rules.columns or "confidence" not in rules.columns:
-        rules = spark.createDataFrame([], "antecedents array<string>, consequents array<string>, "
-                                          "confidence double, lift double, rank int")
     mon = monthly if monthly is not None else spark.createDataFrame([], "month string, total_revenue double")
     top = t.get("top_products")
     top = (top.select("product_name", "total_revenue", "rank") if top is not None else

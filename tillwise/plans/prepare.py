@@ -169,6 +169,7 @@ def customer_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the per-customer aggregate is kept; the quartile passes and the scaling
     # projection then read one row per customer instead of every sales line
     raw = materialize(D.rfm_table(clean_sales(spark, sf_dir), "transactional"), "customer_rfm_raw", key)
+    _CACHE[_key(spark, sf_dir, "customer_rfm_raw")] = raw  # release() frees the table below the projection too
     out = D.robust_scale(raw)
     _CACHE[key] = out
     return out
@@ -214,3 +215,15 @@ def baskets(spark: SparkSession, sf_dir: str, label: str = "product_name") -> Da
                       key)
     _CACHE[key] = out
     return out
+
+
+def itemsets(spark: SparkSession, sf_dir: str, label: str, min_support: float) -> DataFrame:
+    """G2 itemsets of the normalised baskets of one item column, mined and kept once per session."""
+    from ..operators import rules as G
+    key = _key(spark, sf_dir, f"itemsets_{label}_{min_support}")
+    if key not in _CACHE:
+        tx = G.normalise_baskets(baskets(spark, sf_dir, label))
+        out = G.frequent_itemsets(tx, min_support).persist(StorageLevel.MEMORY_AND_DISK)
+        out.count()
+        _CACHE[key] = out
+    return _CACHE[key]

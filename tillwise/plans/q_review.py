@@ -121,43 +121,17 @@ def review_static_top_products(spark, sf_dir):
 
 
 @register("review_admission", with_reviews("""
-, n AS (SELECT (SELECT count(*) FROM rv_u) AS input_rows, (SELECT count(*) FROM rsales) AS clean_rows)
-SELECT input_rows, clean_rows, input_rows - clean_rows AS rows_removed,
+, n AS (SELECT (SELECT count(*) FROM rv_raw) AS input_rows, (SELECT count(*) FROM rv_u) AS unpacked_rows,
+               (SELECT count(*) FROM rsales) AS clean_rows)
+SELECT input_rows, clean_rows, unpacked_rows - clean_rows AS rows_removed,
        input_rows >= 100 AND clean_rows >= 10 AS admitted,
        CASE WHEN input_rows < 100 THEN printf('File has %d rows; at least 100 are needed.', input_rows)
             WHEN clean_rows < 10 THEN printf('After cleaning, only %d valid rows remained (%d rows removed). '
-                                             || 'Please check your data quality.', clean_rows, input_rows - clean_rows)
+                                             || 'Please check your data quality.', clean_rows, unpacked_rows - clean_rows)
        END AS message
 FROM n
 """))
 def review_admission(spark, sf_dir):
-    """Row-count gate on the unpacked input and the cleaned rows."""
+    """Row-count gate on the upload's own rows and the cleaned rows."""
     unpacked = prepare.review_typed(spark, sf_dir)  # typing keeps every unpacked row
-    return A.admission(unpacked, prepare.review_sales(spark, sf_dir))
-
-
-def _columns_table(spark, sf_dir):
-    from ..sources.tables import TABLES, read_table
-    rows = []
-    for i, t in enumerate(TABLES):
-        for pos, c in enumerate(read_table(spark, sf_dir, t).columns):
-            rows.append((t, pos, c))
-    raw_cols = [c for c in prepare.review_raw(spark, sf_dir).columns if not c.startswith("_")]
-    for pos, c in enumerate(raw_cols):
-        rows.append(("review_raw", pos, c))
-    for pos, c in enumerate(["Order ID", "Date", "Product", "Category", "Price", "Quantity", "Total Sales",
-                             "Customer Name", "Customer Location", "Payment Method", "Status"]):
-        rows.append(("sales_export", pos, c))
-    return spark.createDataFrame(rows, "source_id string, position int, column_name string")
-
-
-@register("schema_harmonise")
-def schema_harmonise(spark, sf_dir):
-    """A3: fuzzy canonical names for the columns of every test table (and two export headers)."""
-    return A.harmonise_schemas(_columns_table(spark, sf_dir))
-
-
-@register("schema_audit")
-def schema_audit(spark, sf_dir):
-    """A4 + A5: per source, customer column present, missing optionals, dataset kind."""
-    return A.schema_audit(A.harmonise_schemas(_columns_table(spark, sf_dir)))
+    return A.admission(prepare.review_raw(spark, sf_dir), prepare.review_sales(spark, sf_dir), unpacked=unpacked)

@@ -13,7 +13,14 @@ from ..operators import features as D
 from ..operators import rules as G
 from . import prepare
 from .registry import register
-from .sql import with_sales
+from .sql import MASK_RULES, first_rung, mask_itemsets, mask_ladder, with_catalog, with_reviews, with_sales
+
+REVIEW_BASKETS = """
+, rb AS (SELECT list_sort(list(DISTINCT category)) AS items FROM rsales WHERE category IS NOT NULL
+         GROUP BY customer_id HAVING count(DISTINCT category) > 1)
+"""
+_MODE = f"CASE WHEN (SELECT count(*) FROM rb) >= {G.PRODUCT_MODE_BASKETS} THEN 'product' ELSE 'category' END"
+LADDER = first_rung("rb", "rw") + mask_ladder("rw", G.MIN_SUPPORT, G.MIN_CONFIDENCE, mode=_MODE)
 
 BRAND_TX = """
 , bp AS (SELECT DISTINCT customer_id, transaction_id, brand FROM sales WHERE brand IS NOT NULL),
@@ -42,10 +49,87 @@ UNION ALL
 SELECT i1 || '|' || i2 AS items, CAST(freq AS BIGINT) AS freq, round(support, 6) AS support FROM f2
 """))
 def rules_itemsets_small(spark, sf_dir):
-    """G1 + G2: frequent itemsets of one and two brands at support 0.02."""
-    its = G.frequent_itemsets(_brand_tx(spark, sf_dir), 0.02)
-    return its.filter(F.size("items") <= 2).select(F.array_join("items", "|").alias("items"), "freq",
-                                                  F.round("support", 6).alias("support"))
+    """G1 + G2: frequent itemsets of brands at support 0.02 (brands at that support go up to pairs)."""
+    return _itemset_rows(prepare.itemsets(spark, sf_dir, "brand", 0.02))
+
+
+def _itemset_rows(its):
+    return its.select(F.array_join("items", "|").alias("items"), "freq", F.round("support", 6).alias("support"))
+
+
+def _rule_rows(rules):
+    return G.round_rules(rules).select(F.array_join("antecedents", "|").alias("antecedents"),
+                                       F.array_join("consequents", "|").alias("consequents"),
+                                       "support", "confidence", "lift")
+
+
+def _mined_rows(res):
+    return res.rules.select(F.array_join("antecedents", "|").alias("antecedents"),
+                            F.array_join("consequents", "|").alias("consequents"), "support", "confidence", "lift", "rank",
+                            "mode", F.lit(res.total_found).cast("bigint").alias("total_found"),
+                            F.lit(res.min_support).cast("double").alias("min_support"))
+
+
+TYPE_BASKETS = """
+, tb AS (SELECT list_sort(list(DISTINCT category)) AS items FROM sales WHERE category IS NOT NULL
+         GROUP BY customer_id, transaction_id HAVING count(DISTINCT category) > 1)
+"""
+
+
+@register("rules_itemsets_all", with_sales(TYPE_BASKETS + mask_itemsets("tb", "0.02::DOUBLE") + """
+SELECT array_to_string(items, '|') AS items, freq, round(support, 6) AS support FROM fi
+"""))
+def rules_itemsets_all(spark, sf_dir):
+    """Frequent itemsets of every size over the baskets of part types."""
+    return _itemset_rows(prepare.itemsets(spark, sf_dir, "category", 0.02))
+
+
+@register("rules_all_splits", with_sales(TYPE_BASKETS + mask_itemsets("tb", "0.02::DOUBLE") + MASK_RULES + """
+SELECT array_to_string(ai, '|') AS antecedents, array_to_string(ci, '|') AS consequents, round(support, 4) AS support,
+       round(confidence, 4) AS confidence, round(lift, 4) AS lift
+FROM ru
+"""))
+def rules_all_splits(spark, sf_dir):
+    """Every antecedent → consequent split of every itemset, several items on either side."""
+    return _rule_rows(G.generate_rules(prepare.itemsets(spark, sf_dir, "category", 0.02)))
+
+
+@register("rules_support_relaxed", with_reviews(REVIEW_BASKETS + mask_ladder("rb", 1.01, 0.3)))
+def rules_support_relaxed(spark, sf_dir):
+    """A support above every item's is halved until an item reaches it."""
+    return _mined_rows(G.mine_rules(D.build_baskets(prepare.review_sales(spark, sf_dir), "review"), 1.01))
+
+
+@register("review_rules_ladder", with_reviews(REVIEW_BASKETS + LADDER))
+def review_rules_ladder(spark, sf_dir):
+    """G6 on review-kind baskets: product mode over the categories of a customer."""
+    s = prepare.review_sales(spark, sf_dir)
+    return _mined_rows(G.run_rules(D.build_baskets(s, "review"), baskets_all=D.build_baskets(s, "review", keep_singles=True)))
+
+
+@register("catalog_rules_ladder", with_catalog("""
+, rb AS (SELECT list_sort(list(DISTINCT category)) AS items FROM cclean WHERE category IS NOT NULL
+         GROUP BY customer_id HAVING count(DISTINCT category) > 1)
+""" + LADDER))
+def catalog_rules_ladder(spark, sf_dir):
+    """G6 on catalog-kind baskets."""
+    s = prepare.catalog_sales(spark, sf_dir)
+    return _mined_rows(G.run_rules(D.build_baskets(s, "catalog"), baskets_all=D.build_baskets(s, "catalog", keep_singles=True)))
+
+
+@register("review_popular_items", with_reviews("""
+, b AS (SELECT DISTINCT customer_id, category FROM rsales WHERE category IS NOT NULL),
+n AS (SELECT count(DISTINCT customer_id) AS n FROM b),
+c AS (SELECT category, count(*) AS k FROM b GROUP BY 1)
+SELECT category AS consequents, round(k / n, 4) AS support, row_number() OVER (ORDER BY k DESC, category) AS rank,
+       'popular_fallback' AS mode, k AS purchase_count
+FROM c, n
+"""))
+def review_popular_items(spark, sf_dir):
+    """G8 for review data: items by the baskets that hold them, single-item baskets included."""
+    every = D.build_baskets(prepare.review_sales(spark, sf_dir), "review", keep_singles=True)
+    return G.popular_in_baskets(every).select(F.array_join("consequents", "|").alias("consequents"), "support", "rank", "mode",
+                                              "purchase_count")
 
 
 _PAIR_RULES = """
@@ -66,13 +150,9 @@ SELECT a AS antecedents, c AS consequents, round(support, 4) AS support,
 FROM pr_rules WHERE confidence >= 0.15
 """))
 def rules_pairs(spark, sf_dir):
-    """G3 + G4: one-item → one-item rules at the relaxed confidence (0.3 × ½) and their metrics."""
-    its = G.frequent_itemsets(_brand_tx(spark, sf_dir), 0.02)
-    r = G.generate_rules(its).filter((F.size("antecedents") == 1) & (F.size("consequents") == 1)
-                                     & (F.col("confidence") >= 0.15))
-    return G.round_rules(r).select(F.array_join("antecedents", "|").alias("antecedents"),
-                                   F.array_join("consequents", "|").alias("consequents"),
-                                   "support", "confidence", "lift")
+    """G3 + G4: brand rules at the relaxed confidence (0.3 × ½) and their metrics."""
+    its = prepare.itemsets(spark, sf_dir, "brand", 0.02)
+    return _rule_rows(G.generate_rules(its).filter(F.col("confidence") >= 0.15))
 
 
 @register("rules_search", with_sales(BRAND_TX + _PAIR_RULES + """
@@ -82,12 +162,9 @@ FROM pr_rules WHERE confidence >= 0.15 AND lower(a || ' ' || c) LIKE '%brand#1%'
 """))
 def rules_search(spark, sf_dir):
     """Rules whose items mention 'brand#1' (case-blind), confidence ≥ 0.15."""
-    its = G.frequent_itemsets(_brand_tx(spark, sf_dir), 0.02)
-    r = G.generate_rules(its).filter((F.size("antecedents") == 1) & (F.size("consequents") == 1)
-                                     & (F.col("confidence") >= 0.15))
-    r = G.search_rules(G.round_rules(r), "Brand#1")
-    return r.select(F.array_join("antecedents", "|").alias("antecedents"),
-                    F.array_join("consequents", "|").alias("consequents"), "support", "confidence", "lift")
+    its = prepare.itemsets(spark, sf_dir, "brand", 0.02)
+    rules = G.generate_rules(its).filter(F.col("confidence") >= 0.15)
+    return _rule_rows(G.search_rules(G.round_rules(rules), "Brand#1"))
 
 
 @register("rules_all_brand", with_sales(BRAND_TX + _PAIR_RULES + """
@@ -100,7 +177,7 @@ SELECT a AS antecedents, c AS consequents, round(support, 4) AS support, round(c
 FROM rk WHERE rank <= 20
 """))
 def rules_all_brand(spark, sf_dir):
-    """G3 (every split, multi-item consequents included) + G4 top 20 by lift on brand baskets."""
+    """G3 + G4 + G5: top 20 by lift on brand baskets, confidence relaxed if need be."""
     res = G.mine_rules(_brand_tx(spark, sf_dir), 0.02, 0.3, 20, "product")
     r = res.rules
     return r.select(F.array_join("antecedents", "|").alias("antecedents"),

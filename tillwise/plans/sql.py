@@ -105,3 +105,56 @@ def with_catalog(body: str) -> str:
     body = body.strip()
     head = "WITH " + CATALOG_CTES.replace("{raw}", CATALOG_RAW_SQL)
     return head + (body if body.startswith(",") else "\n" + body)
+
+
+def mask_itemsets(baskets: str, min_support: str) -> str:
+    """CTEs ``bn``, ``top`` and ``fi``: frequent itemsets of any size over baskets of few distinct items.
+
+    ``baskets`` names a CTE with a list column ``items``; a basket becomes a bit mask, and
+    every mask is an itemset whose support is counted over the distinct baskets.
+    ``min_support`` may refer to ``top.support``, the support of the best single item.
+    """
+    return f"""
+, br AS (SELECT row_number() OVER () AS r, items FROM {baskets}),
+bx AS (SELECT r, unnest(items) AS i FROM br),
+ct AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS b FROM (SELECT DISTINCT i FROM bx)),
+bm AS (SELECT mask, count(*) AS c FROM (SELECT r, sum(1::BIGINT << b)::BIGINT AS mask FROM bx JOIN ct USING (i) GROUP BY r) GROUP BY mask),
+bn AS (SELECT count(*) AS n FROM br),
+im AS (SELECT unnest(generate_series(1, (1 << (SELECT count(*) FROM ct)::INT) - 1))::BIGINT AS mask),
+nm AS (SELECT mask, list_sort(list(i)) AS items FROM im JOIN ct ON (mask >> b) & 1 = 1 GROUP BY mask),
+sp AS (SELECT im.mask, sum(c)::BIGINT AS freq, sum(c)::BIGINT / any_value(n) AS support FROM im JOIN bm ON bm.mask & im.mask = im.mask, bn GROUP BY im.mask),
+top AS (SELECT max(support) AS support FROM sp JOIN nm USING (mask) WHERE len(items) = 1),
+ms AS (SELECT {min_support} AS s FROM top),
+fi AS (SELECT sp.*, items FROM sp JOIN nm USING (mask), ms WHERE support >= s)
+"""
+
+
+MASK_RULES = """
+, ru AS (
+  SELECT a.items AS ai, c.items AS ci, f.support, f.support / a.support AS confidence, f.support / a.support / c.support AS lift
+  FROM fi f JOIN fi a ON a.mask & f.mask = a.mask AND a.mask <> f.mask JOIN fi c ON c.mask = f.mask - a.mask)
+"""
+
+
+def first_rung(baskets: str, out: str) -> str:
+    """CTE ``out``: the baskets as they are from 50 on, else their lower-cased first words (the ladder's next rung)."""
+    return f"""
+, {out} AS (SELECT items FROM (
+    SELECT CASE WHEN (SELECT count(*) FROM {baskets}) >= 50 THEN items ELSE
+      list_sort(list_distinct(list_transform(items, lambda x: lower(regexp_extract(x, '^\\s*(\\S+)', 1))))) END AS items
+    FROM {baskets}) WHERE len(items) > 1)
+"""
+
+
+def mask_ladder(baskets: str, min_support: float, min_confidence: float, top_n: int = 20, mode: str = "'product'") -> str:
+    """The mined rules of ``baskets`` (G2–G5): relaxed support and confidence, ranked and cut."""
+    support = f"CASE WHEN support >= {min_support} THEN {min_support} WHEN support >= {min_support} * 0.5 THEN {min_support} * 0.5 ELSE {min_support} * 0.25 END"
+    return mask_itemsets(baskets, support.replace(f"{min_support}", f"{min_support}::DOUBLE")) + MASK_RULES + f"""
+, lv AS (SELECT CASE WHEN count(*) FILTER (confidence >= {min_confidence}) > 0 THEN {min_confidence}::DOUBLE ELSE {min_confidence} * 0.5::DOUBLE END AS c FROM ru),
+se AS (SELECT ru.* FROM ru, lv WHERE confidence >= c),
+rk AS (SELECT *, row_number() OVER (ORDER BY lift DESC, confidence DESC, support DESC, array_to_string(ai, chr(1)), array_to_string(ci, chr(1))) AS rank FROM se)
+SELECT array_to_string(ai, '|') AS antecedents, array_to_string(ci, '|') AS consequents, round(support, 4) AS support,
+       round(confidence, 4) AS confidence, round(lift, 4) AS lift, rank, {mode} AS mode,
+       (SELECT count(*) FROM se) AS total_found, (SELECT s FROM ms) AS min_support
+FROM rk WHERE rank <= {top_n}
+"""

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes (the only
 # broadcast decisions are size-checked by Spark's own threshold), coalesces small
@@ -46,11 +47,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is only set here when unset (local
-    runs and tests), and then to a fresh scratch folder.
+    A cluster names a shared folder there. It is only set here when unset, and then to a
+    fresh local folder, which does for a local master alone: on several machines each
+    executor would write to its own disk, so that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "local")
+        if not master.split("[")[0] == "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         current = tempfile.mkdtemp(prefix="tillwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -58,3 +63,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - no local SparkContext (Spark Connect); the conf is enough
         pass
     return current
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back: later plans start from files."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tillwise/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
