@@ -148,7 +148,8 @@ def build_baskets(sales: DataFrame, kind: str = "transactional", keep_singles: b
     aggs = [items.alias("items"), n_lines.cast("bigint").alias("n_lines")]
     if has_ord:
         aggs.append(F.min("_ord").alias("_ord"))
-    out = (sales.filter(F.col(label).isNotNull())
+    # a line without its key belongs to no basket: all of them together would be one
+    out = (sales.filter(F.col(label).isNotNull() & key.isNotNull() & F.col("customer_id").isNotNull())
                 .groupBy("customer_id", key.alias("basket_key")).agg(*aggs))
     if not keep_singles:
         out = out.filter(F.col("n_lines") > 1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..functions.ranking import ranked
 from .clean import with_order
 
 # ── Fixed values (must equal the reference's) ───────────────────────────────
@@ -39,6 +40,7 @@ HHI_LABELS = {
 MIN_GEO_ROWS = 5
 # ─────────────────────────────────────────────────────────────────────────────
 
+MAX_GEO_VALUES = 500
 REVENUE_CANDIDATES = ["revenue", "total_sales", "total_revenue", "amount", "price"]
 DATE_CANDIDATES = ["date", "invoice_date", "order_date", "purchase_date", "created_at"]
 PRODUCT_CANDIDATES = ["product_name", "product_id", "item_name", "product", "item"]
@@ -53,14 +55,10 @@ def find_geo_column(df: DataFrame) -> str | None:
     cands = (["region"] if "region" in df.columns else []) + [c for c in RAW_GEO_NAMES if c in df.columns]
     if not cands:
         return None
-    row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cands)]).first()
-    for i, c in enumerate(cands):
-        n = row[f"n{i}"]
-        if c == "region" and i == 0:
-            if n >= 2:
-                return c
-            continue
-        if 2 <= n <= 500:
+    for c in cands:  # each a narrow scan that stops counting past what the rule asks
+        limit = 2 if c == "region" else MAX_GEO_VALUES + 1
+        n = df.select(F.col(f"`{c}`").alias("v")).where("v IS NOT NULL").distinct().limit(limit).count()
+        if 2 <= n and (c == "region" or n <= MAX_GEO_VALUES):
             return c
     return None
 
@@ -87,16 +85,13 @@ def region_stats(geo: DataFrame) -> DataFrame:
         aggs.append(F.count_distinct("customer_id").cast("bigint").alias("unique_customers"))
     aggs.append(F.count(F.lit(1)).cast("bigint").alias("total_transactions"))
     g = geo.groupBy("region").agg(*aggs)
-    key = "total_revenue" if rev else "total_transactions"
-    order = Window.orderBy(F.col(key).desc(), F.col("region"))
-    out = g.withColumn("rank", F.row_number().over(order))
-    if rev:
-        tot = F.sum("total_revenue").over(Window.partitionBy())
-        out = out.withColumn("revenue_share_pct",
-                             F.when(tot > 0, F.round(F.col("total_revenue") / tot * 100, 1)).otherwise(F.lit(0.0)))
-        run = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn("cumulative_share_pct", F.round(F.sum("revenue_share_pct").over(run), 1))
-    return out
+    if not rev:
+        return ranked(g, [F.col("total_transactions").desc(), F.col("region")])
+    tot = g.agg(F.sum("total_revenue")).scalar()
+    share = F.when(tot > 0, F.round(F.col("total_revenue") / tot * 100, 1)).otherwise(F.lit(0.0))
+    out = ranked(g.withColumn("revenue_share_pct", share), [F.col("total_revenue").desc(), F.col("region")],
+                 {"revenue_share_pct": "cumulative_share_pct"})
+    return out.withColumn("cumulative_share_pct", F.round("cumulative_share_pct", 1))
 
 
 def region_monthly(geo: DataFrame) -> DataFrame:
@@ -191,7 +186,7 @@ def map_regions(stats: DataFrame) -> DataFrame:
     """Map name (word-capitalised, 12 aliases) and colour tier 0..5 by rank."""
     alias = F.create_map(*[x for kv in COUNTRY_NAME_MAP.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     titled = F.initcap(F.trim(F.col("region")))
-    total = F.count(F.lit(1)).over(Window.partitionBy())
+    total = stats.agg(F.count(F.lit(1))).scalar()
     tier = F.least(F.lit(5), F.floor((F.col("rank") - 1) / F.greatest(total, F.lit(1)) * 6)).cast("int")
     return stats.select("region", F.coalesce(F.element_at(alias, titled), titled).alias("map_name"),
                         "rank", tier.alias("tier"))

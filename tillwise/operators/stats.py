@@ -23,20 +23,29 @@ def _freq_col(df: DataFrame) -> str:
     return "transaction_id" if "transaction_id" in df.columns else "date"
 
 
+def _n_distinct(df: DataFrame, *cols: str) -> Column:
+    """Distinct values of ``cols`` as a scalar subquery: a narrow aggregate of its own.
+
+    Several distinct counts in one aggregate would expand every row once per count.
+    """
+    known = df.select(*cols).na.drop()
+    return known.distinct().agg(F.count(F.lit(1)).cast("bigint")).scalar()
+
+
 # ── E1 ──────────────────────────────────────────────────────────────────────
 
 def dataset_summary(sales: DataFrame, kind: str = "transactional", raw: DataFrame | None = None) -> DataFrame:
     """One row of headline numbers. avg_order_value is the mean per line (Q7)."""
     cols = set(sales.columns)
     aggs = [
-        (F.count_distinct("customer_id") if "customer_id" in cols else F.lit(0)).cast("bigint").alias("total_customers"),
-        (F.count_distinct("product_id") if "product_id" in cols else F.lit(0)).cast("bigint").alias("total_products"),
+        (_n_distinct(sales, "customer_id") if "customer_id" in cols else F.lit(0)).cast("bigint").alias("total_customers"),
+        (_n_distinct(sales, "product_id") if "product_id" in cols else F.lit(0)).cast("bigint").alias("total_products"),
         _rows_removed(raw, sales).alias("rows_removed"),
         F.lit(kind).alias("dataset_type"),
     ]
     if kind == "transactional":
         aggs += [
-            F.count_distinct(_freq_col(sales)).cast("bigint").alias("total_transactions"),
+            _n_distinct(sales, _freq_col(sales)).alias("total_transactions"),
             F.round(F.coalesce(F.sum("revenue"), F.lit(0.0)), 2).alias("total_revenue"),
             F.round(F.avg("revenue"), 2).alias("avg_order_value"),
             N.day_str(F.min("date")).alias("date_start"),
@@ -92,9 +101,9 @@ def full_stats(sales: DataFrame, kind: str = "transactional", raw: DataFrame | N
     """E3 + E4 + E5: one row with every field always present."""
     cols = set(sales.columns)
     if "transaction_id" in cols:
-        tx = F.count_distinct("transaction_id")
+        tx = _n_distinct(sales, "transaction_id")
     elif kind == "transactional" and "date" in cols:
-        tx = F.count_distinct(F.col("customer_id"), F.col("date"))
+        tx = _n_distinct(sales, "customer_id", "date")
     else:
         tx = F.count(F.lit(1))
     if "revenue" in cols:
@@ -104,7 +113,7 @@ def full_stats(sales: DataFrame, kind: str = "transactional", raw: DataFrame | N
     else:
         money = None
     aggs = [
-        (F.count_distinct("customer_id") if "customer_id" in cols else F.lit(0)).cast("bigint").alias("total_customers"),
+        (_n_distinct(sales, "customer_id") if "customer_id" in cols else F.lit(0)).cast("bigint").alias("total_customers"),
         tx.cast("bigint").alias("total_transactions"),
         (F.round(F.coalesce(F.sum(money), F.lit(0.0)), 2) if money is not None else F.lit(0.0)).alias("total_revenue"),
         (F.round(F.coalesce(F.avg(money), F.lit(0.0)), 2) if money is not None else F.lit(0.0)).alias("avg_order_value"),
@@ -150,12 +159,12 @@ def _extras(sales: DataFrame, kind: str) -> list[Column]:
         out.append(F.count(F.lit(1)).cast("bigint").alias("total_reviews"))
     elif kind == "transactional":
         if "product_id" in cols:
-            out.append(F.count_distinct("product_id").cast("bigint").alias("total_products"))
+            out.append(_n_distinct(sales, "product_id").alias("total_products"))
         if "quantity" in cols:
             out.append(F.round(F.avg("quantity"), 2).alias("avg_quantity"))
     elif kind == "catalog":
         if "product_id" in cols:
-            out.append(F.count_distinct("product_id").cast("bigint").alias("total_products"))
+            out.append(_n_distinct(sales, "product_id").alias("total_products"))
         if "price" in cols:
             out += [F.round(F.avg("price"), 2).alias("avg_price"),
                     F.format_string("%.2f – %.2f", F.min("price"), F.max("price")).alias("price_range")]
@@ -200,14 +209,15 @@ def category_monthly_nested(sales: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("month", "revenue"))).alias("monthly"))
 
 
-def top_products(sales: DataFrame, n: int = 10) -> DataFrame:
-    """Products by revenue, top n (ties broken by name, Q4)."""
+def top_products(sales: DataFrame, n: int = 10, units: bool = False) -> DataFrame:
+    """Products by revenue, top n (ties broken by name, Q4), on demand with the units sold."""
     _, r = trend_columns(sales)
-    g = sales.groupBy("product_name").agg(F.sum(r).alias("_v"))
+    sums = [F.sum(r).alias("_v"), *([F.sum("quantity").cast("bigint").alias("total_quantity")] if units else [])]
+    g = sales.groupBy("product_name").agg(*sums)
     top = g.orderBy(F.col("_v").desc(), F.col("product_name")).limit(n)
     w = Window.orderBy(F.col("_v").desc(), F.col("product_name"))
     return top.select(F.row_number().over(w).alias("rank"), "product_name",
-                      F.round("_v", 2).alias("total_revenue"))
+                      F.round("_v", 2).alias("total_revenue"), *(["total_quantity"] if units else []))
 
 
 def mom_growth(monthly: DataFrame) -> DataFrame:

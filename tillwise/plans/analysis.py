@@ -85,7 +85,7 @@ def analyse(raw: DataFrame, focus: str = "general", segmentation: str = "mixture
         monthly = E.monthly_revenue(clean)
         t["monthly_revenue"] = monthly
         t["category_monthly"] = E.category_monthly(clean) if "category" in clean.columns else None
-        t["top_products"] = E.top_products(clean) if "product_name" in clean.columns else None
+        t["top_products"] = E.top_products(clean, units="quantity" in clean.columns) if "product_name" in clean.columns else None
         t["mom_growth"] = E.mom_growth(monthly)
         status, fc, hist = I.forecast(I.resolve_input(clean))
         t["forecast_status"], t["forecast"], t["forecast_history"] = status, fc, hist
@@ -121,13 +121,16 @@ def _report(t: dict, profiles: DataFrame, rules: DataFrame, monthly: DataFrame |
             summary = summary.withColumn(c, F.lit(value).cast(typ))
     mon = monthly if monthly is not None else spark.createDataFrame([], "month string, total_revenue double")
     top = t.get("top_products")
-    top = (top.select("product_name", "total_revenue", "rank") if top is not None else
-           spark.createDataFrame([], "product_name string, total_revenue double, rank int"))
+    if top is None:
+        top = spark.createDataFrame([], "product_name string, total_revenue double, rank int")
+    cats, share = t.get("category_monthly"), t.get("category_revenue")
     return K.build_report(
         summary.withColumn("job_id", job), profiles.withColumn("job_id", job), rules.withColumn("job_id", job),
         mon.withColumn("job_id", job), top.withColumn("job_id", job),
         spark.range(1).select(job.alias("job_id"), F.lit(float(silhouette)).alias("score")),
-        spark.range(1).select(job.alias("job_id"), F.lit(focus).alias("focus")))
+        spark.range(1).select(job.alias("job_id"), F.lit(focus).alias("focus")),
+        None if cats is None else cats.select("category").withColumn("job_id", job),
+        None if share is None else share.withColumn("job_id", job))
 
 
 def write_analysis(result: Analysis, out_dir: str, job_id: str) -> dict[str, str]:

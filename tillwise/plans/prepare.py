@@ -22,9 +22,11 @@ from ..sources import tables
 
 _CACHE: dict[tuple, DataFrame] = {}
 
-# "persist" (default): cache in memory, spilling to disk; "table": write Parquet
-# under the shared ``spark.checkpoint.dir`` and read it back, which also cuts the
-# lineage (a lost executor then re-reads files instead of replaying the joins).
+# "persist" (default under a local master): cache in memory, spilling to disk; "table"
+# (default on a cluster): write Parquet under the shared ``spark.checkpoint.dir`` and
+# read it back, which also cuts the lineage (a lost executor then re-reads files
+# instead of replaying the joins). ``release()`` deletes the written tables.
+_WRITTEN: list[tuple] = []
 MATERIALIZE_CONF = "tillwise.materialize"
 
 
@@ -46,11 +48,13 @@ def materialize(df: DataFrame, name: str, key: tuple | None = None) -> DataFrame
     """
     spark = df.sparkSession
     spread = df.repartition(target_partitions(spark))
-    if spark.conf.get(MATERIALIZE_CONF, "persist") == "table":
+    local = spark.conf.get("spark.master", "local").split("[")[0] == "local"
+    if spark.conf.get(MATERIALIZE_CONF, "persist" if local else "table") == "table":
         from ..session import ensure_checkpoint_dir
         tag = hashlib.sha1(repr(key or (name,)).encode()).hexdigest()[:12]
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillwise/tables/{name}-{tag}"
         spread.write.mode("overwrite").parquet(path)
+        _WRITTEN.append((spark, path))
         return spark.read.parquet(path)
     out = spread.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
@@ -119,11 +123,15 @@ def events_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def release() -> None:
-    """Unpersist everything this module cached."""
+    """Unpersist everything this module cached and delete the tables that it wrote."""
     for v in _CACHE.values():
         for df in (v if isinstance(v, tuple) else (v,)):
             df.unpersist()
     _CACHE.clear()
+    for spark, path in _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.clear()
 
 
 def review_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,7 +193,16 @@ def forecast_models(spark, sf_dir):
     return fc.join(status.select("series_key", "tier"), "series_key")
 
 
-@register("forecast_status_events")
+@register("forecast_status_events", with_events("""
+, inp AS (SELECT 'all' AS series_key, date AS ts, revenue AS value FROM ev)
+SELECT series_key, NULL::VARCHAR AS tier,
+       CAST(max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 1 AS BIGINT) AS n_days,
+       count(DISTINCT CASE WHEN value > 0 THEN strftime(ts, '%Y-%m') END) AS n_months,
+       CASE WHEN count(DISTINCT CASE WHEN value > 0 THEN strftime(ts, '%Y-%m') END) < 3 THEN 'none' END AS model_used,
+       count(DISTINCT CASE WHEN value > 0 THEN strftime(ts, '%Y-%m') END) >= 3 AS has_date_data,
+       'NOT_ENOUGH' AS warning, 0.0::DOUBLE AS mae
+FROM inp GROUP BY series_key
+""".replace("NOT_ENOUGH", I.NOT_ENOUGH)))
 def forecast_status_events(spark, sf_dir):
     """I5 on events: the 'not enough data' status row."""
     status, _, _ = I.forecast(I.resolve_input(prepare.events_sales(spark, sf_dir)))

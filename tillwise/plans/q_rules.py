@@ -132,7 +132,7 @@ def review_popular_items(spark, sf_dir):
                                               "purchase_count")
 
 
-_PAIR_RULES = """
+PAIR_RULES = """
 , pr_rules AS (
   SELECT f2.i1 AS a, f2.i2 AS c, f2.support, f2.support / fa.support AS confidence,
          f2.support / fa.support / fc.support AS lift
@@ -144,7 +144,7 @@ _PAIR_RULES = """
 """
 
 
-@register("rules_pairs", with_sales(BRAND_TX + _PAIR_RULES + """
+@register("rules_pairs", with_sales(BRAND_TX + PAIR_RULES + """
 SELECT a AS antecedents, c AS consequents, round(support, 4) AS support,
        round(confidence, 4) AS confidence, round(lift, 4) AS lift
 FROM pr_rules WHERE confidence >= 0.15
@@ -155,7 +155,7 @@ def rules_pairs(spark, sf_dir):
     return _rule_rows(G.generate_rules(its).filter(F.col("confidence") >= 0.15))
 
 
-@register("rules_search", with_sales(BRAND_TX + _PAIR_RULES + """
+@register("rules_search", with_sales(BRAND_TX + PAIR_RULES + """
 SELECT a AS antecedents, c AS consequents, round(support, 4) AS support,
        round(confidence, 4) AS confidence, round(lift, 4) AS lift
 FROM pr_rules WHERE confidence >= 0.15 AND lower(a || ' ' || c) LIKE '%brand#1%'
@@ -167,7 +167,7 @@ def rules_search(spark, sf_dir):
     return _rule_rows(G.search_rules(G.round_rules(rules), "Brand#1"))
 
 
-@register("rules_all_brand", with_sales(BRAND_TX + _PAIR_RULES + """
+@register("rules_all_brand", with_sales(BRAND_TX + PAIR_RULES + """
 , kept AS (SELECT * FROM pr_rules WHERE confidence >= 0.3),
 lvl AS (SELECT CASE WHEN (SELECT count(*) FROM kept) > 0 THEN 0.3 ELSE 0.15 END AS c),
 sel AS (SELECT * FROM pr_rules WHERE confidence >= (SELECT c FROM lvl)),

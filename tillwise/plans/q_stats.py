@@ -45,7 +45,7 @@ def category_share(spark, sf_dir):
     return E.category_share(prepare.clean_sales(spark, sf_dir))
 
 
-_MONTHLY = """
+MONTHLY = """
 , m AS (SELECT strftime(date, '%Y-%m') AS month, round(sum(revenue), 2) AS total_revenue
         FROM sales GROUP BY 1),
 ml AS (SELECT month, total_revenue, lag(total_revenue) OVER (ORDER BY month) AS prev,
@@ -56,7 +56,7 @@ mom AS (SELECT CASE WHEN n >= 2 AND prev > 0 THEN round((total_revenue - prev) /
 """
 
 
-@register("monthly_revenue", with_sales(_MONTHLY + "SELECT month, total_revenue FROM m"))
+@register("monthly_revenue", with_sales(MONTHLY + "SELECT month, total_revenue FROM m"))
 def monthly_revenue(spark, sf_dir):
     """E6."""
     return E.monthly_revenue(prepare.clean_sales(spark, sf_dir))
@@ -82,13 +82,13 @@ def top_products(spark, sf_dir):
     return E.top_products(prepare.clean_sales(spark, sf_dir), 10)
 
 
-@register("mom_growth", with_sales(_MONTHLY + "SELECT mom_growth_pct FROM mom"))
+@register("mom_growth", with_sales(MONTHLY + "SELECT mom_growth_pct FROM mom"))
 def mom_growth(spark, sf_dir):
     """E9."""
     return E.mom_growth(E.monthly_revenue(prepare.clean_sales(spark, sf_dir)))
 
 
-@register("best_worst_month", with_sales(_MONTHLY + """
+@register("best_worst_month", with_sales(MONTHLY + """
 SELECT arg_max(month, total_revenue) AS best_month, max(total_revenue) AS best_revenue,
        arg_min(month, total_revenue) AS worst_month, min(total_revenue) AS worst_revenue,
        round(max(total_revenue) - min(total_revenue), 2) AS revenue_range
@@ -99,7 +99,7 @@ def best_worst_month(spark, sf_dir):
     return E.best_worst_month(E.monthly_revenue(prepare.clean_sales(spark, sf_dir)))
 
 
-@register("full_stats", with_sales(_MONTHLY + """
+@register("full_stats", with_sales(MONTHLY + """
 SELECT CAST(count(DISTINCT customer_id) AS BIGINT) AS total_customers,
        CAST(count(DISTINCT transaction_id) AS BIGINT) AS total_transactions,
        round(sum(revenue), 2) AS total_revenue, round(avg(revenue), 2) AS avg_order_value,

@@ -46,4 +46,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that it registers itself."""
-    from . import q_catalog, q_forecast, q_geo, q_prepare, q_report, q_review, q_rules, q_segment, q_stats  # noqa: F401
+    from . import (  # noqa: F401
+        q_catalog, q_forecast, q_geo, q_models, q_prepare, q_report, q_review, q_rules, q_segment, q_stats)
