@@ -84,3 +84,11 @@ def test_exact_quantiles_heavy_ties_and_wide_range(spark):
     got = exact_quantiles(df, "x", probs)
     want = [float(np.quantile(np.array(values), p)) for p in probs]
     assert all(math.isclose(g, w, rel_tol=1e-12, abs_tol=1e-9) for g, w in zip(got, want))
+
+
+def test_quantiles_of_extreme_doubles_and_of_too_few_passes(spark):
+    values = [-1.7e308, -1.0, 0.0, 2.0, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0], buckets=3) == values
+    with pytest.raises(RuntimeError, match="not settled after 0 passes"):
+        exact_quantiles(df, "x", [0.5], max_passes=0)

@@ -98,7 +98,8 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
         for (i, lo, hi, below), sid in slots.items():
             v = F.col(f"v{i}")
             if hi > lo:
-                b = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)).cast("int"),
+                # halved first: the range of two extreme doubles may not be a double
+                b = F.least(F.floor((v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * F.lit(buckets)).cast("int"),
                             F.lit(buckets - 1))
             else:
                 b = F.lit(0)
@@ -141,6 +142,9 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
                 else:  # pragma: no cover - only on inconsistent input between passes
                     raise RuntimeError(f"rank {r} not found while refining quantiles of {cols[i]}")
 
+    unsettled = sorted({cols[i] for i, r in state if (i, r) not in found})
+    if unsettled:
+        raise RuntimeError(f"quantiles of {unsettled} are not settled after {max_passes} passes of {buckets} buckets")
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         if not wanted[i]:

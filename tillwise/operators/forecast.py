@@ -8,11 +8,12 @@ one task.
 
 * I1–I4, I6, I7, I11–I13 are DataFrame plans (the linear tier is ``regr_slope``
   / ``regr_intercept`` per series plus a weekday-offset aggregate).
-* I8–I10 need recursive or per-series least-squares fits; they run in one
-  ``applyInPandas`` over the daily table, grouped by series, each fit a small
-  numpy solve. A tier that fails for a series steps down the chain
-  lag_ar → seasonal_ar → seasonal_regression, and what still fails goes to the
-  Spark linear plan. One bad series never fails the job.
+* I8–I10 are regressions. Spark builds their rows (lags and differences by windows,
+  Fourier terms, scaling, the split in time), sums XᵀX and Xᵀy per series, measures the
+  errors and rolls the recursions forward; only the p × p systems (p ≤ 31) are solved
+  in pandas, one small row per series and model. A tier that fails for a series
+  steps down the chain lag_ar → seasonal_ar → seasonal_regression, and what still
+  fails goes to the linear plan. One bad series never fails the job.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..session import scratch_table
 
 # ── Fixed values (must equal the reference's) ───────────────────────────────
 DATE_CANDIDATES = ["date", "invoice_date", "order_date", "purchase_date", "created_at", "invoicedate",
@@ -208,181 +210,238 @@ def backtest_linear(daily: DataFrame) -> DataFrame:
                       F.col("n").cast("bigint").alias("n_points"), F.round("mae", 2).alias("mae"))
 
 
-# ── I8–I10: per-series fits in a grouped pandas function ────────────────────
-
-def _lstsq(X: np.ndarray, y: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
-    xtx = X.T @ X
-    xtx[np.diag_indices_from(xtx)] += ridge * (np.trace(xtx) / max(len(xtx), 1) + 1.0)
-    return np.linalg.solve(xtx, X.T @ y)
-
-
-def _fourier(d: np.ndarray, period: float, order: int) -> list[np.ndarray]:
-    cols = []
-    for k in range(1, order + 1):
-        a = 2 * np.pi * k * d / period
-        cols += [np.sin(a), np.cos(a)]
-    return cols
-
-
-def _seasonal_regression(days: np.ndarray, y: np.ndarray, horizon: int):
-    """I8: linear trend + weekly (order 3) and, over ≥ 545 days, yearly (order 10) terms."""
-    n = len(y)
-    yearly = (days[-1] - days[0]) >= YEARLY_MIN_SPAN_DAYS
-
-    def design(dd):
-        t = (dd - days[0]) / 365.25
-        cols = [np.ones_like(t), t] + _fourier(dd, 7.0, 3)
-        if yearly:
-            cols += _fourier(dd, 365.25, 10)
-        return np.column_stack(cols)
-
-    X = design(days)
-    if n < X.shape[1] + 2:
-        raise ValueError("too few days for the seasonal regression")
-    beta = _lstsq(X, y)
-    fitted = X @ beta
-    resid = y - fitted
-    mae = float(np.mean(np.abs(resid)))
-    sigma = float(np.sqrt(np.sum(resid ** 2) / max(n - X.shape[1], 1)))
-    fd = days[-1] + np.arange(1, horizon + 1)
-    pred = design(fd) @ beta
-    lower, upper = pred - Z80 * sigma, pred + Z80 * sigma
-    return np.maximum(pred, 0), np.maximum(lower, 0), np.maximum(upper, 0), mae
-
-
-def _seasonal_ar(y: np.ndarray, horizon: int):
-    """AR on the (1, 7)-differenced series, order from {0, 1, 2} + weekly lag, by AIC."""
-    n = len(y)
-    if n < 40:
-        raise ValueError("too few days for the seasonal autoregression")
-    z = np.full(n, np.nan)
-    z[8:] = y[8:] - y[7:-1] - y[1:-7] + y[:-8]
+# ── I8–I10, I13: regression tiers; Spark builds rows and sums, pandas solves p × p ──
+
+WEEKLY_ORDER, YEARLY_ORDER = 3, 10
+AR_LAGS = (1, 2, 7)
+AR_MIN_DAYS = 40
+_MAX_TERMS = 2 + 2 * (WEEKLY_ORDER + YEARLY_ORDER) + 3  # 31: the longest row, that of the lag regression
+
+
+def _fourier(d: Column) -> tuple[list[Column], list[Column]]:
+    def terms(period: float, order: int) -> list[Column]:
+        return [f(F.lit(2 * math.pi * k / period) * d) for k in range(1, order + 1) for f in (F.sin, F.cos)]
+    return terms(7.0, WEEKLY_ORDER), terms(365.25, YEARLY_ORDER)
+
+
+def _regression_row(t: Column, d: Column, yearly: Column) -> Column:
+    """I8 terms of a day: trend, weekly and, for a long span, yearly Fourier terms."""
+    week, year = _fourier(d)
+    base = [F.lit(1.0), t / F.lit(365.25), *week]
+    return F.when(yearly, F.array(*base, *year)).otherwise(F.array(*base))
+
+
+def _epoch_day(day: Column) -> Column:
+    return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("double")
+
+
+def _lagged(daily: DataFrame, profile: DataFrame) -> DataFrame:
+    """Each day of the eligible series with the 30 days before, differences, scaling and the series' size."""
+    elig = profile.filter("eligible").select("series_key", "tier")
+    order = Window.partitionBy("series_key").orderBy("t")
+    whole = Window.partitionBy("series_key")
+    d = daily.join(elig, "series_key").select(
+        "series_key", "tier", "day", "t", "revenue",
+        F.collect_list("revenue").over(order.rowsBetween(-LOOKBACK, -1)).alias("back"),
+        F.count(F.lit(1)).over(whole).alias("n"), F.min("revenue").over(whole).alias("lo"),
+        F.max("revenue").over(whole).alias("hi"), F.avg(F.abs("revenue")).over(whole).alias("mean_abs"))
+    # the (1, 7)-difference of I9
+    z = F.when(F.col("t") >= 8, F.col("revenue") - F.element_at("back", -1) - F.element_at("back", -7) + F.element_at("back", -8))
+    return (d.withColumn("z", z).withColumn("scale", F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0)))
+            .withColumn("zback", F.collect_list("z").over(order.rowsBetween(-max(AR_LAGS), -1))))
+
+
+def design_rows(daily: DataFrame, profile: DataFrame) -> DataFrame:
+    """(series_key, model, t, x, y, train): regression rows of every model that a series' chain may reach.
+
+    ``seasonal_regression`` (I8) explains revenue by calendar terms; ``seasonal_ar`` (I9) the
+    (1, 7)-difference by its lags 1, 2 and 7; ``lag_ar`` (I10) the min-max scaled revenue by the 30
+    days before, the first 85 % of the days being the training part.
+    """
+    return _design(_lagged(daily, profile))
+
+
+def _design(d: DataFrame) -> DataFrame:
+    n, t, tier = F.col("n"), F.col("t"), F.col("tier")
+    yearly = n - 1 >= YEARLY_MIN_SPAN_DAYS
+    n_terms = F.when(yearly, 2 + 2 * (WEEKLY_ORDER + YEARLY_ORDER)).otherwise(2 + 2 * WEEKLY_ORDER)
+
+    def row(model: str, x: Column, y: Column, train: Column) -> Column:
+        return F.struct(F.lit(model).alias("model"), x.alias("x"), y.cast("double").alias("y"), train.alias("train"))
+
+    z = [F.element_at("zback", -lag) for lag in AR_LAGS]
+    split = F.greatest(F.lit(1), F.floor((n - LOOKBACK) * TRAIN_SHARE))
+    scaled = F.transform("back", lambda v: (v - F.col("lo")) / F.col("scale"))
+    rows = F.array(
+        F.when(n >= n_terms + 2, row("seasonal_regression", _regression_row(t, _epoch_day(F.col("day")), yearly),
+                                     F.col("revenue"), F.lit(True))),
+        F.when((tier != "seasonal_regression") & (n >= AR_MIN_DAYS) & (t >= 8 + max(AR_LAGS)),
+               row("seasonal_ar", F.array(*z), F.col("z"), F.lit(True))),
+        F.when((tier == "lag_ar") & (n >= LOOKBACK + 2) & (t >= LOOKBACK),
+               row("lag_ar", F.concat(F.array(F.lit(1.0)), scaled), (F.col("revenue") - F.col("lo")) / F.col("scale"),
+                   t - LOOKBACK < split)))
+    return d.select("series_key", "t", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select(
+        "series_key", "r.model", "t", "r.x", "r.y", "r.train")
+
+
+def gram_rows(design: DataFrame) -> DataFrame:
+    """(series_key, model, i, g, xy, yy, m): row i of XᵀX, of Xᵀy, and Σy² and the number of training days."""
+    each = design.filter("train").select("series_key", "model", "x", "y", F.posexplode("x").alias("i", "xi"))
+    g = F.array(*[F.sum(F.col("xi") * F.get("x", F.lit(j))) for j in range(_MAX_TERMS)])
+    return each.groupBy("series_key", "model", "i").agg(
+        g.alias("g"), F.sum(F.col("xi") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"),
+        F.count(F.lit(1)).alias("m"))
+
+
+def _solve(g: np.ndarray, xy: np.ndarray, ridge: float) -> np.ndarray:
+    g = g + np.eye(len(g)) * ridge * (np.trace(g) / max(len(g), 1) + 1.0)
+    return np.linalg.solve(g, xy)
+
+
+def _coefficients(model: str, g: np.ndarray, xy: np.ndarray, yy: float, m: int) -> tuple[np.ndarray, int]:
+    """(coefficients, how many are free); I9 chooses its order by AIC, the lags left out being zero."""
+    if model != "seasonal_ar":
+        return _solve(g, xy, 1e-4 if model == "lag_ar" else 1e-8), len(xy)
     best = None
-    for p in (0, 1, 2):
-        lags = list(range(1, p + 1)) + [7]
-        start = 8 + max(lags)
-        rows = np.arange(start, n)
-        if len(rows) < len(lags) + 5:
-            continue
-        X = np.column_stack([z[rows - L] for L in lags])
-        target = z[rows]
-        beta = _lstsq(X, target)
-        rss = float(np.sum((target - X @ beta) ** 2))
-        m = len(rows)
-        aic = m * math.log(max(rss, 1e-300) / m) + 2 * (len(lags) + 1)
+    for use in ([2], [0, 2], [0, 1, 2]):
+        b = _solve(g[np.ix_(use, use)], xy[use], 1e-8)
+        rss = yy - 2 * b @ xy[use] + b @ g[np.ix_(use, use)] @ b
+        aic = m * math.log(max(rss, 1e-300) / m) + 2 * (len(use) + 1)
         if best is None or aic < best[0]:
-            best = (aic, lags, beta, rows, rss / max(m - len(lags), 1))
-    if best is None:
-        raise ValueError("no autoregression order could be fitted")
-    _, lags, beta, rows, s2 = best
-    zhat = np.column_stack([z[rows - L] for L in lags]) @ beta
-    yhat = y[rows - 1] + y[rows - 7] - y[rows - 8] + zhat
-    mae = float(np.mean(np.abs(y[rows] - yhat)))
-    yy = list(y)
-    zz = list(z)
-    preds = []
-    for _ in range(horizon):
-        k = len(yy)
-        zn = float(sum(b * zz[k - L] for b, L in zip(beta, lags)))
-        yn = yy[k - 1] + yy[k - 7] - yy[k - 8] + zn
-        zz.append(zn)
-        yy.append(yn)
-        preds.append(yn)
-    pred = np.array(preds)
-    sigma = math.sqrt(max(s2, 0.0))
-    spread = Z80 * sigma * np.sqrt(np.arange(1, horizon + 1))
-    return np.maximum(pred, 0), np.maximum(pred - spread, 0), np.maximum(pred + spread, 0), mae
-
-
-def _lag_ar(y: np.ndarray, horizon: int):
-    """Min-max scaled 30-day lag regression, 85/15 time split, rolled forward."""
-    n = len(y)
-    lo, hi = float(y.min()), float(y.max())
-    scale = hi - lo if hi > lo else 1.0
-    v = (y - lo) / scale
-    w = min(LOOKBACK, n - 1)
-    if w < 1 or n - w < 2:
-        raise ValueError("too few days for the lag regression")
-    idx = np.arange(n - w)
-    X = np.column_stack([np.ones(len(idx))] + [v[idx + j] for j in range(w)])
-    target = v[idx + w]
-    split = max(1, int(len(X) * TRAIN_SHARE))
-    beta = _lstsq(X[:split], target[:split], ridge=1e-4)
-    if split < len(X):
-        mae_n = float(np.mean(np.abs(X[split:] @ beta - target[split:])))
-    else:
-        mae_n = float(np.mean(np.abs(X[:split] @ beta - target[:split])))
-    mae = mae_n * scale
-    window = list(v[-w:])
-    preds = []
-    for _ in range(horizon):
-        p = float(beta[0] + np.dot(beta[1:], window[-w:]))
-        preds.append(p)
-        window.append(p)
-    pred = np.array(preds) * scale + lo
-    width = max(MIN_CI_WIDTH, mae / (float(np.mean(np.abs(y))) + 1e-9))
-    val = np.maximum(pred, 0)
-    return val, val * (1 - width), val * (1 + width), mae
-
-
-_MODELS = {"lag_ar": lambda d, y, h: _lag_ar(y, h),
-           "seasonal_ar": lambda d, y, h: _seasonal_ar(y, h),
-           "seasonal_regression": _seasonal_regression}
-
-FORECAST_SCHEMA = ("series_key string, model_used string, step int, date string, predicted double, "
-                   "lower double, upper double, mae double, note string")
-
-
-def _fit_group(pdf: pd.DataFrame, tier: str, horizon: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("t")
-    key = pdf["series_key"].iloc[0]
-    y = pdf["revenue"].to_numpy(dtype=float)
-    days = pdf["t"].to_numpy(dtype=float) + (pd.Timestamp(pdf["day"].iloc[0]) - pd.Timestamp("1970-01-01")).days
-    last = pd.Timestamp(pdf["day"].iloc[-1])
-    errors = []
-    for cand in TIER_ORDER[TIER_ORDER.index(tier):-1]:
-        try:
-            pred, lower, upper, mae = _MODELS[cand](days, y, horizon)
-            if not (np.all(np.isfinite(pred)) and np.isfinite(mae)):
-                raise ValueError("non-finite forecast")
-        except Exception as exc:  # noqa: BLE001 - any failure steps down the chain
-            errors.append(str(exc) or type(exc).__name__)
-            continue
-        note = None
-        if cand != tier:
-            note = (f"{tier} was selected automatically for this data volume, but fell back to "
-                    f"{cand} ({errors[-1]}).")
-        dates = [(last + pd.Timedelta(days=int(h))).strftime("%Y-%m-%d") for h in range(1, horizon + 1)]
-        return pd.DataFrame({
-            "series_key": key, "model_used": cand, "step": np.arange(1, horizon + 1, dtype="int32"),
-            "date": dates, "predicted": np.round(pred, 2), "lower": np.round(lower, 2),
-            "upper": np.round(upper, 2), "mae": round(float(mae), 2), "note": note})
-    reason = errors[-1] if errors else "no model"
-    return pd.DataFrame({"series_key": [key], "model_used": [None], "step": np.array([0], dtype="int32"),
-                         "date": [None], "predicted": [np.nan], "lower": [np.nan], "upper": [np.nan],
-                         "mae": [np.nan],
-                         "note": [f"{tier} was selected automatically for this data volume, but fell back "
-                                  f"to linear_trend ({reason})."]})
+            full = np.zeros(len(xy))
+            full[use] = b
+            best = (aic, full, len(use))
+    return best[1], best[2]
+
+
+_SOLVED = "series_key string, model string, beta array<double>, free int, error string"
+
+
+def solve_series(gram: DataFrame) -> DataFrame:
+    """One row per (series, model): its coefficients, or why there are none."""
+    systems = gram.groupBy("series_key", "model").agg(
+        F.sort_array(F.collect_list(F.struct("i", "g", "xy"))).alias("rows"), F.first("yy").alias("yy"), F.first("m").alias("m"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, model, rows, yy, m in pdf.itertuples(index=False):
+                p = len(rows)
+                g = np.array([[v for v in r["g"][:p]] for r in rows], dtype=float)
+                try:
+                    beta, free = _coefficients(model, g, np.array([r["xy"] for r in rows], dtype=float), yy, int(m))
+                    if not np.all(np.isfinite(beta)):
+                        raise ValueError("non-finite coefficients")
+                    out.append((key, model, beta.tolist(), free, None))
+                except (np.linalg.LinAlgError, ValueError) as exc:  # the series steps down its chain
+                    out.append((key, model, None, 0, str(exc)))
+            yield pd.DataFrame(out, columns=["series_key", "model", "beta", "free", "error"])
+
+    return systems.mapInPandas(run, _SOLVED)
+
+
+def _dot(x: str, beta: str) -> Column:
+    return F.expr(f"aggregate(zip_with({x}, {beta}, (a, b) -> a * b), 0D, (s, v) -> s + v)")
+
+
+def series_fits(daily: DataFrame, profile: DataFrame) -> DataFrame:
+    """One row per (series, model): coefficients, errors, and what a forecast starts from.
+
+    ``mae`` is in revenue: over the training days for I8 and I9 (a step ahead), over the held-out days for I10.
+    """
+    d = scratch_table(_lagged(daily, profile), "forecast-days")
+    design = _design(d)
+    solved = solve_series(gram_rows(design))
+    error = (F.col("y") - _dot("x", "beta"))
+    judged = ~F.col("train") | (F.col("model") != "lag_ar")
+    scored = design.join(solved, ["series_key", "model"]).withColumn("e", error).groupBy("series_key", "model").agg(
+        F.first("beta").alias("beta"), F.first("free").alias("free"), F.first("error").alias("error"),
+        F.coalesce(F.avg(F.when(judged, F.abs("e"))), F.avg(F.abs("e"))).alias("mae"), F.sum(F.col("e") * F.col("e")).alias("sse"),
+        F.count(F.lit(1)).alias("m"))
+    last = d.filter("t = n - 1").select(
+        "series_key", "tier", "n", F.col("day").alias("last_day"), "lo", "scale", "mean_abs",
+        F.concat("back", F.array("revenue")).alias("tail"), F.concat("zback", F.array("z")).alias("ztail"))
+    fits = scored.join(last, "series_key")
+    mae = F.when(F.col("model") == "lag_ar", F.col("mae") * F.col("scale")).otherwise(F.col("mae"))
+    return fits.withColumn("mae", mae).withColumn("sigma", F.sqrt(F.col("sse") / F.greatest(F.col("m") - F.col("free"), F.lit(1))))
+
+
+def backtest_models(daily: DataFrame, profile: DataFrame) -> DataFrame:
+    """I13 for every tier: absolute error per series and model, the linear line included."""
+    fits = series_fits(daily, profile).filter("beta IS NOT NULL").select(
+        "series_key", F.col("model").alias("model_used"), F.col("n").cast("bigint").alias("n_points"), F.round("mae", 2).alias("mae"))
+    elig = profile.filter("eligible").select("series_key")
+    return fits.unionByName(backtest_linear(daily.join(elig, "series_key", "left_semi")))
+
+
+def _roll_ar(horizon: int) -> Column:
+    """I9 rolled forward: each day's difference from the lagged ones, then the level."""
+    step = """struct(concat(s.y, array(element_at(s.y, -1) + element_at(s.y, -7) - element_at(s.y, -8)
+                  + beta[0] * element_at(s.z, -1) + beta[1] * element_at(s.z, -2) + beta[2] * element_at(s.z, -7))) AS y,
+              concat(s.z, array(beta[0] * element_at(s.z, -1) + beta[1] * element_at(s.z, -2) + beta[2] * element_at(s.z, -7))) AS z)"""
+    return F.expr(f"slice(aggregate(sequence(1, {horizon}), struct(tail AS y, ztail AS z), (s, k) -> {step}).y, -{horizon}, {horizon})")
+
+
+def _roll_lags(horizon: int) -> Column:
+    """I10 rolled forward over the scaled series, scaled back."""
+    scaled = "transform(tail, v -> (v - lo) / scale)"
+    nxt = (f"beta[0] + aggregate(zip_with(slice(s, -{LOOKBACK}, {LOOKBACK}), slice(beta, 2, {LOOKBACK}), (a, b) -> a * b), 0D, "
+           "(q, v) -> q + v)")
+    rolled = f"aggregate(sequence(1, {horizon}), {scaled}, (s, k) -> concat(s, array({nxt})))"
+    return F.expr(f"transform(slice({rolled}, -{horizon}, {horizon}), v -> v * scale + lo)")
+
+
+def _forecast_points(fits: DataFrame, horizon: int) -> DataFrame:
+    """(series_key, model, step, date, predicted, lower, upper, mae), not rounded, of each fit."""
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+    reg = (fits.filter("model = 'seasonal_regression'").select("*", F.explode(steps).alias("step"))
+           .withColumn("x", _regression_row(F.col("n") - 1 + F.col("step"), _epoch_day(F.col("last_day")) + F.col("step"),
+                                            F.col("n") - 1 >= YEARLY_MIN_SPAN_DAYS))
+           .withColumn("p", _dot("x", "beta")).withColumn("half", F.lit(Z80) * F.col("sigma")).drop("x"))
+    ar = (fits.filter("model = 'seasonal_ar'").select("*", F.posexplode(_roll_ar(horizon)).alias("k", "p"))
+          .withColumn("step", F.col("k") + 1).withColumn("half", F.lit(Z80) * F.col("sigma") * F.sqrt("step")).drop("k"))
+    lag = (fits.filter("model = 'lag_ar'").select("*", F.posexplode(_roll_lags(horizon)).alias("k", "p"))
+           .withColumn("step", F.col("k") + 1)
+           .withColumn("half", F.greatest(F.lit(MIN_CI_WIDTH), F.col("mae") / (F.col("mean_abs") + F.lit(1e-9))) * F.greatest("p", F.lit(0.0)))
+           .drop("k"))
+    every = reg.unionByName(ar).unionByName(lag)
+    zero = F.lit(0.0)
+    # the band of I8 and I9 is around the line before it is cut at 0, that of I10 around the cut value
+    middle = F.when(F.col("model") == "lag_ar", F.greatest("p", zero)).otherwise(F.col("p"))
+    return every.select("series_key", "model", "step", N.day_str(F.date_add("last_day", F.col("step"))).alias("date"),
+                        F.greatest("p", zero).alias("predicted"), F.greatest(middle - F.col("half"), zero).alias("lower"),
+                        F.greatest(middle + F.col("half"), zero).alias("upper"), "mae")
 
 
 def model_forecast(daily: DataFrame, profile: DataFrame, horizon: int = HORIZON_DAYS) -> DataFrame:
-    """I5 + I8–I10: each eligible series through its tier chain; linear as last step."""
-    elig = profile.filter("eligible").select("series_key", "tier", "n_days")
-    data = daily.join(elig, "series_key")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fit_group(pdf, pdf["tier"].iloc[0], horizon)
-
-    fitted = data.groupBy("series_key").applyInPandas(run, FORECAST_SCHEMA)
-    fitted = fitted.persist()
-    ok = fitted.filter(F.col("step") > 0)
-    failed = fitted.filter(F.col("step") == 0).select("series_key", "note")
-    if failed.limit(1).count() == 0:  # one small read of the persisted fits
-        out = ok
-    else:
-        lin = linear_forecast(daily.join(failed, "series_key", "left_semi"), horizon) \
-            .join(failed, "series_key").withColumn("step", F.col("step").cast("int"))
-        out = ok.unionByName(lin.select(*ok.columns))
+    """I5 + I8–I10: each eligible series by the first model of its chain that can be fitted; linear as last step."""
+    fits = scratch_table(series_fits(daily, profile), "forecast-fits")
+    points = scratch_table(_forecast_points(fits.filter("beta IS NOT NULL"), horizon), "forecast-points")
+    finite = points.groupBy("series_key", "model").agg(
+        F.bool_and(F.col("predicted").between(-1e300, 1e300) & F.col("mae").between(0, 1e300)).alias("finite"))
+    rank = F.array_position(F.array(*[F.lit(m) for m in TIER_ORDER]), F.col("model"))
+    elig = profile.filter("eligible").select("series_key", "tier")
+    chain = elig.select("series_key", "tier", F.explode(F.slice(
+        F.array(*[F.lit(m) for m in TIER_ORDER[:-1]]),
+        F.array_position(F.array(*[F.lit(m) for m in TIER_ORDER]), F.col("tier")).cast("int"), F.lit(len(TIER_ORDER)))).alias("model"))
+    tried = (chain.join(fits.select("series_key", "model", "error"), ["series_key", "model"], "left")
+             .join(finite, ["series_key", "model"], "left").withColumn("rank", rank)
+             .withColumn("why", F.when(F.col("finite"), None).otherwise(F.coalesce(
+                 "error", F.when(F.col("finite").isNull(), F.lit("too few days")).otherwise(F.lit("non-finite forecast"))))))
+    chosen = tried.groupBy("series_key", "tier").agg(
+        F.min(F.when(F.col("finite"), F.col("rank"))).alias("at"),
+        F.sort_array(F.collect_list(F.struct("rank", "model", "why"))).alias("tried"))
+    used = F.coalesce(F.element_at(F.array(*[F.lit(m) for m in TIER_ORDER]), F.col("at").cast("int")), F.lit(TIER_ORDER[-1]))
+    failed = F.expr("filter(tried, x -> x.why IS NOT NULL AND (at IS NULL OR x.rank < at))")
+    chosen = scratch_table(chosen.select("series_key", "tier", used.alias("model"), F.when(used != F.col("tier"), F.format_string(
+        "%s was selected automatically for this data volume, but fell back to %s (%s).", F.col("tier"), used,
+        F.element_at(failed, -1)["why"])).alias("note")), "forecast-chosen")
+    ok = points.join(chosen.select("series_key", "model", "note"), ["series_key", "model"]).select(
+        "series_key", F.col("model").alias("model_used"), "step", "date",
+        *[(F.round(c, 2) + 0.0).alias(c) for c in ("predicted", "lower", "upper", "mae")], "note")
+    rest = chosen.filter(F.col("model") == TIER_ORDER[-1]).select("series_key", "note")
+    lin = linear_forecast(daily.join(rest, "series_key", "left_semi"), horizon).join(rest, "series_key")
+    out = ok.unionByName(lin.withColumn("step", F.col("step").cast("int")).select(*ok.columns))
     warn = profile.select("series_key", F.when(F.col("short_history"), F.format_string(
         "Forecast is based on only %d days of history — treat the confidence band loosely and prefer "
         "shorter horizons.", F.col("n_days"))).alias("_short"))
@@ -396,10 +455,9 @@ def forecast(inp: DataFrame, horizon: int = HORIZON_DAYS) -> tuple[DataFrame, Da
     Status row per series: model_used ('none' when not eligible), tier, days,
     months, has_date_data, warning, mae.
     """
-    # both are one row per series / per series-day, bounded by the calendar, and
-    # each is read several times below
-    prof = series_profile(inp).persist()
-    daily = daily_series(inp).persist()
+    # one row per series and per series-day, bounded by the calendar; each is read several times below
+    prof = scratch_table(series_profile(inp), "forecast-profile")
+    daily = scratch_table(daily_series(inp), "forecast-daily")
     fc = model_forecast(daily, prof, horizon)
     status_fc = fc.groupBy("series_key").agg(F.first("model_used").alias("model_used"),
                                              F.first("mae").alias("mae"), F.first("warning").alias("warning"))

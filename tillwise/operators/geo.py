@@ -38,12 +38,12 @@ HHI_LABELS = {
     "low": ("Competitive", "Revenue is spread relatively evenly across regions."),
 }
 MIN_GEO_ROWS = 5
-# ─────────────────────────────────────────────────────────────────────────────
-
+# A raw column with more values than this is no geography.
 MAX_GEO_VALUES = 500
 REVENUE_CANDIDATES = ["revenue", "total_sales", "total_revenue", "amount", "price"]
 DATE_CANDIDATES = ["date", "invoice_date", "order_date", "purchase_date", "created_at"]
 PRODUCT_CANDIDATES = ["product_name", "product_id", "item_name", "product", "item"]
+# ─────────────────────────────────────────────────────────────────────────────
 
 
 def _first(df: DataFrame, names: list[str]) -> str | None:

@@ -8,6 +8,8 @@ date windows of all sales chosen to land in each tier ('full' 2 405 days,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -193,6 +195,70 @@ def forecast_models(spark, sf_dir):
     return fc.join(status.select("series_key", "tier"), "series_key")
 
 
+_ANGLES = [(2 * math.pi * k / period, f) for period, order in ((7.0, I.WEEKLY_ORDER), (365.25, I.YEARLY_ORDER))
+           for k in range(1, order + 1) for f in ("sin", "cos")]
+_WEEK = ", ".join(f"{f}({w!r}::DOUBLE * d)" for w, f in _ANGLES[:2 * I.WEEKLY_ORDER])
+_YEAR = ", ".join(f"{f}({w!r}::DOUBLE * d)" for w, f in _ANGLES[2 * I.WEEKLY_ORDER:])
+
+
+@register("forecast_gram", with_sales(f", inp AS ({_window_sql()})" + DAILY_SQL + f"""
+, dd AS (SELECT series_key, t, revenue AS y, (day - DATE '1970-01-01')::DOUBLE AS d, count(*) OVER (PARTITION BY series_key) AS n FROM daily),
+xx AS (SELECT series_key, t, y, CASE WHEN n - 1 >= {I.YEARLY_MIN_SPAN_DAYS} THEN [1, t / 365.25::DOUBLE, {_WEEK}, {_YEAR}]
+                                     ELSE [1, t / 365.25::DOUBLE, {_WEEK}] END AS x FROM dd),
+ij AS (SELECT series_key, y, x, unnest(generate_series(0, len(x) - 1)) AS i FROM xx),
+ik AS (SELECT series_key, y, x, i, unnest(generate_series(0, len(x) - 1)) AS j FROM ij)
+SELECT series_key, i, j, round(avg(x[i + 1] * x[j + 1]), 6) + 0.0 AS mean_product, round(avg(x[i + 1] * y), 4) + 0.0 AS mean_with_revenue
+FROM ik GROUP BY 1, 2, 3
+"""))
+def forecast_gram(spark, sf_dir):
+    """I8: the sums behind the seasonal regression of the three windows, per pair of terms."""
+    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    design = I.design_rows(I.daily_series(inp), I.series_profile(inp)).filter("model = 'seasonal_regression'")
+    g = I.gram_rows(design).select("series_key", "i", "xy", "m", F.posexplode("g").alias("j", "v")).where("v IS NOT NULL")
+    return g.select("series_key", "i", "j", (F.round(F.col("v") / F.col("m"), 6) + 0.0).alias("mean_product"),
+                    (F.round(F.col("xy") / F.col("m"), 4) + 0.0).alias("mean_with_revenue"))
+
+
+@register("forecast_differences", with_sales(f", inp AS ({_window_sql()})" + DAILY_SQL + """
+, y AS (SELECT series_key, t, revenue - lag(revenue, 1) OVER w - lag(revenue, 7) OVER w + lag(revenue, 8) OVER w AS z,
+               count(*) OVER (PARTITION BY series_key) AS n FROM daily WINDOW w AS (PARTITION BY series_key ORDER BY t)),
+x AS (SELECT *, lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 7) OVER w AS z7 FROM y WINDOW w AS (PARTITION BY series_key ORDER BY t))
+SELECT series_key, t, round(z, 2) + 0.0 AS z, round(z1, 2) + 0.0 AS z1, round(z2, 2) + 0.0 AS z2, round(z7, 2) + 0.0 AS z7
+FROM x WHERE t >= 15 AND n >= 365
+"""))
+def forecast_differences(spark, sf_dir):
+    """The differenced days of the longer windows with their lags."""
+    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    d = I.design_rows(I.daily_series(inp), I.series_profile(inp)).filter("model = 'seasonal_ar'")
+    return d.select("series_key", "t", *[(F.round(c, 2) + 0.0).alias(n) for n, c in
+                                         (("z", F.col("y")), ("z1", F.col("x")[0]), ("z2", F.col("x")[1]), ("z7", F.col("x")[2]))])
+
+
+@register("forecast_lag_rows", with_sales(f", inp AS ({_window_sql()})" + DAILY_SQL + """
+, y AS (SELECT series_key, t, (revenue - min(revenue) OVER s) / (max(revenue) OVER s - min(revenue) OVER s) AS v, count(*) OVER s AS n
+        FROM daily WINDOW s AS (PARTITION BY series_key)),
+x AS (SELECT *, avg(v) OVER w AS m, lag(v, 30) OVER o AS v30, lag(v, 1) OVER o AS v1 FROM y
+      WINDOW w AS (PARTITION BY series_key ORDER BY t ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY series_key ORDER BY t))
+SELECT series_key, t, round(v, 6) AS y, round(m, 6) AS mean_before, round(v30, 6) AS first_before, round(v1, 6) AS last_before,
+       t - 30 < greatest(1, floor((n - 30) * 0.85)) AS train
+FROM x WHERE t >= 30 AND n > 730
+"""))
+def forecast_lag_rows(spark, sf_dir):
+    """The scaled days of the long window with the 30 days before, and the split in time."""
+    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    d = I.design_rows(I.daily_series(inp), I.series_profile(inp)).filter("model = 'lag_ar'")
+    mean = F.expr("(aggregate(x, 0D, (s, v) -> s + v) - x[0]) / (size(x) - 1)")
+    return d.select("series_key", "t", F.round("y", 6).alias("y"), F.round(mean, 6).alias("mean_before"),
+                    F.round(F.col("x")[1], 6).alias("first_before"), F.round(F.element_at("x", -1), 6).alias("last_before"), "train")
+
+
+@register("forecast_backtest_models")
+def forecast_backtest_models(spark, sf_dir):
+    """The error of every tier of the three windows."""
+    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    return I.backtest_models(I.daily_series(inp), I.series_profile(inp))
+
+
 @register("forecast_status_events", with_events("""
 , inp AS (SELECT 'all' AS series_key, date AS ts, revenue AS value FROM ev)
 SELECT series_key, NULL::VARCHAR AS tier,
