@@ -154,10 +154,11 @@ def tokenizer():
 def test_token_counts_add_up_over_pieces():
     t, r = tokenizer(), random.Random(2)
     for _ in range(3000):
-        x = "".join(r.choice("ab É́e  \x1c\x85\t\n'sré1٣<|endoftext|>ΣςİK中文😀 ") for _ in range(r.randint(0, 30)))
+        x = "".join(r.choice("ab. ,\"!?ABé-_)É́e  \x1c\x85\t\n'sré1٣<|endoftext|>ΣςİK中文😀 ") for _ in range(r.randint(0, 30)))
         x += r.choice(["", "<|endoftext|>", " <|startoftext|>x", "a<|endoftext|>'s "])
         pieces = x.encode().split()
-        got = tokens.lengths(t, sorted(set(pieces)))
+        got, words = {}, {}
+        tokens.learn(t, sorted(set(pieces)), got, words)
         assert sum(got[p] for p in pieces) == len(t.encode(x, add_special_tokens=False).ids)
 
 
@@ -167,3 +168,13 @@ def test_every_template_is_most_like_its_own_licence():
     for i, a in enumerate(grams):
         best = max(range(len(grams)), key=lambda j: 2 * len(a & grams[j]) / (len(a) + len(grams[j])))
         assert licenses.TEMPLATES[best][0] == licenses.TEMPLATES[i][0]
+
+
+def test_words_part_from_closing_punctuation():
+    t, r = tokenizer(), random.Random(8)
+    for _ in range(4000):
+        word = "".join(r.choice("abcXYZéÉßΣςİß中́") for _ in range(r.randint(1, 8)))
+        piece = (word + "".join(r.choice(tokens.CLOSING.decode()) for _ in range(r.randint(0, 4)))).encode()
+        got = {}
+        tokens.learn(t, [piece], got, {})
+        assert got[piece] == len(t.encode(piece.decode(), add_special_tokens=False).ids), piece

@@ -6,8 +6,10 @@ its pieces. Tier one is a broadcast table of the lengths of the corpus's frequen
 pieces: a first pass lets each task count its pieces in a bounded table and send its
 most frequent ones, of which the best are encoded once on the driver; the table only saves
 time, no result depends on it. Tier two is a cache in each Python worker, which lives on from
-task to task: pieces in neither tier are encoded together per batch and kept up to
-``cache_entries``. No piece is ever shuffled for counting.
+task to task, for pieces and for the words in them: a piece of letters and closing punctuation has
+the tokens of the word and those of the punctuation, as the tokenizer parts letters from
+other characters before its merges. What is in neither tier is encoded together per batch
+and kept up to ``cache_entries``. No piece is ever shuffled for counting.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; repeated rows give equal rows; an
 empty table gives an empty result; extra columns are ignored.
@@ -16,9 +18,11 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +31,15 @@ from pyspark.sql import functions as F
 TOKEN_LIMIT = 2048
 FREQUENT = 65_536
 FREQUENT_PER_TASK = 1024
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 #: Longer pieces are encoded whenever they come, so that a table entry stays small.
 PIECE_BYTES = 64
 BATCH_BYTES = 4 << 20
 
-_WORKER: dict[int, tuple] = {}  # one entry per broadcast: tokenizer, known lengths
+#: Characters after a word that are no letters, digits, apostrophes or parts of a special string.
+CLOSING = b".,;:!?%&*#$)]}\"/+=-_"
+
+_WORKER: dict[str, tuple] = {}  # one entry per call of count_tokens: tokenizer, lengths of tier one, of pieces, of words
 
 
 def load_tokenizer(definition: str):
@@ -50,6 +57,30 @@ def lengths(tokenizer, pieces: list[bytes]) -> dict[bytes, int]:
     return {p: len(e) for p, e in zip(pieces, got, strict=True)}
 
 
+def word_parts(piece: bytes) -> tuple[bytes, bytes] | None:
+    """(word, closing punctuation) of a piece whose token count is the sum of both, else None.
+
+    ASCII words are lowered, as the tokenizer does, so that all their cases share an entry.
+    """
+    word = piece.rstrip(CLOSING)
+    if word.isalpha():  # of bytes: ASCII letters only
+        return word.lower(), piece[len(word):]
+    if len(word) < len(piece) and normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha():
+        return word, piece[len(word):]  # normal form and lower case leave no mark at its end that would join what follows
+    return None
+
+
+def learn(tokenizer, pieces: list[bytes], known: dict[bytes, int], words: dict[bytes, int]) -> None:
+    """Add the lengths of ``pieces`` to ``known``, by their words where they part."""
+    parted = {p: w for p in pieces if (w := word_parts(p))}
+    new = {x for w in parted.values() for x in w if x}.difference(words)
+    whole = [p for p in pieces if p not in parted]
+    got = lengths(tokenizer, list(new.union(whole)))
+    words.update((x, got[x]) for x in new)
+    known.update((p, got[p]) for p in whole)
+    known.update((p, words[a] + (words[b] if b else 0)) for p, (a, b) in parted.items())
+
+
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of a batch as UTF-8, some megabytes at a time, with the row they begin at."""
     texts, size, begin = [], 0, 0
@@ -91,13 +122,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, token_limit: int = TOKEN_
     table = lengths(load_tokenizer(definition), frequent_pieces(docs, frequent))
     shared = spark.sparkContext.broadcast((definition, table))
 
+    call = uuid.uuid4().hex
+
     def run(batches):
-        key = shared.id if hasattr(shared, "id") else id(shared)
-        if key not in _WORKER:
+        if call not in _WORKER:
             _WORKER.clear()
             text, first = shared.value
-            _WORKER[key] = (load_tokenizer(text), first, dict(first))
-        tokenizer, first, known = _WORKER[key]
+            _WORKER[call] = (load_tokenizer(text), first, dict(first), {})
+        tokenizer, first, known, words = _WORKER[call]
         for b in batches:
             n_bytes, n_tokens = [], []
             for _, texts in _slices(b, "text"):
@@ -107,12 +139,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, token_limit: int = TOKEN_
                     known.clear()
                     known.update(first)
                     missing = list(set().union(*pieces).difference(known))
-                known.update(lengths(tokenizer, missing))
+                if len(words) > cache_entries:
+                    words.clear()
+                learn(tokenizer, missing, known, words)
                 n_bytes += map(len, texts)
                 n_tokens += [sum(map(known.__getitem__, p)) for p in pieces]
                 for p in missing:
                     if len(p) > PIECE_BYTES:
                         del known[p]
+                        words.pop((word_parts(p) or (p,))[0], None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())],
                                              names=["doc_id", "n_bytes", "n_tokens"])
 
