@@ -84,7 +84,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
                                                                          'e', greatest(element_at(acc, -1).e, x.e))))
              ELSE concat(acc, array(x)) END)""")
     return (found.withColumn("spans", merged)
-            .withColumn("n_hit", F.expr("aggregate(spans, 0L, (acc, x) -> acc + x.e - x.p)"))
+            .withColumn("n_hit", F.expr("""aggregate(at, named_struct('e', 0, 'n', 0L), (s, x) -> named_struct(
+                'e', greatest(s.e, x.e), 'n', s.n + greatest(0, x.e - greatest(x.p, s.e)))).n"""))
             .withColumn("items", F.sort_array(F.transform("ids", lambda x: x.cast("string"))))
             .select("doc_id", "text_hash", "spans", "n_hit", "items"))
 

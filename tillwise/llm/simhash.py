@@ -17,7 +17,7 @@ share a component; an empty table gives an empty result; extra columns are ignor
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import islice, product
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +35,19 @@ BLOCK = 1024
 QUARTERS, QUARTER_BITS = 4, 16
 
 
-def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of the XXH64 hashes of all n-word shingles, repeats included."""
+def fingerprint(text: str | None, n_words: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of the XXH64 hashes of all word shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(n_words)), strict=False)) if len(words) >= n_words else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, HASH_SEED) for s in shingles], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 16):
-        bits = np.unpackbits(h[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    hashes = (digest(s, HASH_SEED) for s in shingles)
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    while len(h := np.fromiter(islice(hashes, 1 << 16), dtype="<u8")):
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
