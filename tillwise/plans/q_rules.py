@@ -185,12 +185,27 @@ def rules_all_brand(spark, sf_dir):
                     "rank", "mode", F.lit(res.total_found).cast("bigint").alias("total_found"))
 
 
+WORD_BASKETS = """
+, pairs AS (SELECT DISTINCT customer_id, transaction_id, product_name FROM sales WHERE product_name IS NOT NULL),
+b AS (SELECT customer_id, transaction_id, count(*) AS n FROM sales GROUP BY 1, 2),
+w AS (SELECT DISTINCT p.customer_id, p.transaction_id, lower(regexp_extract(p.product_name, '^\\s*(\\S+)', 1)) AS word
+      FROM pairs p JOIN b USING (customer_id, transaction_id) WHERE b.n > 1),
+wb AS (SELECT list_sort(list(word)) AS items FROM w WHERE word <> '' GROUP BY customer_id, transaction_id HAVING count(*) > 1)
+"""
+
+
+@register("rules_first_words", with_sales(WORD_BASKETS + mask_ladder("wb", G.MIN_SUPPORT, G.MIN_CONFIDENCE, mode="'category'")))
+def rules_first_words(spark, sf_dir):
+    """G2–G5 + G7: rules between the first words of product names, the rung that product baskets fall to at scale."""
+    words = G.first_word_baskets(prepare.baskets(spark, sf_dir, "product_name"))
+    return _mined_rows(G.mine_rules(words, mode="category"))
+
+
 @register("rules_ladder_products")
 def rules_ladder_products(spark, sf_dir):
-    """G5 + G6: the mode ladder on product-name baskets (falls to first-word categories here)."""
+    """G5 + G6: the mode ladder on product-name baskets."""
     s = prepare.clean_sales(spark, sf_dir)
-    res = G.run_rules(D.build_baskets(s, "transactional"), s, "product_name")
-    return res.rules.withColumn("total_found", F.lit(res.total_found)).withColumn("mining_mode", F.lit(res.mining_mode))
+    return _mined_rows(G.run_rules(prepare.baskets(spark, sf_dir, "product_name"), s, "product_name"))
 
 
 @register("first_word_baskets", with_sales("""
