@@ -449,9 +449,10 @@ def segment_by_quantiles(rfm: DataFrame, k: int = 4) -> tuple[DataFrame, DataFra
     return label_customers(lab, prof), prof
 
 
-def segment_by_mixture(rfm: DataFrame, **sweep_opts) -> tuple[DataFrame, DataFrame, SweepResult]:
-    """F1 → F3 → F6/F7 with the BIC-chosen mixture."""
-    res = gmm_sweep(rfm, **sweep_opts)
+def segment_by_mixture(rfm: DataFrame, res: SweepResult | None = None,
+                       **sweep_opts) -> tuple[DataFrame, DataFrame, SweepResult]:
+    """F1 → F3 → F6/F7 with the BIC-chosen mixture (of a sweep that was made before, if given)."""
+    res = res or gmm_sweep(rfm, **sweep_opts)
     lab = renumber_clusters(assign_components(rfm, res.best))
     prof = cluster_profiles(lab)
     return label_customers(lab, prof), prof, res

@@ -197,19 +197,29 @@ def scenario_segment_impact(spark, sf_dir):
     return J.segment_impact(prof, _baseline(spark, sf_dir))
 
 
+_SWEEPS: dict[tuple, S.SweepResult] = {}  # parameters of the fitted mixtures, some kilobytes per table
+
+
+def _sweep(spark, sf_dir) -> S.SweepResult:
+    key = prepare._key(spark, sf_dir, "gmm_sweep")
+    if key not in _SWEEPS:
+        _SWEEPS[key] = S.gmm_sweep(_rfm(spark, sf_dir))
+    return _SWEEPS[key]
+
+
 @register("gmm_sweep")
 def gmm_sweep(spark, sf_dir):
     """F1 + F2: every (k, covariance, start) mixture with log-likelihood and BIC; the chosen one flagged."""
-    res = S.gmm_sweep(_rfm(spark, sf_dir))
-    return spark.createDataFrame(res.table)
+    return spark.createDataFrame(_sweep(spark, sf_dir).table)
 
 
 @register("gmm_segment_profiles")
 def gmm_segment_profiles(spark, sf_dir):
     """F1 → F3 → F6/F7: profiles of the BIC-chosen mixture, with silhouette."""
-    lab, prof, res = S.segment_by_mixture(_rfm(spark, sf_dir))
+    lab, prof, res = S.segment_by_mixture(_rfm(spark, sf_dir), _sweep(spark, sf_dir))
     lab = lab.persist()
     sil = S.silhouette_sq_euclidean(lab)
+    lab.unpersist()
     return prof.withColumn("k_fitted", F.lit(res.best.k)).withColumn("covariance", F.lit(res.best.cov)) \
                .withColumn("silhouette_sq_euclidean", F.lit(round(sil, 4)))
 
