@@ -187,6 +187,19 @@ def test_simhash_components_equal_brute_force(spark, texts):
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(want.values())
 
 
+def test_keep_one_decides_per_row(spark):
+    r = random.Random(12)
+    x, y, z, lone, other = (" ".join(f"w{r.randrange(10 ** 6)}" for _ in range(400)) for _ in range(5))
+    near = y + "\n"  # equal words, another text
+    rows = [(5, x, "a"), (5, y, "a"), (3, near, "a"), (None, z, "a"), (7, z, "a"), (None, lone, "a"), (8, other, "b"),
+            (8, other, "a"), (8, other, "a"), (9, other, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("tags", F.create_map(F.lit("k"), "source"))
+    out = simhash.keep_one(df.repartition(3))
+    assert out.columns == df.columns
+    got = sorted(((a, t, s) for a, t, s, _ in out.collect()), key=repr)
+    assert got == sorted([(5, x, "a"), (3, near, "a"), (7, z, "a"), (None, lone, "a"), (8, other, "a")], key=repr)
+
+
 def test_simhash_links_over_many_blocks(spark):
     r = random.Random(4)
     fps = {r.getrandbits(64) for _ in range(300)}

@@ -51,15 +51,17 @@ def fingerprint(text: str | None, n_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), n) for t in b.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))],
+                                             names=["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+            .mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,14 +131,19 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return pairs.mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): the least doc_id that is reachable over links."""
+def _rooted(docs: DataFrame, n: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row, and (fp, least_id, root) of every distinct fingerprint."""
     doc_fp = write_shared(fingerprints(docs, n), "simhash-fingerprints")
     fps = doc_fp.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     fps = write_shared(fps, "simhash-distinct")
     parts = connected_components(links(fps, radius), "simhash-components")
-    rooted = write_shared(fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-                          .select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    return doc_fp, write_shared(fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+                                .select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
+def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id): the least doc_id that is reachable over links."""
+    doc_fp, rooted = _rooted(docs, n, radius)
     names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.select("fp", "root").join(names, "root").select("fp", "component_id")
     return (doc_fp.join(named, "fp")
@@ -144,7 +151,21 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with the document that names its component only; a component without any doc_id stays whole."""
-    gone = (near_duplicates(docs, n, radius).where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)")
-            .select(F.col("doc_id").alias("_g_id")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_g_id")), "left_anti")
+    """``docs`` with one row of each component: the first by doc_id, then text hash; of equal ones the first as JSON.
+
+    A component without any doc_id stays whole.
+    """
+    doc_fp, rooted = _rooted(docs, n, radius)
+    keys = (doc_fp.join(rooted.select("fp", "root"), "fp").groupBy("root", "doc_id", "text_hash")
+            .agg(F.count("*").alias("copies")))
+    first = keys.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    is_first = F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))
+    # all but the rows that stay as they are: few, and nothing but keys
+    marked = write_shared(keys.join(first, "root").where(~is_first | (F.col("copies") > 1))
+                          .select(F.col("doc_id").alias("_g_id"), F.col("text_hash").alias("_g_hash"), is_first.alias("_g_first")),
+                          "simhash-marked")
+    on = docs["doc_id"].eqNullSafe(F.col("_g_id")) & (F.xxhash64(docs["text"]) == F.col("_g_hash"))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    repeated = (docs.join(marked.where("_g_first"), on).groupBy("_g_id", "_g_hash")
+                .agg(F.min_by(row, F.to_json(row)).alias("_g_row")).select("_g_row.*"))
+    return docs.join(marked, on, "left_anti").union(repeated)
