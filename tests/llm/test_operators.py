@@ -150,6 +150,42 @@ def test_lines_equal_brute_force(spark, texts):
     assert got <= want and len(want - got) <= 0.01 * len(want)
 
 
+def line_frame(spark, lines):
+    return spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(lines)], DOCS)
+
+
+def removed(df):
+    return {r["doc_id"] for r in line_dedup.dropped_lines(df).collect()}
+
+
+def letters(r, n):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def band_keys(sig):
+    """Of each line its band keys, by the published scheme."""
+    return {x["h"]: {(b, *[x[f"m{i}"] for i in rows]) for b, rows in enumerate(line_dedup.BANDS)} for x in sig.collect()}
+
+
+def band_groups(spark, lines):
+    """Similar pairs that share a band, how many lines stay if all of them are joined, and how many stay."""
+    df = line_frame(spark, lines)
+    hashed = {x["line"]: x["h"] for x in line_dedup._text_lines(df).distinct().collect()}
+    keys = band_keys(line_dedup.signatures(df))
+    near = [(a, b) for a, b in plain_line_groups(set(lines))[1] if keys[hashed[a]] & keys[hashed[b]]]
+    return near, len(set(union_find(near, set(lines)).values())), len(lines) - len(removed(df))
+
+
+def test_short_lines_that_share_a_band_are_verified(spark):
+    r = random.Random(22)
+    lines = []
+    for _ in range(1500):
+        x = letters(r, r.randint(10, 24))
+        lines += [x, x + letters(r, 1 + (len(x) > 15))]
+    near, want, got = band_groups(spark, lines)
+    assert len(near) > 1000 and got == want
+
+
 def test_dedup_documents_rebuilds_the_texts(spark):
     rows = [(1, "alpha beta gamma delta\nkeep me as I am\n\nlast", "en", "s", 0), (2, "alpha beta gamma delta\nonly in two", "en", "s", 0),
             (3, "alpha beta gamma delta", "en", "s", 0), (4, None, "en", "s", None), (5, "", "en", "s", 0), (6, " \n", "en", "s", 2),
