@@ -186,6 +186,18 @@ def test_short_lines_that_share_a_band_are_verified(spark):
     assert len(near) > 1000 and got == want
 
 
+def test_near_copies_of_lines_of_30_to_80_characters(spark):
+    r = random.Random(23)
+    base = [letters(r, n) for n in range(30, 81) for _ in range(4)]
+    middle = [x[:len(x) // 2] + "#" + x[len(x) // 2 + 1:] for x in base]
+    end = [x[:-1] + "#" for x in base]
+    got = removed(line_frame(spark, base + middle + end))
+    n = len(base)
+    edits = [i for i, x in enumerate(base) if len(x) >= 49]
+    assert sum(n + i in got for i in edits) >= 0.97 * len(edits)
+    assert sum(2 * n + i in got for i in range(n)) >= 0.97 * n
+
+
 def test_dedup_documents_rebuilds_the_texts(spark):
     rows = [(1, "alpha beta gamma delta\nkeep me as I am\n\nlast", "en", "s", 0), (2, "alpha beta gamma delta\nonly in two", "en", "s", 0),
             (3, "alpha beta gamma delta", "en", "s", 0), (4, None, "en", "s", None), (5, "", "en", "s", 0), (6, " \n", "en", "s", 2),
