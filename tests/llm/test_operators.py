@@ -176,6 +176,16 @@ def band_groups(spark, lines):
     return near, len(set(union_find(near, set(lines)).values())), len(lines) - len(removed(df))
 
 
+def test_near_pairs_in_a_family_of_templated_lines(spark):
+    r = random.Random(21)
+    boiler = " ".join(letters(r, 7) for _ in range(16))
+    lines = [f"{boiler} {letters(r, 24)}" for _ in range(600)]
+    for i in range(0, 240, 2):  # own endings of which little differs
+        lines[i + 1] = lines[i][:-9] + letters(r, 9)
+    near, want, got = band_groups(spark, lines)
+    assert len(near) >= 110 and got == want
+
+
 def test_short_lines_that_share_a_band_are_verified(spark):
     r = random.Random(22)
     lines = []
