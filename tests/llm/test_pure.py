@@ -56,6 +56,19 @@ def test_added_spans_need_checksum_or_context():
     assert pii.spans_of(None) == pii.spans_of("") == []
 
 
+@pytest.mark.parametrize("text, want", [
+    ("DE89370400440532013000 GB82WEST12345698765432", ["DE89370400440532013000", "GB82WEST12345698765432"]),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+    ("INV AB12 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+    ("AB12 CD34 EF56 DE89370400440532013000 X", ["DE89370400440532013000"])])
+def test_ibans_next_to_each_other_and_after_codes(text, want):
+    assert [text[s["start"]:s["end"]] for s in pii.spans_of(text) if s["kind"] == "iban"] == want
+
+
+def test_iban_groups_take_linear_time():
+    assert pii.spans_of("AB12 " * 40_000) == []
+
+
 @pytest.mark.parametrize("text", ["1" * 300_000, "a" * 300_000 + "@", "+" * 200_000, "1.1" * 80_000, "@" * 200_000, "a@a" * 50_000])
 def test_long_runs_take_linear_time(text):
     pii.spans_of(text)

@@ -79,15 +79,19 @@ def _small(part: str) -> bool:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        end = m.end()
+    m = _IBAN.search(text)
+    while m:
+        start, end = m.span()
         while True:  # the next capital letters may be another word: cut at the last blank
-            got = text[m.start():end].replace(" ", "")
+            got = text[start:end].replace(" ", "")
             if len(got) >= 15 and mod97(got):
-                yield m.start(), end
+                yield start, end
+                at = end
                 break
-            if (end := text.rfind(" ", m.start(), end)) < 0:
+            if (end := text.rfind(" ", start, end)) < 0:  # none: go on with the next group, which this proposal may have read
+                at = text.find(" ", start, m.end()) + 1 or m.end()
                 break
+        m = _IBAN.search(text, at)
 
 
 def propose(text: str) -> Iterator[tuple[str, int, int]]:
