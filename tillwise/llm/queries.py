@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, tokens, warc
+from . import (decontaminate, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, tokens,
+               warc)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of good quality of every document, alone and with its site's posterior."""
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register("op13_secret_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts per base kind, digest of the base spans, all spans."""
+    found = secrets.find_spans(read_table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    return found.select("doc_id", *[secrets.count_kind(spans, k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+                        F.sha2(secrets.listed(spans, secrets.BASE_KINDS), 256).alias("base_sha256"),
+                        secrets.listed(spans).alias("spans"))
