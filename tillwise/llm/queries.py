@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, tokens,
-               warc)
+from . import (decontaminate, divergence, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash,
+               tokens, warc)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[secrets.count_kind(spans, k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
                         F.sha2(secrets.listed(spans, secrets.BASE_KINDS), 256).alias("base_sha256"),
                         secrets.listed(spans).alias("spans"))
+
+
+@register("op12_source_divergence", divergence.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and the terms that each source uses most beyond its language."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
