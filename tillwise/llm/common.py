@@ -23,7 +23,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillwise-llm/{name}-{uuid.uuid4().hex}"
 
 
-def write_shared(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+def write_shared(df: DataFrame, name: str, dictionary: bool = True, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The table cuts the lineage: a task that is run again after an executor is lost
@@ -32,7 +32,7 @@ def write_shared(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, divergence, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash,
-               tokens, warc)
+from . import (decontaminate, divergence, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, ranked_search,
+               secrets, simhash, tokens, warc)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every pair of sources of a language, and the terms that each source uses most beyond its language."""
     return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@register("op11_ranked_search", ranked_search.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
