@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -156,3 +156,44 @@ def exact_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
             res.append(a + (b - a) * frac)
         out[c] = res
     return out
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of every group: ``keys``, then ``{col}_q{i}`` per column and probability.
+
+    However many groups there are and however large one is: the distinct values of a group with their counts
+    (combined on the map side) are range-partitioned by (group, value), so a large group lies in several partitions.
+    A value's first rank is the group's count in earlier partitions, one small row per partition and
+    group, plus the running count in its own. No group and no state per group meets one task or the driver.
+    Nulls and NaN are ignored; a group without values has null quantiles.
+    """
+    from ..session import scratch_table
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    values = (df.select(*keys, F.inline(pairs)).where("v IS NOT NULL AND NOT isnan(v)")
+              .groupBy(*keys, "c", "v").agg(F.count("*").alias("n")))
+    # where the ranges are cut depends on a sample, so the partition of a row is fixed by writing it
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cut = scratch_table(values.repartitionByRange(width, *keys, "c", "v").withColumn("_p", F.spark_partition_id()), "quantile-values")
+    group = [*keys, "c"]
+    sizes = cut.groupBy(*group, "_p").agg(F.sum("n").alias("_in"))
+    all_parts = Window.partitionBy(*group)
+    sizes = sizes.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(group)], F.col("_p").alias("_part"),
+                         F.sum("_in").over(all_parts).alias("_total"),
+                         (F.sum("_in").over(all_parts.orderBy("_p")) - F.col("_in")).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(group)] + [F.col("_p") == F.col("_part")]
+    placed = cut.join(sizes, same).select(*group, "_p", "v", "n", "_total", "_before")
+    running = F.sum("n").over(Window.partitionBy(*group, "_p").orderBy("v"))
+    placed = placed.withColumn("_to", F.col("_before") + running).withColumn("_from", F.col("_to") - F.col("n"))
+
+    wanted = []
+    for i, p in enumerate(probs):
+        at = F.lit(p) * (F.col("_total") - 1)
+        low = F.floor(at)
+        for side, rank in (("a", low), ("b", F.least(low + 1, F.col("_total") - 1))):
+            wanted.append(F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("v"))).alias(f"{side}{i}"))
+        wanted.append(F.max(at - low).alias(f"f{i}"))
+    found = placed.groupBy(*group).agg(*wanted)
+    by_col = found.select(*group, *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}")).alias(f"q{i}")
+                                    for i in range(len(probs))])
+    wide = [F.max(F.when(F.col("c") == j, F.col(f"q{i}"))).alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(len(probs))]
+    return by_col.groupBy(*keys).agg(*wide)

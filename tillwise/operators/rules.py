@@ -65,8 +65,8 @@ def frequent_itemsets(tx: DataFrame, min_support: float, num_partitions: int | N
     return out.filter(F.col("support") >= F.lit(min_support))
 
 
-def generate_rules(itemsets: DataFrame) -> DataFrame:
-    """G3 + G4 metrics: all non-empty antecedent → consequent splits of each itemset.
+def generate_rules(itemsets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """G3 + G4 metrics: all non-empty antecedent → consequent splits of each itemset, within each ``by`` group.
 
     ``itemsets`` is read three times (the splits and both sides' supports), so hand
     over a kept table. Output: antecedents, consequents (sorted arrays), support,
@@ -74,25 +74,25 @@ def generate_rules(itemsets: DataFrame) -> DataFrame:
     """
     big = itemsets.filter(F.size("items") >= 2)
     masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)")
-    split = big.select("items", "support", F.explode(masks).alias("mask"))
+    split = big.select(*by, "items", "support", F.explode(masks).alias("mask"))
 
     def pick(bit_on: bool) -> Column:
         return F.expr(f"filter(items, (x, i) -> (shiftright(mask, i) & 1L) = {1 if bit_on else 0})")
 
-    split = split.select(pick(True).alias("antecedents"), pick(False).alias("consequents"), "support")
-    sup = itemsets.select("items", "support")
-    a = sup.select(F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
-    c = sup.select(F.col("items").alias("consequents"), F.col("support").alias("consequent_support"))
-    r = split.join(a, "antecedents").join(c, "consequents")
+    split = split.select(*by, pick(True).alias("antecedents"), pick(False).alias("consequents"), "support")
+    sup = itemsets.select(*by, "items", "support")
+    a = sup.select(*by, F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
+    c = sup.select(*by, F.col("items").alias("consequents"), F.col("support").alias("consequent_support"))
+    r = split.join(a, [*by, "antecedents"]).join(c, [*by, "consequents"])
     conf = F.col("support") / F.col("antecedent_support")
-    return r.select("antecedents", "consequents", "support", conf.alias("confidence"),
+    return r.select(*by, "antecedents", "consequents", "support", conf.alias("confidence"),
                     (conf / F.col("consequent_support")).alias("lift"),
                     "antecedent_support", "consequent_support")
 
 
-def rank_rules(rules: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """G4 cut: rules ordered by lift (ties: confidence, support, items), rank ≤ top_n."""
-    w = Window.orderBy(F.col("lift").desc(), F.col("confidence").desc(), F.col("support").desc(),
+def rank_rules(rules: DataFrame, top_n: int = TOP_N, by: tuple[str, ...] = ()) -> DataFrame:
+    """G4 cut: rules ordered by lift (ties: confidence, support, items), rank ≤ top_n in each ``by`` group."""
+    w = Window.partitionBy(*by).orderBy(F.col("lift").desc(), F.col("confidence").desc(), F.col("support").desc(),
                        F.array_join("antecedents", "\u0001"), F.array_join("consequents", "\u0001"))
     ranked = rules.withColumn("rank", F.row_number().over(w))
     return ranked.filter(F.col("rank") <= top_n) if top_n else ranked

@@ -377,31 +377,31 @@ def assign_components(rfm: DataFrame, g: Gmm) -> DataFrame:
 
 # ── F3 / F6 / F7: renumber, profile, label ──────────────────────────────────
 
-def renumber_clusters(df: DataFrame, comp_col: str = "component") -> DataFrame:
-    """cluster ids 0.. by mean monetary, highest first (ties: component id)."""
-    means = df.groupBy(comp_col).agg(F.avg("monetary").alias("_mm"))
-    w = Window.orderBy(F.col("_mm").desc(), F.col(comp_col))
-    remap = means.select(comp_col, (F.row_number().over(w) - 1).alias("cluster"))
-    return df.join(F.broadcast(remap), comp_col).drop(comp_col)
+def renumber_clusters(df: DataFrame, comp_col: str = "component", by: tuple[str, ...] = ()) -> DataFrame:
+    """cluster ids 0.. by mean monetary, highest first (ties: component id); within each ``by`` group where given."""
+    means = df.groupBy(*by, comp_col).agg(F.avg("monetary").alias("_mm"))
+    w = Window.partitionBy(*by).orderBy(F.col("_mm").desc(), F.col(comp_col))
+    remap = means.select(*by, comp_col, (F.row_number().over(w) - 1).alias("cluster"))
+    return df.join(remap if by else F.broadcast(remap), [*by, comp_col]).drop(comp_col)
 
 
-def cluster_profiles(labelled: DataFrame) -> DataFrame:
-    """F6 + F7: per cluster size, share, means and the rank-based label."""
-    g = labelled.groupBy("cluster").agg(
+def cluster_profiles(labelled: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """F6 + F7: per cluster size, share, means and the rank-based label; within each ``by`` group where given."""
+    g = labelled.groupBy(*by, "cluster").agg(
         F.count(F.lit(1)).alias("size"), F.avg("recency").alias("r_mean"),
         F.avg("frequency").alias("f_mean"), F.avg("monetary").alias("m_mean"))
-    all_w = Window.partitionBy()
+    all_w = Window.partitionBy(*by)
 
     def norm(c):
         lo, hi = F.min(c).over(all_w), F.max(c).over(all_w)
         return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.5))
 
     scored = g.withColumn("score", norm("m_mean") + norm("f_mean") - norm("r_mean"))
-    rank = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("cluster"))) - 1
+    rank = F.row_number().over(all_w.orderBy(F.col("score").desc(), F.col("cluster"))) - 1
     labels = F.array(*[F.lit(x) for x in SEGMENT_LABELS])
     total = F.sum("size").over(all_w)
     out = scored.select(
-        F.col("cluster").alias("cluster_id"),
+        *by, F.col("cluster").alias("cluster_id"),
         F.get(labels, F.least(rank, F.lit(len(SEGMENT_LABELS) - 1))).alias("label"),
         F.col("size").cast("bigint").alias("size"),
         F.round(F.col("size") / total * 100, 1).alias("pct_of_customers"),
@@ -412,10 +412,10 @@ def cluster_profiles(labelled: DataFrame) -> DataFrame:
     return out
 
 
-def label_customers(labelled: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Customer → label (profiles hold one row per cluster, at most 8)."""
-    lab = profiles.select(F.col("cluster_id").alias("cluster"), "label")
-    out = labelled.join(F.broadcast(lab), "cluster", "left")
+def label_customers(labelled: DataFrame, profiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Customer → label (profiles hold one row per cluster, at most 8 in a group)."""
+    lab = profiles.select(*by, F.col("cluster_id").alias("cluster"), "label")
+    out = labelled.join(lab if by else F.broadcast(lab), [*by, "cluster"], "left")
     return out.withColumn("label", F.coalesce("label", F.format_string("Segment %d", F.col("cluster") + 1)))
 
 

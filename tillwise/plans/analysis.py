@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import by_job as J
 from ..operators import clean as C
 from ..operators import features as D
 from ..operators import forecast as I
@@ -133,6 +134,55 @@ def _report(t: dict, profiles: DataFrame, rules: DataFrame, monthly: DataFrame |
         None if share is None else share.withColumn("job_id", job))
 
 
+def analyse_jobs(raw: DataFrame, job_col: str, focus: str = "general", fuzzy_columns: bool = True, k: int = 4,
+                 min_rows: int = 100, min_clean: int = 10) -> dict[str, DataFrame]:
+    """Run A → K for every job of a transactional table at once; each result table is keyed by ``job_id``.
+
+    ``job_col`` tells the uploads apart; their columns must be the same. Segments are the quantile segments
+    (F12) of each job. A job's rows equal those of ``analyse`` over its own lines. A job of which too few rows are left
+    (A6) has ``admitted`` false in table ``jobs`` and no other rows.
+    """
+    lines = C.with_order(raw.where(F.col(job_col).isNotNull()))
+    placed = F.struct(F.col(job_col).cast("string").alias("job"), F.col("_ord").alias("at"))
+    df = A.canonicalise(lines.withColumn("_ord", placed).drop(job_col), fuzzy=fuzzy_columns).withColumn(J.JOB, F.col("_ord.job"))
+    kind = A.detect_dataset_type(df.columns)
+    if kind != "transactional":
+        raise ValueError(f"many jobs in one run need transactional data, these columns read as {kind}")
+    typed = materialize(C.coerce_types(C.clean_string_formats(df)), "jobs-typed")
+    clean = materialize(D.engineer_features(J.clean_rows(typed, kind), kind), "jobs-clean")
+    counts = typed.groupBy(J.JOB).agg(F.count(F.lit(1)).alias("rows_in")).join(
+        clean.groupBy(J.JOB).agg(F.count(F.lit(1)).alias("rows_kept"), F.count_distinct("customer_id").alias("customers")), J.JOB, "left")
+    t = {"jobs": counts.fillna(0).withColumn("admitted", (F.col("rows_in") >= min_rows) & (F.col("rows_kept") >= min_clean)
+                                             & (F.col("customers") >= S.MIN_CUSTOMERS))}
+    admitted = t["jobs"].where("admitted").select(J.JOB)
+    clean = clean.join(admitted, J.JOB, "left_semi")
+    t["summary"] = J.summary(clean, typed)
+    rfm = materialize(J.rfm_table(clean, kind), "jobs-rfm")
+    labelled, t["segments"] = J.quantile_segments(J.robust_scale(rfm), k)
+    t["customers"] = materialize(labelled, "jobs-segments")
+    t["silhouette"] = J.silhouette(t["customers"])
+    t["rules"] = materialize(J.run_rules(J.baskets(clean, kind), clean), "jobs-rules")
+    t["monthly_revenue"] = J.monthly_revenue(clean)
+    t["mom_growth"] = J.mom_growth(t["monthly_revenue"])
+    if "category" in clean.columns:
+        t["category_monthly"] = J.category_months(clean)
+    if "product_name" in clean.columns:
+        t["top_products"] = J.top_products(clean)
+    if "region" in clean.columns:
+        t["geo_region_stats"] = J.region_stats(H.clean_geo(clean, "region"))
+    t["forecast_status"], t["forecast"], t["forecast_history"] = (
+        x.withColumnRenamed("series_key", J.JOB) for x in I.forecast(I.resolve_input(clean, J.JOB)))
+    spark = raw.sparkSession
+    focused = t["summary"].select(J.JOB, F.lit(focus).alias("focus"))
+    top = t.get("top_products")
+    if top is None:
+        top = spark.createDataFrame([], "job_id string, product_name string, total_revenue double, rank int")
+    cats = t.get("category_monthly")
+    t["report"] = K.build_report(t["summary"], t["segments"], t["rules"], t["monthly_revenue"], top, t["silhouette"], focused,
+                                 None if cats is None else cats.select(J.JOB, "category"))
+    return t
+
+
 def write_analysis(result: Analysis, out_dir: str, job_id: str) -> dict[str, str]:
     """K2: every result table under ``out_dir/<name>``, partitioned by job_id."""
     return K.write_insights(result.tables, out_dir, job_id)

@@ -47,4 +47,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so that it registers itself."""
     from . import (  # noqa: F401
-        q_catalog, q_forecast, q_geo, q_models, q_prepare, q_report, q_review, q_rules, q_segment, q_stats)
+        q_catalog, q_forecast, q_geo, q_jobs, q_models, q_prepare, q_report, q_review, q_rules, q_segment, q_stats)
