@@ -80,6 +80,21 @@ def test_narrow_sketches_give_loose_bounds_and_the_same_result(spark, monkeypatc
     assert got == plain(docs, items) == collected(ranked_search.search(df, q, index=index, wave=10))
 
 
+def test_items_that_end_early_are_not_opened_again(spark, monkeypatch):
+    docs = [(i, f"common word{i % 7} " + "filler " * (i % 50), "en") for i in range(900)]
+    items = [(0, "common"), (1, "word3 word4"), (2, "filler common word1"), (3, "common word0 word1 word2")]
+    df, q = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    index = ranked_search.build_index(df)
+    full = index._replace(sketches=index.sketches.withColumn("cells", F.expr("unhex(repeat('FF', 32))")))
+    calls = []
+    plain_scores = ranked_search.exact_scores
+    monkeypatch.setattr(ranked_search, "exact_scores", lambda d, w, i, s: calls.append(w.count()) or plain_scores(d, w, i, s))
+    monkeypatch.setattr(ranked_search, "GROWTH", 3)
+    some = full._replace(sketches=full.sketches.where("n > 20").unionByName(index.sketches.where("n <= 20")))
+    assert collected(ranked_search.search(df, q, index=some, wave=12)) == plain(docs, items)
+    assert 2 < len(calls) < 9 and sum(calls) <= len(items) * len(docs)
+
+
 def test_bounds_are_never_below_the_scores():
     r = random.Random(8)
     terms = [f"t{i}".encode() for i in range(300)]

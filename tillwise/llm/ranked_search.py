@@ -315,13 +315,13 @@ def _search_batch(docs: DataFrame, index: Index, items: Items, k: int, wave: int
         ends = first_of_each(rest, wave).groupBy("item").agg(F.min("bound").alias("bound")).collect()  # a row per item
         if not ends:
             break
-        low = [1 << 62] * n
+        low = [cut[q] + 1 for q in range(n)]  # nothing left of an item: above its cut
         for r in ends:
             low[r["item"]] = r["bound"]
         now = rest.join(limit_table(spark, "low", low), "item").where("bound >= low").select("item", "h1", "h2")
         more = write_shared(scored.unionByName(exact_scores(docs, now, index, shared)).distinct(), "search-scores")
         drop_shared(scored)
-        scored, least, cut = more, thresholds(more, n, k), [x - 1 for x in low]
+        scored, least, cut = more, thresholds(more, n, k), [min(c, x - 1) for c, x in zip(cut, low, strict=True)]
     out = write_shared(scored.join(limit_table(spark, "least", least), "item").where("score >= least").drop("least"), "search-best")
     drop_shared(left)
     drop_shared(scored)
