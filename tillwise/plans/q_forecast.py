@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import forecast as I
+from ..operators import forecast_rich as R
 from . import prepare
 from .registry import register
 from .sql import with_events, with_sales
@@ -259,6 +260,58 @@ def forecast_backtest_models(spark, sf_dir):
     return I.backtest_models(I.daily_series(inp), I.series_profile(inp))
 
 
+@register("forecast_hinge_gram", with_sales(f", inp AS ({_window_sql()})" + DAILY_SQL + f"""
+, dd AS (SELECT series_key, t, revenue / max(abs(revenue)) OVER s AS y, count(*) OVER s AS n FROM daily WINDOW s AS (PARTITION BY series_key)),
+h AS (SELECT series_key, y, list_transform(generate_series(1, {R.HINGES}),
+        lambda j: greatest(0.0, t / (n - 1)::DOUBLE - j * {R.HINGE_RANGE}::DOUBLE / {R.HINGES + 1})) AS x FROM dd),
+ij AS (SELECT series_key, y, x, unnest(generate_series(0, {R.HINGES - 1})) AS i FROM h),
+ik AS (SELECT series_key, y, x, i, unnest(generate_series(0, {R.HINGES - 1})) AS j FROM ij)
+SELECT series_key, i, j, round(avg(x[i + 1] * x[j + 1]), 6) + 0.0 AS mean_product, round(avg(x[i + 1] * y), 6) + 0.0 AS mean_with_revenue
+FROM ik GROUP BY 1, 2, 3
+"""))
+def forecast_hinge_gram(spark, sf_dir):
+    """I8: the sums of the hinges behind the bending trend, per pair of candidate days, for the three windows."""
+    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    whole = Window.partitionBy("series_key")
+    days = I.daily_series(inp).withColumns({"n": F.count(F.lit(1)).over(whole), "size": F.max(F.abs("revenue")).over(whole)})
+    rows = R.hinge_rows(days).withColumn("x", F.slice("x", -R.HINGES, R.HINGES))
+    g = R.gram(rows, R.HINGES).select("series_key", "i", "xy", "m", F.posexplode("g").alias("j", "v"))
+    return g.select("series_key", "i", "j", (F.round(F.col("v") / F.col("m"), 6) + 0.0).alias("mean_product"),
+                    (F.round(F.col("xy") / F.col("m"), 6) + 0.0).alias("mean_with_revenue"))
+
+
+# Given coefficients of a long autoregression, oldest lag first.
+_GIVEN = [round(0.9 ** (R.LONG_LAGS - i) * (-1) ** i / 4, 6) for i in range(R.LONG_LAGS)]
+
+
+@register("forecast_innovations", with_sales(f", inp AS ({_window_sql()})" + DAILY_SQL + f"""
+, y AS (SELECT series_key, t, revenue - lag(revenue, 1) OVER w - lag(revenue, 7) OVER w + lag(revenue, 8) OVER w AS z,
+               count(*) OVER (PARTITION BY series_key) AS n FROM daily WINDOW w AS (PARTITION BY series_key ORDER BY t)),
+e AS (SELECT series_key, t, n, z, z - ({" + ".join(f"{b!r}::DOUBLE * lag(z, {R.LONG_LAGS - i}) OVER w" for i, b in enumerate(_GIVEN))}) AS e
+      FROM y WINDOW w AS (PARTITION BY series_key ORDER BY t)),
+x AS (SELECT *, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 7) OVER w AS e7
+      FROM (SELECT * FROM e WHERE t >= {8 + R.LONG_LAGS}) WINDOW w AS (PARTITION BY series_key ORDER BY t))
+SELECT series_key, t, round(z, 2) + 0.0 AS z, round(e1, 2) + 0.0 AS e1, round(e2, 2) + 0.0 AS e2, round(e7, 2) + 0.0 AS e7
+FROM x WHERE t >= {8 + R.LONG_LAGS + 7} AND n >= {I.MIDDLE_TIER_DAYS} AND n <= {I.LONG_TIER_DAYS}
+"""))
+def forecast_innovations(spark, sf_dir):
+    """Residuals of a long autoregression of given coefficients, lagged, as the rows of the moving-average terms."""
+    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    days = I._lagged(I.daily_series(inp), I.series_profile(inp)).where("tier = 'seasonal_ar'")
+    rows = R.long_rows(days)
+    given = rows.select("series_key").distinct().withColumn("beta", F.array(*[F.lit(b) for b in _GIVEN]))
+    d = R.arma_rows(R.innovations(rows, given))
+    return d.select("series_key", "t", *[(F.round(c, 2) + 0.0).alias(n) for n, c in
+                                         (("z", F.col("y")), ("e1", F.col("x")[3]), ("e2", F.col("x")[4]), ("e7", F.col("x")[5]))])
+
+
+@register("forecast_rich_models")
+def forecast_rich_models(spark, sf_dir):
+    """I5 + I8–I10 with hinges, moving-average terms and projections, for the three windows."""
+    status, fc, _ = R.forecast(window_input(prepare.clean_sales(spark, sf_dir)))
+    return fc.join(status.select("series_key", "tier"), "series_key")
+
+
 @register("forecast_status_events", with_events("""
 , inp AS (SELECT 'all' AS series_key, date AS ts, revenue AS value FROM ev)
 SELECT series_key, NULL::VARCHAR AS tier,
