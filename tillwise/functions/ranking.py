@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from ..session import scratch_table
 
 
-def ranked(df: DataFrame, order: list[Column], running: dict[str, str] | None = None) -> DataFrame:
+#: A table of at most so many rows is ranked by one window, as it is no more than one task sorts in a moment.
+WINDOW_ROWS = 50_000
+
+
+def ranked(df: DataFrame, order: list[Column], running: dict[str, str] | None = None, rows: int | None = None) -> DataFrame:
     """Add ``rank`` (from 1, in ``order``) and a running sum per entry of ``running`` (column → name).
 
+    ``rows``: the table's number of rows where it is known; the result does not depend on it.
     Rows are dealt to range partitions, sorted and written, which fixes their places. A row's
     rank is its place in its partition plus the rows of the partitions before; the same
     goes for sums. Only one row per partition passes through the driver.
     """
     running = running or {}
+    if rows is not None and rows <= WINDOW_ROWS:
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        return out.withColumns({name: F.coalesce(F.sum(c).over(upto), F.lit(0.0)) for c, name in running.items()})
     placed = scratch_table(df.repartitionByRange(*order).sortWithinPartitions(*order)
                            .withColumn("_at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_at", 33)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.quantile import exact_quantiles_multi
+from ..session import scratch_table
 
 
 # ── D1–D3 ───────────────────────────────────────────────────────────────────
@@ -154,3 +155,29 @@ def build_baskets(sales: DataFrame, kind: str = "transactional", keep_singles: b
     if not keep_singles:
         out = out.filter(F.col("n_lines") > 1)
     return out
+
+
+def build_pruned_baskets(sales: DataFrame, min_support: float, kind: str = "transactional", label: str | None = None) -> DataFrame:
+    """D7 for mining: the baskets of two items and more, each with only its items of ``min_support`` or more.
+
+    Items are counted before any basket is put together: lines become distinct (basket, item) pairs, the pairs of items
+    below the support are dropped by a join with the items that reach it, and what is left is collected. A basket
+    then holds (mean basket size / ``min_support``) items at most, whatever the catalogue. Every basket that counts for the
+    support has a row, without items if none of its own is left; ``n_items`` tells how many it had. For every
+    support from ``min_support`` up the itemsets are those of ``build_baskets``.
+    """
+    if kind == "transactional":
+        label = label or ("product_name" if "product_name" in sales.columns else "product_id")
+        key = F.col("transaction_id" if "transaction_id" in sales.columns else "date").cast("string")
+    else:
+        label, key = label or "category", F.col("customer_id")
+    basket = ["customer_id", "basket_key"]
+    pairs = scratch_table(sales.select("customer_id", key.alias("basket_key"), F.col(label).alias("item")).na.drop().distinct(), "basket-items")
+    sizes = pairs.groupBy(*basket).agg(F.count("*").alias("n_items")).where("n_items > 1")
+    counted = scratch_table(pairs.join(sizes, basket), "basket-counted")
+    n = sizes.agg(F.count("*").alias("n")).scalar()
+    often = counted.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") / n >= F.lit(min_support) - 1e-12).select("item")
+    # 1 / min_support times the mean basket size is the most there can be of them
+    left = counted.join(often, "item", "left_semi").groupBy(*basket).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.array().cast(left.schema["items"].dataType)
+    return sizes.join(left, basket, "left").select(*basket, F.coalesce("items", none).alias("items"), "n_items")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..functions.ranking import ranked
+from ..session import scratch_table
 from .clean import with_order
 
 # ── Fixed values (must equal the reference's) ───────────────────────────────
@@ -45,21 +46,36 @@ DATE_CANDIDATES = ["date", "invoice_date", "order_date", "purchase_date", "creat
 PRODUCT_CANDIDATES = ["product_name", "product_id", "item_name", "product", "item"]
 # ─────────────────────────────────────────────────────────────────────────────
 
+#: Standard error of the sketch of distinct values, and how far from the bound (ten of them) it is believed.
+SKETCH_ERROR, SKETCH_MARGIN = 0.02, 0.2
+
 
 def _first(df: DataFrame, names: list[str]) -> str | None:
     return next((c for c in names if c in df.columns), None)
 
 
 def find_geo_column(df: DataFrame) -> str | None:
-    """H1: ``region`` when it has ≥ 2 values, else the first raw name with 2..500."""
+    """H1: ``region`` when it has ≥ 2 values, else the first raw name with 2..500.
+
+    One scan gives every candidate's least and greatest value, which settle "two or more" exactly, and a sketch of its number of
+    values. Values are counted only where the sketch is too near the bound to tell.
+    """
     cands = (["region"] if "region" in df.columns else []) + [c for c in RAW_GEO_NAMES if c in df.columns]
     if not cands:
         return None
-    for c in cands:  # each a narrow scan that stops counting past what the rule asks
-        limit = 2 if c == "region" else MAX_GEO_VALUES + 1
-        n = df.select(F.col(f"`{c}`").alias("v")).where("v IS NOT NULL").distinct().limit(limit).count()
-        if 2 <= n and (c == "region" or n <= MAX_GEO_VALUES):
+    col = {c: F.col(f"`{c}`") for c in cands}
+    facts = df.agg(*[x.alias(f"{n}{i}") for i, c in enumerate(cands) for n, x in (
+        ("two", F.min(col[c]) < F.max(col[c])), ("about", F.approx_count_distinct(col[c], SKETCH_ERROR)))]).first()
+    for i, c in enumerate(cands):
+        if not facts[f"two{i}"]:
+            continue
+        about = facts[f"about{i}"]
+        if c == "region" or about <= MAX_GEO_VALUES * (1 - SKETCH_MARGIN):
             return c
+        if about < MAX_GEO_VALUES * (1 + SKETCH_MARGIN):
+            n = df.select(col[c].alias("v")).where("v IS NOT NULL").distinct().limit(MAX_GEO_VALUES + 1).count()
+            if n <= MAX_GEO_VALUES:
+                return c
     return None
 
 
@@ -84,13 +100,15 @@ def region_stats(geo: DataFrame) -> DataFrame:
     if "customer_id" in geo.columns:
         aggs.append(F.count_distinct("customer_id").cast("bigint").alias("unique_customers"))
     aggs.append(F.count(F.lit(1)).cast("bigint").alias("total_transactions"))
-    g = geo.groupBy("region").agg(*aggs)
+    # one row per region, kept: the total, the ranks and whatever is read of the result come from it, the lines are read once
+    g = scratch_table(geo.groupBy("region").agg(*aggs), "regions")
+    rows = g.count()
     if not rev:
-        return ranked(g, [F.col("total_transactions").desc(), F.col("region")])
+        return ranked(g, [F.col("total_transactions").desc(), F.col("region")], rows=rows)
     tot = g.agg(F.sum("total_revenue")).scalar()
     share = F.when(tot > 0, F.round(F.col("total_revenue") / tot * 100, 1)).otherwise(F.lit(0.0))
     out = ranked(g.withColumn("revenue_share_pct", share), [F.col("total_revenue").desc(), F.col("region")],
-                 {"revenue_share_pct": "cumulative_share_pct"})
+                 {"revenue_share_pct": "cumulative_share_pct"}, rows)
     return out.withColumn("cumulative_share_pct", F.round("cumulative_share_pct", 1))
 
 

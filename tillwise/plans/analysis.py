@@ -184,5 +184,5 @@ def analyse_jobs(raw: DataFrame, job_col: str, focus: str = "general", fuzzy_col
 
 
 def write_analysis(result: Analysis, out_dir: str, job_id: str) -> dict[str, str]:
-    """K2: every result table under ``out_dir/<name>``, partitioned by job_id."""
-    return K.write_insights(result.tables, out_dir, job_id)
+    """K2: every result table of a job as one committed run; ``report.read_committed`` reads them back."""
+    return K.commit_run(result.tables, out_dir, job_id)

@@ -84,6 +84,15 @@ def rules_itemsets_all(spark, sf_dir):
     return _itemset_rows(prepare.itemsets(spark, sf_dir, "category", 0.02))
 
 
+@register("rules_itemsets_pruned", with_sales(TYPE_BASKETS + mask_itemsets("tb", "0.02::DOUBLE") + """
+SELECT array_to_string(items, '|') AS items, freq, round(support, 6) AS support FROM fi
+"""))
+def rules_itemsets_pruned(spark, sf_dir):
+    """D7 + G2: the same itemsets from baskets that were put together after their rare items had gone."""
+    tx = D.build_pruned_baskets(prepare.clean_sales(spark, sf_dir), 0.02, label="category")
+    return _itemset_rows(G.frequent_itemsets(tx, 0.02))
+
+
 @register("rules_all_splits", with_sales(TYPE_BASKETS + mask_itemsets("tb", "0.02::DOUBLE") + MASK_RULES + """
 SELECT array_to_string(ai, '|') AS antecedents, array_to_string(ci, '|') AS consequents, round(support, 4) AS support,
        round(confidence, 4) AS confidence, round(lift, 4) AS lift
