@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import segment as S
+from ..operators.silhouette import euclidean_silhouette
 from . import prepare
 from .q_segment import SEG_CTE
 from .registry import register
@@ -103,6 +104,21 @@ def segment_silhouette(spark, sf_dir):
     return spark.createDataFrame([(round(S.silhouette_sq_euclidean(lab), 6),)], "silhouette_sq_euclidean double")
 
 
+@register("segment_silhouette_euclidean", with_sales(SCALED + """
+, xl AS (SELECT xs.*, cluster FROM xs JOIN seg USING (customer_id)),
+dd AS (SELECT a.customer_id, a.cluster AS own, b.cluster,
+              sum(sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2))) AS d, count(*) AS n
+       FROM xl a, xl b GROUP BY 1, 2, 3),
+ab AS (SELECT customer_id, max(CASE WHEN own = cluster THEN n END) AS n, max(CASE WHEN own = cluster THEN d / greatest(n - 1, 1) END) AS a,
+              min(CASE WHEN own <> cluster THEN d / n END) AS b FROM dd GROUP BY 1)
+SELECT round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM ab
+"""))
+def segment_silhouette_euclidean(spark, sf_dir):
+    """plain-Euclidean silhouette of the quantile segments to 4 decimals."""
+    lab, _ = prepare.quantile_segments(spark, sf_dir, 4)
+    return spark.createDataFrame([(round(euclidean_silhouette(lab), 4),)], "silhouette double")
+
+
 @register("map_scaled_rfm", with_sales(SCALED + """
 , bx AS (SELECT min(x0) AS a, max(x0) AS b, min(x2) AS c, max(x2) AS d FROM xs)
 SELECT customer_id, round((x0 - a) / CASE WHEN b = a THEN 1 ELSE b - a END, 6) AS sx,
