@@ -38,6 +38,8 @@ ARCHIVE_BYTES = 1 << 30
 REGION_BYTES = 8 << 20
 READ_BYTES = 4 << 20
 READ_GAP = 64 << 10
+#: Some 150 bytes each in an executor's memory.
+BROADCAST_REVISITS = 200_000
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_DATE = "1970-01-01T00:00:00Z"
@@ -80,16 +82,34 @@ def _page_of(record_id: str) -> str:
     return record_id.removeprefix("<urn:tillwise:page:").removesuffix(">")
 
 
+def _digested(pages: DataFrame) -> DataFrame:
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, first_id): the pages whose payload belongs to another page; no payload is shuffled for it."""
+    facts = _digested(pages).select("page_id", "digest", F.octet_length("payload").alias("size")).where(F.col("size") >= MIN_REVISIT_BYTES)
+    first = facts.groupBy(F.col("digest").alias("f_digest")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return (facts.join(first, F.col("digest") == F.col("f_digest")).where(other).select("page_id", "digest", "first_id").distinct())
+
+
 def with_types(pages: DataFrame) -> DataFrame:
-    """Pages with payload digest, record_type and refers_to; only duplicated digests meet in the join."""
-    p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumn("digest", F.sha2("payload", 256))
-    first = (p.where(F.octet_length("payload") >= MIN_REVISIT_BYTES).groupBy(F.col("digest").alias("f_digest"))
-             .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return (p.join(first, F.col("digest") == F.col("f_digest"), "left")
-            .select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
-                    F.when(again, F.col("first_id")).alias("refers_to")))
+    """Pages with payload digest, record_type and refers_to.
+
+    The revisits are rows of an id and a digest. They are broadcast while they are few, and pages then stay where they
+    were read; beyond that pages are shuffled by id, which spreads a body that very many pages share.
+    """
+    again = write_shared(revisits(pages), "warc-revisits")
+    n = again.count()
+    again = again.select(F.col("page_id").alias("a_id"), F.col("digest").alias("a_digest"), "first_id")
+    p = _digested(pages)
+    joined = p.join(F.broadcast(again) if n <= BROADCAST_REVISITS else again,
+                    F.col("page_id").eqNullSafe(F.col("a_id")) & (F.col("digest") == F.col("a_digest")), "left")
+    found = F.col("first_id").isNotNull()
+    return joined.select("page_id", "url", "payload", "digest", F.when(found, "revisit").otherwise("response").alias("record_type"),
+                         F.col("first_id").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -104,7 +124,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
         try:
             for b in batches:
                 rows = []
-                for r in b.to_pylist():
+                for cells in zip(*b.columns, strict=True):  # one payload at a time as a Python object
+                    r = {k: c.as_py() for k, c in zip(b.schema.names, cells, strict=True)}
                     if sink is None or at >= ARCHIVE_BYTES:
                         if sink is not None:
                             sink.close()
