@@ -21,6 +21,8 @@ from .schema import check_kind_columns
 PACKED_COLUMNS = ["customer_id", "transaction_id", "user_name", "review_title", "review_content"]
 STRING_COLUMNS = ["customer_id", "product_id", "product_name", "user_name", "review_title",
                   "review_content", "transaction_id", "img_link", "product_link"]
+NEEDED_COLUMNS = {"transactional": ["customer_id", "date", "price", "quantity"], "review": ["customer_id", "product_id"],
+                  "catalog": ["product_id", "price"]}
 NUMERIC_COLUMNS = ["price", "actual_price", "discount_pct", "rating", "quantity"]
 # ─────────────────────────────────────────────────────────────────────────────
 
@@ -109,10 +111,7 @@ def unpack_packed_rows(df: DataFrame) -> DataFrame:
 def drop_missing(df: DataFrame, kind: str) -> DataFrame:
     """Drop rows missing a column the kind needs."""
     check_kind_columns(df.columns, kind)
-    subset = {"transactional": ["customer_id", "date", "price", "quantity"],
-              "review": ["customer_id", "product_id"],
-              "catalog": ["product_id", "price"]}[kind]
-    return df.dropna(subset=subset)
+    return df.dropna(subset=NEEDED_COLUMNS[kind])
 
 
 def positive_filter(df: DataFrame, kind: str) -> DataFrame:

@@ -434,7 +434,7 @@ def model_forecast(daily: DataFrame, profile: DataFrame, horizon: int = HORIZON_
     used = F.coalesce(F.element_at(F.array(*[F.lit(m) for m in TIER_ORDER]), F.col("at").cast("int")), F.lit(TIER_ORDER[-1]))
     failed = F.expr("filter(tried, x -> x.why IS NOT NULL AND (at IS NULL OR x.rank < at))")
     chosen = scratch_table(chosen.select("series_key", "tier", used.alias("model"), F.when(used != F.col("tier"), F.format_string(
-        "%s was selected automatically for this data volume, but fell back to %s (%s).", F.col("tier"), used,
+        "This length of history calls for %s, which fell back to %s (%s).", F.col("tier"), used,
         F.element_at(failed, -1)["why"])).alias("note")), "forecast-chosen")
     ok = points.join(chosen.select("series_key", "model", "note"), ["series_key", "model"]).select(
         "series_key", F.col("model").alias("model_used"), "step", "date",
@@ -443,8 +443,8 @@ def model_forecast(daily: DataFrame, profile: DataFrame, horizon: int = HORIZON_
     lin = linear_forecast(daily.join(rest, "series_key", "left_semi"), horizon).join(rest, "series_key")
     out = ok.unionByName(lin.withColumn("step", F.col("step").cast("int")).select(*ok.columns))
     warn = profile.select("series_key", F.when(F.col("short_history"), F.format_string(
-        "Forecast is based on only %d days of history — treat the confidence band loosely and prefer "
-        "shorter horizons.", F.col("n_days"))).alias("_short"))
+        "There are no more than %d days of history: the band is rough, and near days are safer than far ones.",
+        F.col("n_days"))).alias("_short"))
     return out.join(warn, "series_key", "left").withColumn(
         "warning", F.coalesce("note", "_short")).drop("note", "_short")
 

@@ -264,8 +264,8 @@ def admission(raw: DataFrame, clean: DataFrame, min_rows: int = 100, min_clean:
         F.when(F.col("input_rows") < min_rows,
                F.format_string(f"File has %d rows; at least {min_rows} are needed.", F.col("input_rows")))
          .when(F.col("clean_rows") < min_clean,
-               F.format_string("After cleaning, only %d valid rows remained (%d rows removed). "
-                               "Please check your data quality.", F.col("clean_rows"), removed))
+               F.format_string(f"only %d valid rows are left of the upload, %d were dropped; at least {min_clean} are needed.",
+                               F.col("clean_rows"), removed))
          .alias("message"),
     )
 

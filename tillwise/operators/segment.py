@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkNotImplementedError
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -283,7 +284,7 @@ def gmm_sweep(rfm: DataFrame, ks: list[int] | None = None, cov_types=tuple(COV_T
                        for j, b in enumerate(FEATURES)]).first()
     n = head["n"]
     if n < MIN_CUSTOMERS:
-        raise ValueError(f"Only {n} customers after preprocessing. Need at least {MIN_CUSTOMERS} to segment.")
+        raise ValueError(f"{n} customers are too few for segments, {MIN_CUSTOMERS} is the least")
     # one EM task per ~200k customers (at least one per core); fewer, fuller tasks
     # keep the per-pass cost near the numpy work itself. coalesce: no shuffle.
     try:
@@ -291,7 +292,7 @@ def gmm_sweep(rfm: DataFrame, ks: list[int] | None = None, cov_types=tuple(COV_T
         want = max(cores, math.ceil(n / EM_ROWS_PER_TASK))
         if feats.rdd.getNumPartitions() > want:
             feats = feats.coalesce(want)
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): keep the partitions as they are
+    except PySparkNotImplementedError:  # no RDD view (Spark Connect): the partitions stay as they are
         pass
     mu = np.array([head[f"m{i}"] for i in range(3)])
     cov0 = np.array([[head[f"c{i}{j}"] for j in range(3)] for i in range(3)]) - np.outer(mu, mu)
