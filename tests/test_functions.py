@@ -92,3 +92,14 @@ def test_quantiles_of_extreme_doubles_and_of_too_few_passes(spark):
     assert exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0], buckets=3) == values
     with pytest.raises(RuntimeError, match="not settled after 0 passes"):
         exact_quantiles(df, "x", [0.5], max_passes=0)
+
+
+def test_two_digit_years_and_rejected_dates(spark):
+    from tillwise.operators import clean as C
+    raw = spark.createDataFrame([(v,) for v in ("05-04-68", "05-04-69", "31-12-99", "01-01-00", "99-99-99", "", None, "17-03-25")], "date string")
+    typed = C.coerce_types(raw)
+    got = [str(r["date"])[:10] for r in typed.collect()]
+    assert got == ["2068-04-05", "1969-04-05", "1999-12-31", "2000-01-01", "None", "None", "None", "2025-03-17"]
+    assert tuple(C.date_rejects(raw, typed).first()) == (6, 1)
+    four = spark.createDataFrame([("05-04-2099",)], "date string")
+    assert str(C.coerce_types(four).first()["date"])[:10] == "2099-04-05"

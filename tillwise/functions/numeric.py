@@ -46,12 +46,19 @@ def numeric_or_number(c, dtype: str | None) -> Column:
     return to_number(c)
 
 
+# ── Fixed value (must equal the reference's): two-digit years from here on are of the century before ──
+PIVOT_YEAR = 2069
+
+
 def parse_timestamp(c, fmt: str | None) -> Column:
     """Text → timestamp with one format; unparseable → null."""
     col = _c(c)
     if fmt is None:
         return col.cast("string").try_cast("timestamp")
-    return F.try_to_timestamp(col.cast("string"), F.lit(fmt))
+    ts = F.try_to_timestamp(col.cast("string"), F.lit(fmt))
+    if "yy" in fmt and "yyy" not in fmt:  # Spark reads two digits as 2000 to 2099
+        ts = F.when(F.year(ts) >= PIVOT_YEAR, ts - F.expr("INTERVAL '100' YEAR")).otherwise(ts)
+    return ts
 
 
 def choose_date_format(df: DataFrame, col: str, formats: list[str] | None = None) -> tuple[str | None, int, int]:

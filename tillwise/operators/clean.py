@@ -56,6 +56,17 @@ def clean_string_formats(df: DataFrame) -> DataFrame:
 
 # ── B6–B8 ───────────────────────────────────────────────────────────────────
 
+def date_rejects(raw: DataFrame, typed: DataFrame, col: str = "date") -> DataFrame:
+    """C8 for B8: (date_values, date_rejected), of the dates given as text how many no timestamp came of.
+
+    ``typed`` is ``coerce_types`` of ``raw``'s rows; only the texts' and the timestamps' numbers are compared.
+    """
+    text = F.trim(F.col(col).cast("string"))
+    given = raw.agg(F.count_if(text.isNotNull() & (text != "")).alias("date_values"))
+    read = typed.agg(F.count(col).alias("read"))
+    return given.select("date_values", (F.col("date_values") - read.scalar()).alias("date_rejected"))
+
+
 def coerce_types(df: DataFrame, date_format: str | None = "auto") -> DataFrame:
     """Ids/text → trimmed string, numbers → double (bad → null), date → timestamp.
 

@@ -108,3 +108,20 @@ def baskets_transactional(spark, sf_dir):
     """Product-name baskets per (customer, transaction) with more than one line."""
     b = D.build_baskets(prepare.clean_sales(spark, sf_dir), "transactional")
     return b.select("customer_id", "basket_key", F.array_join("items", "|").alias("items"), "n_lines")
+
+
+@register("date_two_digit_years", """
+WITH o AS (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders)
+SELECT year(d) AS year, count(*) AS orders, strftime(min(d), '%Y-%m-%d') AS first_day, strftime(max(d), '%Y-%m-%d') AS last_day,
+       (SELECT count(*) FROM o WHERE d IS NULL) AS rejected FROM o WHERE d IS NOT NULL GROUP BY 1
+""")
+def date_two_digit_years(spark, sf_dir):
+    """B8 + C8: order dates written as dd-MM-yy, one in fifty unreadable, read back with their century and the rejects."""
+    from ..sources.tables import read_table
+    text = F.when(F.col("o_orderkey") % 50 == 0, F.lit("unknown")).otherwise(F.date_format("o_orderdate", "dd-MM-yy"))
+    raw = read_table(spark, sf_dir, "orders").select(text.alias("date"))
+    typed = C.coerce_types(raw)
+    day = F.col("date").cast("date").cast("string")
+    years = typed.where("date IS NOT NULL").groupBy(F.year("date").alias("year")).agg(
+        F.count("*").alias("orders"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    return years.withColumn("rejected", C.date_rejects(raw, typed).select("date_rejected").scalar())
