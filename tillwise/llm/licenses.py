@@ -7,6 +7,11 @@ the smaller set has t / (2 - t) of the larger one's size, so each unit meets onl
 templates within those bounds. The templates are a literal of the plan: each unit is
 compared where it is read, and nothing is shuffled but the result per document.
 
+A licence inside longer text, in running prose or over several paragraphs, is no unit. So the words of the whole text
+are searched too: a window as long as the template starts at every word where one of the template's bigrams does,
+whatever the line or paragraph, for the templates of whose bigrams the text holds enough for a window to reach the threshold.
+Of windows that start at one word the template that is most like its window counts.
+
 Cases: null and empty texts match nothing; a text of one word has no bigram and matches
 nothing; a unit counts for the template that it is most like, of equals the first by id; repeated rows give equal
 rows; an empty table gives an empty result; extra columns are ignored.
@@ -100,9 +105,35 @@ def match_units(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLA
             .select(F.col("id").alias(id_col), "text_hash", "s.license", (-F.col("s.d")).alias("dice")))
 
 
+def match_windows(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD,
+                  id_col: str = "doc_id") -> DataFrame:
+    """(id, text_hash, license, dice): the best template of every window of words that reaches the threshold with one."""
+    low = threshold / (2 - threshold)
+    known = F.array(*[
+        F.struct(F.lit(name).alias("id"), F.lit(len(b)).alias("n"), F.lit(len(re.findall("[a-z0-9]+", text.lower()))).alias("long"),
+                 F.array(*[F.xxhash64(F.lit(x), F.lit(y)) for x, y in b]).alias("grams"))
+        for name, text in templates if (b := template_bigrams(text))])
+    # a window with the threshold has ``low`` of the template's bigrams, so the text has
+    held = F.filter(known, lambda t: F.size(F.array_intersect(F.col("grams"), t["grams"])) >= t["n"] * low - 1e-9)
+    w = (docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("_w"))
+         .select("id", "text_hash", "_w", F.when(F.size("_w") > 1, _bigrams("_w")).alias("grams"))
+         .select("id", "text_hash", "_w", F.explode_outer(F.when(F.col("grams").isNotNull(), held)).alias("t")).where("t IS NOT NULL"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 2),
+                      lambda i: F.array_contains(F.col("t.grams"), F.xxhash64(F.get("_w", i), F.get("_w", i + 1))))
+    windows = F.transform(starts, lambda i: F.struct(i.alias("p"), F.slice("_w", i + 1, F.col("t.long")).alias("words")))
+    each = (w.select("id", "text_hash", "t", F.explode_outer(windows).alias("x"))
+            .select("id", "text_hash", "t", "x.p", F.col("x.words").alias("_w"))
+            .select("id", "text_hash", "t", "p", _bigrams("_w").alias("grams")))
+    dice = F.lit(2.0) * F.size(F.array_intersect("grams", "t.grams")) / (F.size("grams") + F.col("t.n"))
+    scored = each.select("id", "text_hash", "p", F.struct((-dice).alias("d"), F.col("t.id").alias("license")).alias("s")).where(F.col("s.d") <= -threshold)
+    best = scored.groupBy("id", "text_hash", "p").agg(F.min("s").alias("s"))
+    return best.select(F.col("id").alias(id_col), "text_hash", "s.license", (-F.col("s.d")).alias("dice"))
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, licenses (sorted ids), best license and its dice (null without a match)."""
-    best = match_units(docs, templates, threshold).groupBy("doc_id", "text_hash", "license").agg(F.max("dice").alias("dice"))
+    both = match_units(docs, templates, threshold).unionByName(match_windows(docs, templates, threshold))
+    best = both.groupBy("doc_id", "text_hash", "license").agg(F.max("dice").alias("dice"))
     found = best.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list("license")).alias("licenses"),
         F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"))
@@ -114,10 +145,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
 
 def _oracle() -> str:
-    rows = ", ".join(f"({i}, '{name}', [{', '.join(repr(' '.join(b)) for b in template_bigrams(text))}])"
-                     for i, (name, text) in enumerate(TEMPLATES))
+    rows = ", ".join(f"({i}, '{name}', {len(re.findall('[a-z0-9]+', text.lower()))}, "
+                     f"[{', '.join(repr(' '.join(b)) for b in template_bigrams(text))}])" for i, (name, text) in enumerate(TEMPLATES))
     return f"""
-WITH t(k, id, g) AS (VALUES {rows}),
+WITH t(k, id, long, g) AS (VALUES {rows}),
 u AS (
   SELECT doc_id, unnest(list_distinct(list_concat([text], string_split_regex(text, '\\n[\\x20\\x09-\\x0D]*\\n'),
                                                    string_split(text, chr(10))))) AS unit
@@ -133,8 +164,23 @@ u AS (
                AND len(t.g) <= len(g.g) * {(2 - THRESHOLD) / THRESHOLD!r} + 0.001
 ), best AS (
   SELECT doc_id, u, first(id ORDER BY dice DESC, id) AS id, max(dice) AS dice FROM s WHERE dice >= {THRESHOLD} GROUP BY 1, 2
+), dw AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL
+), dg AS (
+  SELECT doc_id, w, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM dw WHERE len(w) > 1
+), held AS (
+  SELECT doc_id, w, k, id, long, t.g FROM dg JOIN t ON len(list_intersect(dg.g, t.g)) >= len(t.g) * {THRESHOLD / (2 - THRESHOLD)!r} - 1e-9
+), hit AS (
+  SELECT * FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS p FROM held) WHERE list_contains(g, w[p] || ' ' || w[p + 1])
+), win AS (
+  SELECT doc_id, k, id, g, p, list_distinct(list_transform(generate_series(1, len(v) - 1), lambda i: v[i] || ' ' || v[i + 1])) AS x
+  FROM (SELECT *, w[p:p + long - 1] AS v FROM hit)
+), ws AS (
+  SELECT doc_id, p, id, 2.0::DOUBLE * len(list_intersect(x, g)) / (len(x) + len(g)) AS dice FROM win
+), wb AS (
+  SELECT doc_id, p, first(id ORDER BY dice DESC, id) AS id, max(dice) AS dice FROM ws WHERE dice >= {THRESHOLD} GROUP BY 1, 2
 ), b AS (
-  SELECT doc_id, id, max(dice) AS dice FROM best GROUP BY 1, 2
+  SELECT doc_id, id, max(dice) AS dice FROM (SELECT doc_id, id, dice FROM best UNION ALL SELECT doc_id, id, dice FROM wb) GROUP BY 1, 2
 ), f AS (
   SELECT doc_id, string_agg(id, ',' ORDER BY id) AS licenses, first(id ORDER BY dice DESC, id) AS license, max(dice) AS dice
   FROM b GROUP BY 1
