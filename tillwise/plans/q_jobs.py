@@ -99,11 +99,14 @@ n AS (SELECT *, CASE WHEN max(m) OVER w > min(m) OVER w THEN (m - min(m) OVER w)
       sum(size) OVER w AS total FROM g WINDOW w AS (PARTITION BY job_id))
 SELECT job_id, cluster AS cluster_id, [{_LABELS}][row_number() OVER (PARTITION BY job_id ORDER BY score DESC, cluster)] AS label, size,
        round(size / total * 100, 1) AS pct_of_customers, round(r, 1) AS avg_recency_days, round(f, 1) AS avg_frequency,
-       round(m, 2) AS avg_monetary FROM n
+       round(m + 1e-6, 2) AS avg_monetary FROM n
 """)
 def job_segments(spark, sf_dir):
     """F12 + F3 + F6 + F7 per job: segment profiles from each job's own quantiles."""
-    return J.quantile_segments(customers(spark, sf_dir))[1]
+    lab, prof = J.quantile_segments(customers(spark, sf_dir))
+    # the mean of two amounts in cents may lie half way, where the order of a sum would decide: just above it, it does not
+    means = lab.groupBy(J.JOB, F.col("cluster").alias("cluster_id")).agg(F.round(F.avg("monetary") + 1e-6, 2).alias("avg_monetary"))
+    return prof.drop("avg_monetary").join(means, [J.JOB, "cluster_id"])
 
 
 @register("job_regions", JOB_SALES.replace("region AS job_id", "brand AS job_id") + """
