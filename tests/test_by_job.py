@@ -119,3 +119,21 @@ def test_awkward_jobs(spark):
     sold = kept.withColumn("revenue", F.col("quantity") * F.col("price"))
     assert [tuple(r) for r in J.rfm_table(sold, "transactional").collect()] == [("j", "c", 1, 6.0, 1)]
     assert J.robust_scale(J.rfm_table(sold, "transactional")).first()["monetary_scaled"] == 0.0
+
+
+def test_lines_stay_where_they_are_when_cleaned_by_job(spark, sales):
+    """The fences are a small written table: no shuffle of the lines by job, which would put each job into one task."""
+    kept = J.clean_rows(sales.withColumn("job_id", F.col("shop")), "transactional")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(job_id" not in plan
+    assert kept.count() > 0
+
+
+def test_only_the_wanted_columns_of_the_lines_are_kept(spark):
+    prepare.release()
+    some = prepare.raw_sales(spark, SF, columns=("transaction_id",))
+    assert set(some.columns) == {"customer_id", "date", "price", "quantity", "transaction_id"}
+    whole = prepare.raw_sales(spark, SF)
+    assert whole.select(*some.columns).exceptAll(some).isEmpty() and some.count() == whole.count()
+    assert prepare.raw_sales(spark, SF, columns=("brand",)) is whole  # a kept table that has them serves
+    prepare.release()

@@ -41,14 +41,23 @@ def fences(df: DataFrame, col: str = "price", k: float = 3.0) -> DataFrame:
     return q.withColumns({"low": F.col("q1") - F.lit(k) * iqr, "high": F.col("q3") + F.lit(k) * iqr})
 
 
-def clean_rows(df: DataFrame, kind: str, iqr_k: float = 3.0) -> DataFrame:
-    """C2–C7 per job, in the order of ``clean.clean_rows``."""
+def before_fences(df: DataFrame, kind: str) -> DataFrame:
+    """C2 and C3 per job: the rows that the fences are made of."""
+    return C.positive_filter(C.drop_missing(df.where(F.col(JOB).isNotNull()), kind), kind)
+
+
+def clean_rows(df: DataFrame, kind: str, iqr_k: float = 3.0, cut: DataFrame | None = None) -> DataFrame:
+    """C2–C7 per job, in the order of ``clean.clean_rows``; ``cut``: the fences of these rows, where they are known.
+
+    The fences come from a written table of one row per job. Spark sees its size and leaves the lines where they are, unless
+    there are so many jobs that both sides have to move.
+    """
     check_kind_columns(df.columns, kind)
-    df = C.drop_missing(df.where(F.col(JOB).isNotNull()), kind)
     if kind == "transactional":
-        df = C.positive_filter(df, kind)
-        cut = fences(df, "price", iqr_k).select(JOB, "low", "high")
+        df = before_fences(df, kind)
+        cut = (fences(df, "price", iqr_k) if cut is None else cut).select(JOB, "low", "high")
         return df.join(cut, JOB).where(F.col("price").between(F.col("low"), F.col("high"))).select(*df.columns)
+    df = C.drop_missing(df.where(F.col(JOB).isNotNull()), kind)
     if kind == "review":
         return C.rating_range_filter(C.dedupe_keep_first(C.placeholder_filter(df), (JOB, "customer_id", "product_id")))
     return C.positive_filter(df, kind)

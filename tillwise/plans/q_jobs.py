@@ -39,24 +39,28 @@ scaled AS (SELECT job_id, customer_id, frequency, monetary, recency,
 """
 
 
-def _raw(spark, sf_dir):
-    return prepare.raw_sales(spark, sf_dir).withColumn(J.JOB, F.col("region"))
+def _raw(spark, sf_dir, *columns):
+    """Sales lines with their job; of the columns beside those of cleaning and of customers only the given ones."""
+    raw = prepare.raw_sales(spark, sf_dir, columns=("transaction_id", "region", *columns))
+    return raw.withColumn(J.JOB, F.col("region"))
 
 
-def _kept(spark, sf_dir, name, make):
-    key = prepare._key(spark, sf_dir, name)
+def clean(spark, sf_dir, *columns):
+    """C2–C4 and D1 per job: filters over the kept lines, whose fences are kept for the session."""
+    key = prepare._key(spark, sf_dir, "job_fences")
+    raw = _raw(spark, sf_dir, *columns)
     if key not in prepare._CACHE:
-        prepare._CACHE[key] = prepare.materialize(make(), name, key)
-    return prepare._CACHE[key]
-
-
-def clean(spark, sf_dir):
-    """C2–C4 and D1 per job, kept once per session."""
-    return _kept(spark, sf_dir, "job_sales", lambda: D.engineer_features(J.clean_rows(_raw(spark, sf_dir), "transactional"), "transactional"))
+        prepare._CACHE[key] = J.fences(J.before_fences(raw, "transactional"))
+    return D.engineer_features(J.clean_rows(raw, "transactional", cut=prepare._CACHE[key]), "transactional")
 
 
-def customers(spark, sf_dir):
-    return _kept(spark, sf_dir, "job_rfm", lambda: J.robust_scale(J.rfm_table(clean(spark, sf_dir), "transactional")))
+def customers(spark, sf_dir, *columns):
+    key = prepare._key(spark, sf_dir, "job_rfm")
+    if key not in prepare._CACHE:
+        rfm = prepare.materialize(J.rfm_table(clean(spark, sf_dir, *columns), "transactional"), "job_rfm", key)
+        prepare._CACHE[prepare._key(spark, sf_dir, "job_rfm_raw")] = rfm  # release() frees the table below the projection too
+        prepare._CACHE[key] = J.robust_scale(rfm)
+    return prepare._CACHE[key]
 
 
 @register("job_fences", JOB_SALES + """
@@ -66,8 +70,7 @@ SELECT job_id, round(q1, 4) AS q1, round(q3, 4) AS q3, round(low, 4) AS low, rou
 """)
 def job_fences(spark, sf_dir):
     """C4 per job: exact quartile fences and the rows within them."""
-    from ..operators import clean as C
-    pos = C.positive_filter(C.drop_missing(_raw(spark, sf_dir), "transactional"), "transactional")
+    pos = J.before_fences(_raw(spark, sf_dir), "transactional")
     counts = pos.groupBy(J.JOB).agg(F.count("*").alias("rows_in")).join(clean(spark, sf_dir).groupBy(J.JOB).agg(F.count("*").alias("rows_kept")), J.JOB)
     return J.fences(pos).join(counts, J.JOB).select(J.JOB, *[F.round(c, 4).alias(c) for c in ("q1", "q3", "low", "high")], "rows_in", "rows_kept")
 
@@ -120,7 +123,7 @@ FROM s WINDOW w AS (PARTITION BY job_id ORDER BY total_revenue DESC, region)
 def job_regions(spark, sf_dir):
     """H3 + H4 per job, with the brand as the job: regions by revenue with shares and running shares."""
     from ..operators import geo as H
-    brand = J.clean_rows(prepare.raw_sales(spark, sf_dir).withColumn(J.JOB, F.col("brand")), "transactional")
+    brand = J.clean_rows(prepare.raw_sales(spark, sf_dir, columns=("brand", "region")).withColumn(J.JOB, F.col("brand")), "transactional")
     stats = J.region_stats(H.clean_geo(D.engineer_features(brand, "transactional")))
     return stats.withColumn("region", F.upper("region")).drop("avg_order_value")
 
@@ -143,7 +146,7 @@ FROM r JOIN cl USING (job_id) WHERE confidence >= c0
 """)
 def job_rules(spark, sf_dir):
     """G2–G5 per job: brand rules of two items, each job with its own relaxed support and confidence."""
-    tx = J.baskets(clean(spark, sf_dir), "transactional", label="brand")
+    tx = J.baskets(clean(spark, sf_dir, "brand"), "transactional", label="brand")
     rules = J.mine_rules(tx, 0.02, 0.2, 1 << 30, "product").where((F.size("antecedents") == 1) & (F.size("consequents") == 1))
     return rules.select(J.JOB, F.col("antecedents")[0].alias("antecedent"), F.col("consequents")[0].alias("consequent"),
                         "support", "confidence", "lift")
@@ -163,8 +166,9 @@ FROM s JOIN g USING (job_id)
 """)
 def job_report_overview(spark, sf_dir):
     """K1 for every job in one run: overview and latest growth as the reports state them."""
-    sales, raw = clean(spark, sf_dir), _raw(spark, sf_dir)
-    lab, prof = J.quantile_segments(customers(spark, sf_dir))
+    more = ("product_id", "product_name")
+    sales, raw = clean(spark, sf_dir, *more), _raw(spark, sf_dir, *more)
+    lab, prof = J.quantile_segments(customers(spark, sf_dir, *more))
     summary = J.summary(sales, raw)
     none = spark.createDataFrame([], "job_id string, antecedents array<string>, consequents array<string>, confidence double, lift double, rank int")
     report = K.build_report(summary, prof, none, J.monthly_revenue(sales), J.top_products(sales), J.silhouette(lab),
