@@ -40,12 +40,11 @@ def review_raw_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                                    "o_orderpriority")
     lines = li.join(s, li.l_suppkey == s.s_suppkey, "left")
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    line = F.struct(F.col("l_linenumber").alias("ln"), "l_partkey", F.col("l_suppkey").alias("sk"), "l_extendedprice", "l_shipdate",
+                    F.col("s_name").alias("nm"))
     per = lines.groupBy("l_orderkey").agg(
         F.max("l_linenumber").alias("_mx"),
-        F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("l_suppkey").alias("sk"),
-                                             F.col("l_linenumber").alias("ln"),
-                                             F.col("s_name").alias("nm")))).alias("_ls"))
+        F.array_sort(F.collect_list(line)).alias("_ls"))
     packed = per.select(
         "l_orderkey",
         F.array_join(F.transform("_ls", lambda x: F.concat(F.lit("S"), x["sk"].cast("string"))), ",").alias("_u"),
