@@ -44,7 +44,7 @@ def _window_sql() -> str:
 
 
 def _cat_input(spark, sf_dir):
-    return I.resolve_input(prepare.clean_sales(spark, sf_dir), "category")
+    return I.resolve_input(prepare.clean_sales(spark, sf_dir, columns=("category",)), "category")
 
 
 DAILY_SQL = """
@@ -88,7 +88,7 @@ WHERE series_key IN (SELECT series_key FROM m GROUP BY 1 HAVING count(*) >= 3)
 """))
 def forecast_monthly_history(spark, sf_dir):
     """I1 + I2: monthly history of the series with at least 3 months."""
-    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    inp = window_input(prepare.clean_sales(spark, sf_dir, columns=()))
     m = I.monthly_history(inp)
     months = F.count(F.lit(1)).over(Window.partitionBy("series_key"))  # one row per month of a series
     return m.withColumn("_months", months).filter(F.col("_months") >= I.MIN_MONTHS) \
@@ -121,7 +121,7 @@ FROM p
 """))
 def forecast_tiers(spark, sf_dir):
     """I4: tier and short-history flag per series."""
-    return I.series_profile(window_input(prepare.clean_sales(spark, sf_dir)))
+    return I.series_profile(window_input(prepare.clean_sales(spark, sf_dir, columns=())))
 
 
 @register("forecast_tiers_events", with_events("""
@@ -192,7 +192,7 @@ def forecast_downsample(spark, sf_dir):
 @register("forecast_models")
 def forecast_models(spark, sf_dir):
     """I5 + I8–I10: tiered model forecast for the three windows (lag_ar / seasonal_ar / seasonal_regression)."""
-    status, fc, _ = I.forecast(window_input(prepare.clean_sales(spark, sf_dir)))
+    status, fc, _ = I.forecast(window_input(prepare.clean_sales(spark, sf_dir, columns=())))
     return fc.join(status.select("series_key", "tier"), "series_key")
 
 
@@ -213,7 +213,7 @@ FROM ik GROUP BY 1, 2, 3
 """))
 def forecast_gram(spark, sf_dir):
     """I8: the sums behind the seasonal regression of the three windows, per pair of terms."""
-    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    inp = window_input(prepare.clean_sales(spark, sf_dir, columns=()))
     design = I.design_rows(I.daily_series(inp), I.series_profile(inp)).filter("model = 'seasonal_regression'")
     g = I.gram_rows(design).select("series_key", "i", "xy", "m", F.posexplode("g").alias("j", "v")).where("v IS NOT NULL")
     return g.select("series_key", "i", "j", (F.round(F.col("v") / F.col("m"), 6) + 0.0).alias("mean_product"),
@@ -229,7 +229,7 @@ FROM x WHERE t >= 15 AND n >= 365
 """))
 def forecast_differences(spark, sf_dir):
     """The differenced days of the longer windows with their lags."""
-    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    inp = window_input(prepare.clean_sales(spark, sf_dir, columns=()))
     d = I.design_rows(I.daily_series(inp), I.series_profile(inp)).filter("model = 'seasonal_ar'")
     return d.select("series_key", "t", *[(F.round(c, 2) + 0.0).alias(n) for n, c in
                                          (("z", F.col("y")), ("z1", F.col("x")[0]), ("z2", F.col("x")[1]), ("z7", F.col("x")[2]))])
@@ -246,7 +246,7 @@ FROM x WHERE t >= 30 AND n > 730
 """))
 def forecast_lag_rows(spark, sf_dir):
     """The scaled days of the long window with the 30 days before, and the split in time."""
-    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    inp = window_input(prepare.clean_sales(spark, sf_dir, columns=()))
     d = I.design_rows(I.daily_series(inp), I.series_profile(inp)).filter("model = 'lag_ar'")
     mean = F.expr("(aggregate(x, 0D, (s, v) -> s + v) - x[0]) / (size(x) - 1)")
     return d.select("series_key", "t", F.round("y", 6).alias("y"), F.round(mean, 6).alias("mean_before"),
@@ -256,7 +256,7 @@ def forecast_lag_rows(spark, sf_dir):
 @register("forecast_backtest_models")
 def forecast_backtest_models(spark, sf_dir):
     """The error of every tier of the three windows."""
-    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    inp = window_input(prepare.clean_sales(spark, sf_dir, columns=()))
     return I.backtest_models(I.daily_series(inp), I.series_profile(inp))
 
 
@@ -271,7 +271,7 @@ FROM ik GROUP BY 1, 2, 3
 """))
 def forecast_hinge_gram(spark, sf_dir):
     """I8: the sums of the hinges behind the bending trend, per pair of candidate days, for the three windows."""
-    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    inp = window_input(prepare.clean_sales(spark, sf_dir, columns=()))
     whole = Window.partitionBy("series_key")
     days = I.daily_series(inp).withColumns({"n": F.count(F.lit(1)).over(whole), "size": F.max(F.abs("revenue")).over(whole)})
     rows = R.hinge_rows(days).withColumn("x", F.slice("x", -R.HINGES, R.HINGES))
@@ -296,7 +296,7 @@ FROM x WHERE t >= {8 + R.LONG_LAGS + 7} AND n >= {I.MIDDLE_TIER_DAYS} AND n <= {
 """))
 def forecast_innovations(spark, sf_dir):
     """Residuals of a long autoregression of given coefficients, lagged, as the rows of the moving-average terms."""
-    inp = window_input(prepare.clean_sales(spark, sf_dir))
+    inp = window_input(prepare.clean_sales(spark, sf_dir, columns=()))
     days = I._lagged(I.daily_series(inp), I.series_profile(inp)).where("tier = 'seasonal_ar'")
     rows = R.long_rows(days)
     given = rows.select("series_key").distinct().withColumn("beta", F.array(*[F.lit(b) for b in _GIVEN]))
@@ -308,7 +308,7 @@ def forecast_innovations(spark, sf_dir):
 @register("forecast_rich_models")
 def forecast_rich_models(spark, sf_dir):
     """I5 + I8–I10 with hinges, moving-average terms and projections, for the three windows."""
-    status, fc, _ = R.forecast(window_input(prepare.clean_sales(spark, sf_dir)))
+    status, fc, _ = R.forecast(window_input(prepare.clean_sales(spark, sf_dir, columns=())))
     return fc.join(status.select("series_key", "tier"), "series_key")
 
 
@@ -334,5 +334,5 @@ REGION_INP = ", inp AS (SELECT region AS series_key, date AS ts, revenue AS valu
 @register("forecast_linear_region", with_sales(REGION_INP + LINEAR_SQL + "SELECT * FROM lin"))
 def forecast_linear_region(spark, sf_dir):
     """I1 + I3 + I6 + I7 for one series per region (25 series forecast in one plan)."""
-    inp = I.resolve_input(prepare.clean_sales(spark, sf_dir), "region")
+    inp = I.resolve_input(prepare.clean_sales(spark, sf_dir, columns=("region",)), "region")
     return I.linear_forecast(I.daily_series(inp))
