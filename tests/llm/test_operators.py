@@ -211,6 +211,30 @@ def test_near_copies_of_lines_of_30_to_80_characters(spark):
     assert sum(2 * n + i in got for i in range(n)) >= 0.97 * n
 
 
+def test_line_dedup_runs_no_python_on_the_executors(spark):
+    df = line_frame(spark, ["the same words stand here", "the same words stand there"])
+    pairs = line_dedup.candidate_pairs(line_dedup.signatures(df))
+    for plan in (line_dedup.signatures(df), line_dedup.verified(df, pairs)):
+        assert not re.search("Python|Arrow|Pandas", plan._jdf.queryExecution().toString())
+
+
+def test_a_passage_that_many_lines_quote_makes_no_pairs(spark):
+    r = random.Random(24)
+    passage = " ".join(letters(r, 5) for _ in range(10))
+    quoting = [" ".join([letters(r, 5) for _ in range(30)] + [passage] + [letters(r, 5) for _ in range(30)]) for _ in range(300)]
+    own = [" ".join(letters(r, 5) for _ in range(60)) for _ in range(20)]
+    lines = quoting + own + [x + "s" for x in own]
+    pairs = line_dedup.candidate_pairs(line_dedup.signatures(line_frame(spark, lines))).count()
+    assert 20 <= pairs <= 60
+    assert removed(line_frame(spark, lines)) == set(range(320, 340))
+
+
+def test_pairs_of_many_groups_come_once(spark):
+    rows = [(g, h, h // 2) for g in range(12) for h in range(6)]
+    got = [tuple(x) for x in line_dedup._all_pairs(spark.createDataFrame(rows, "g long, h long, root long")).collect()]
+    assert sorted(got) == [(a, b) for a in range(6) for b in range(a + 1, 6) if a // 2 != b // 2]
+
+
 def test_dedup_documents_rebuilds_the_texts(spark):
     rows = [(1, "alpha beta gamma delta\nkeep me as I am\n\nlast", "en", "s", 0), (2, "alpha beta gamma delta\nonly in two", "en", "s", 0),
             (3, "alpha beta gamma delta", "en", "s", 0), (4, None, "en", "s", None), (5, "", "en", "s", 0), (6, " \n", "en", "s", 2),
