@@ -235,6 +235,44 @@ def test_pairs_of_many_groups_come_once(spark):
     assert sorted(got) == [(a, b) for a in range(6) for b in range(a + 1, 6) if a // 2 != b // 2]
 
 
+def test_a_family_meets_one_line_that_is_like_all_others(spark):
+    r = random.Random(25)
+    first = " ".join(letters(r, 5) for _ in range(80))
+    lines = [first]
+    for _ in range(200):  # two words of each copy are other ones
+        words = first.split(" ")
+        for at in r.sample(range(80), 2):
+            words[at] = letters(r, 5)
+        lines.append(" ".join(words))
+    df = line_frame(spark, lines)
+    assert 200 <= line_dedup.candidate_pairs(line_dedup.signatures(df)).count() <= 300
+    assert removed(df) == set(range(1, 201))
+
+
+def test_bits_let_all_similar_lines_pass_and_few_others(spark):
+    r = random.Random(26)
+    lines = []
+    for n in (3, 5, 12, 40, 120, 400, 1500):
+        for _ in range(12):
+            x = letters(r, n) + "\U0001F600"
+            lines += [x, x[:n // 2] + "#" + x[n // 2 + 1:], x + letters(r, max(1, n // 8)), letters(r, n)]
+    df = line_frame(spark, lines)
+    texts = line_dedup._texts_of(df, line_dedup._text_lines(df).select("h").distinct())
+    bits = line_dedup._bits(texts)
+    hashed = {x["h"]: x["line"] for x in texts.collect()}
+    assert {x["h"]: x["size"] for x in bits.collect()} == {h: len(shingles(x)) for h, x in hashed.items()}
+    members = bits.select(F.lit(1).alias("g"), "h", F.col("h").alias("root"))
+    got = {tuple(sorted((hashed[x["u"]], hashed[x["v"]]))) for x in line_dedup._all_pairs(members, bits).collect()}
+    near = plain_line_groups(set(lines))[1]
+    assert len(near) >= 60 and near <= got and len(got) < 4 * len(near)
+
+
+def test_lines_of_the_greatest_part_of_a_group_meet_strangers_only(spark):
+    rows = [(1, h, 0 if h < 90 else h) for h in range(100)]
+    met = line_dedup._all_pairs(spark.createDataFrame(rows, "g long, h long, root long"))
+    assert sorted(tuple(x) for x in met.collect()) == [(a, b) for a in range(100) for b in range(a + 1, 100) if b >= 90]
+
+
 def test_dedup_documents_rebuilds_the_texts(spark):
     rows = [(1, "alpha beta gamma delta\nkeep me as I am\n\nlast", "en", "s", 0), (2, "alpha beta gamma delta\nonly in two", "en", "s", 0),
             (3, "alpha beta gamma delta", "en", "s", 0), (4, None, "en", "s", None), (5, "", "en", "s", 0), (6, " \n", "en", "s", 2),
