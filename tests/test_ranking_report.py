@@ -1,5 +1,6 @@
 """Distributed rank, report sections, stored parts."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -112,3 +113,30 @@ def test_parts_of_jobs_in_every_state(spark, tmp_path):
     assert look("forecast_data") == {"done": (404, None), "geo": (200, "[1]"), "bare": (404, None), "late": (400, None), "no": (404, None)}
     assert look("geo_data") == {"done": (200, '{"has_geo_data":false}'), "geo": (200, '{"a":1}'), "bare": (404, None), "late": (400, None),
                                 "no": (404, None)}
+
+
+def test_insight_holds_every_part_and_every_map_point(spark, tmp_path):
+    out = str(tmp_path)
+    summ = spark.createDataFrame([(3, 10.0)], "total_customers long, total_revenue double")
+    prof = spark.createDataFrame([(0, "Champions", 3)], "cluster_id int, label string, size long")
+    rules = spark.createDataFrame([], "antecedents array<string>, consequents array<string>, lift double")
+    rows = [(i / 4, -i / 4, i % 2, None if i % 5 == 0 else "Loyal", f"c{i % 90}", 1.5 * i, i, 2) for i in range(100)]
+    rows += [rows[7], rows[8]]
+    points = spark.createDataFrame(rows, K.MAP_POINT)
+    months = spark.createDataFrame([("2024-01", 10.0), ("2024-02", 15.0)], "month string, total_revenue double")
+    cats = spark.createDataFrame([("a", "2024-01", 10.0)], "category string, month string, revenue double")
+    report = spark.createDataFrame([("job", "text")], "job_id string, report string")
+    row = K.insight_row(spark, "1", "transactional", summ, prof, rules, 1, 0.25, "2026-01-01 00:00:00", map_points=points, report=report,
+                        trend={"monthly_revenue": months, "category_monthly": cats, "none": None}, forecast=months, geo={"region_stats": cats}).first()
+    trend = json.loads(row["trend_data"])
+    assert [m["month"] for m in trend["monthly_revenue"]] == ["2024-01", "2024-02"] and trend["category_monthly"][0]["category"] == "a"
+    assert "none" not in trend and len(json.loads(row["forecast_data"])) == 2 and len(json.loads(row["geo_data"])["region_stats"]) == 1
+    assert row["report_text"] == "text" and json.loads(row["map_data"])[0]["points"] == 102
+    parts = K.map_parts(points, 10)
+    K.write_insights({"customer_map": parts}, out, "1")
+    K.write_insights({"customer_map": K.map_parts(points.limit(0))}, out, "2")
+    assert parts.count() > 5 and parts.agg(F.max("n_points")).first()[0] < 30
+    back = K.lookup_map(spark, out, ["1"])
+    assert back.select("job_id").distinct().collect() == [("1",)]
+    assert sorted(map(repr, back.drop("job_id").collect())) == sorted(map(repr, points.collect()))
+    assert K.lookup_map(spark, out).count() == 102
