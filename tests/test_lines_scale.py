@@ -53,3 +53,22 @@ def test_money_and_numbers_read_as_before(spark):
     both = df.select(old.alias("a"), T.strip_currency("t").alias("b"), N.to_number(T.strip_currency("t")).alias("v")).collect()
     assert all(r["a"] == r["b"] for r in both)
     assert [r["v"] for r in both] == [1299.0, 5.0, 3.5, -2000.0, None, None, None, None, float("inf"), None, None, 78.0]
+
+
+def test_trees_take_only_items_of_frequent_pairs(spark, monkeypatch):
+    grown = []
+
+    class Fp(G.FPGrowth):
+        def fit(self, df):
+            grown.extend(sorted(r["items"]) for r in df.collect())
+            return super().fit(df)
+
+    monkeypatch.setattr(G, "FPGrowth", Fp)
+    # every item is frequent, no pair is: nothing is left to grow trees of
+    apart = spark.createDataFrame([([f"i{i % 8}", f"i{(i + 1 + i // 8) % 8}"],) for i in range(56)], "items array<string>")
+    assert {(tuple(r["items"]), r["freq"]) for r in G.frequent_itemsets(apart, 0.2).collect()} == {((f"i{k}",), 14) for k in range(8)}
+    assert grown == []
+    tx = spark.createDataFrame([(["a", "b", f"x{i}"],) for i in range(6)] + [(["c", "a"],), (["d", "c"],), (["c", "d"],), ([],)], "items array<string>")
+    got = {(tuple(r["items"]), r["freq"]) for r in G.frequent_itemsets(tx, 0.2).collect()}
+    assert got == {(("a",), 7), (("b",), 6), (("c",), 3), (("d",), 2), (("a", "b"), 6), (("c", "d"), 2)}
+    assert sorted(grown) == [["a", "b"]] * 6 + [["c", "d"]] * 2
