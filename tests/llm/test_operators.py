@@ -541,3 +541,21 @@ def test_pipeline_over_awkward_and_empty_documents(spark, tmp_path):
 def test_native_operators_run_no_python(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def test_shared_tables_leave_no_shuffle_files(spark):
+    from pathlib import Path
+
+    from tillwise.llm.common import write_shared
+    from tillwise.session import SHUFFLE_CLEANUP
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {p for d in folders for p in Path(d).rglob("shuffle_*")}
+
+    before, asked = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    kept = write_shared(rows.groupBy("k").agg(F.sum("id").alias("s")).join(rows.withColumnRenamed("id", "other"), "k").repartition(3, "other"), "shuffled")
+    assert not files() - before
+    assert kept.count() == 1000 and spark.conf.get(SHUFFLE_CLEANUP, None) == asked
